@@ -49,28 +49,36 @@ def token_rows(docs: DataFrame, neighbours: int = 0) -> DataFrame:
     """
     keep = [c for c in docs.columns if c != "toks"]
 
-    def row(t: Column, i: Column) -> Column:
-        around = []
-        for k in range(1, neighbours + 1):
-            around.append(F.get("toks", i - k)["text"].alias(f"prev_{k}"))
-            around.append(F.get("toks", i + k)["text"].alias(f"next_{k}"))
-        return F.struct(t.alias("t"), *around)
-
     fields = [f.name for f in docs.schema["toks"].dataType.elementType.fields if f.name != "text"]
-    toks = F.transform("toks", row) if neighbours else F.transform("toks", lambda t: F.struct(t.alias("t")))
-    sides = [f"_t.{side}_{k}" for k in range(1, neighbours + 1) for side in ("prev", "next")]
+    text = F.col("toks.text")
+    sides = [(f"{side}_{k}", sign * k) for k in range(1, neighbours + 1) for side, sign in (("prev", -1), ("next", 1))]
+    zipped = F.arrays_zip(F.col("toks").alias("t"), *[shifted(text, k).alias(name) for name, k in sides])
     return docs.select(
-        *keep, F.size("toks").alias("n_tokens"), F.posexplode(toks).alias("token", "_t")
+        *keep, F.size("toks").alias("n_tokens"), F.posexplode(zipped).alias("token", "_t")
     ).select(
         *keep,
         "n_tokens",
         "token",
         F.col("_t.t.text").alias("token_text"),
         *[F.col(f"_t.t.{f}").alias(f) for f in fields],
-        *sides,
+        *[F.col(f"_t.{name}").alias(name) for name, _ in sides],
     )
 
 
+def shifted(arr: Column, by: int) -> Column:
+    """The array whose element i is element i+by of `arr`, null outside; same length.
+
+    Neighbours are taken this way rather than by index inside a lambda: an index look-up
+    would evaluate the array once per element if the optimizer inlined it.
+    """
+    n = F.size(arr)
+    k = abs(by)
+    pad = F.array_repeat(F.get(F.slice(arr, 1, 0), F.lit(0)), F.least(F.lit(k), n))
+    if by < 0:
+        return F.concat(pad, F.slice(arr, F.lit(1), F.greatest(n - k, F.lit(0))))
+    return F.concat(F.slice(arr, F.lit(k + 1), F.greatest(n - k, F.lit(0))), pad)
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """Use all cores for an input of few splits; larger inputs stay as they are read."""
     cores = docs.sparkSession.sparkContext.defaultParallelism

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from maskloom.plans import q_sources
+from maskloom.plans import q_sources, q_tokens
 from maskloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
-_ = (q_sources,)
+_ = (q_sources, q_tokens)

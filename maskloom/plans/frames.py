@@ -82,21 +82,25 @@ def rule_kind(t: Column) -> Column:
 def label_tokens(docs: DataFrame) -> DataFrame:
     """Give every element of `toks` its rule label in BIO form.
 
-    Both steps work inside the array: the neighbour is an array access and no shuffle is
-    needed. Labels leave the array as plain columns, so filters on them stay small.
+    The neighbour comes from zipping the array with its shifted self: linear however the
+    optimizer nests the expressions, and without a shuffle. Labels leave the array as
+    plain columns, so filters on them stay small.
     """
-    kinds = docs.withColumn("kinds", F.transform("toks", lambda t: rule_kind(t["text"])))
     runs_of = F.array(*[F.lit(k) for k in RUN_KINDS])
+    typed = docs.withColumn(
+        "toks",
+        F.transform("toks", lambda t: F.struct(t["text"].alias("text"), t["ws"].alias("ws"), rule_kind(t["text"]).alias("kind"))),
+    )
 
-    def labelled(t: Column, i: Column) -> Column:
-        kind = F.get("kinds", i)
-        joined = (kind == F.get("kinds", i - 1)) & F.array_contains(runs_of, kind)
-        label = F.when(kind.isNull(), F.lit("O")).otherwise(
-            F.concat(F.when(joined, F.lit("I-")).otherwise(F.lit("B-")), kind)
+    def labelled(t: Column, before: Column) -> Column:
+        joined = (t["kind"] == before) & F.array_contains(runs_of, before)
+        label = F.when(t["kind"].isNull(), F.lit("O")).otherwise(
+            F.concat(F.when(joined, F.lit("I-")).otherwise(F.lit("B-")), t["kind"])
         )
         return F.struct(t["text"].alias("text"), t["ws"].alias("ws"), label.alias("label"))
 
-    return kinds.withColumn("toks", F.transform("toks", labelled)).drop("kinds")
+    kinds = F.col("toks.kind")
+    return typed.withColumn("toks", F.zip_with("toks", tk.shifted(kinds, -1), labelled))
 
 
 def gold_documents(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
