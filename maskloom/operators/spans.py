@@ -19,7 +19,7 @@ def regex_spans(docs: DataFrame, pattern: str | Column, text: str = "text", by:
     hits = F.transform(F.regexp_extract_all(F.col(text), pat, F.lit(0)), F.length)
     keys = ["document", *by]
     rows = docs.select(
-        *keys, F.posexplode(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "z")
+        *keys, F.posexplode_outer(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "z")
     ).select(*keys, "k", F.col("z.gap").alias("gap"), F.col("z.hit").alias("hit"))
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(w), F.lit(0))
@@ -91,7 +91,7 @@ def label_values(
     )
     rows = docs.select("document", text, F.inline(values)).filter("value <> ''")
     many = F.when(F.col("key") == "names", F.split("value", r"\|")).otherwise(F.array("value"))
-    single = rows.withColumn("value", F.explode(F.array_distinct(many))).filter("value <> ''")
+    single = rows.withColumn("value", F.explode_outer(F.array_distinct(many))).filter("value <> ''")
     hits = regex_spans(
         single.withColumn("_pat", literal_pattern(F.col("value"), F.col("word"))),
         F.col("_pat"),

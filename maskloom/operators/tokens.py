@@ -53,9 +53,11 @@ def token_rows(docs: DataFrame, neighbours: int = 0) -> DataFrame:
     text = F.col("toks.text")
     sides = [(f"{side}_{k}", sign * k) for k in range(1, neighbours + 1) for side, sign in (("prev", -1), ("next", 1))]
     zipped = F.arrays_zip(F.col("toks").alias("t"), *[shifted(text, k).alias(name) for name, k in sides])
+    # Outer + filter: for a plain explode the optimizer adds "array is not empty" filters, which
+    # repeat the whole tokenisation below the exchange.
     return docs.select(
-        *keep, F.size("toks").alias("n_tokens"), F.posexplode(zipped).alias("token", "_t")
-    ).select(
+        *keep, F.size("toks").alias("n_tokens"), F.posexplode_outer(zipped).alias("token", "_t")
+    ).filter("token IS NOT NULL").select(
         *keep,
         "n_tokens",
         "token",

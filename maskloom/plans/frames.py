@@ -9,6 +9,8 @@ from maskloom.functions import text as tx
 from maskloom.functions.hashing import hash_int, pick
 from maskloom.functions.labels import LABELS
 from maskloom.operators import tokens as tk
+from maskloom.operators.scores import as_columns, softmax
+from maskloom.operators.windows import assign_windows
 
 # How rule labels thin out candidates, as (seed, one in n).
 NAME_ONE_IN = 23
@@ -157,26 +159,28 @@ def runs(spark: SparkSession, sf: str, names=("run0", "run1", "run2", "run3")) -
     return many.withColumn("label", label).filter("label IS NOT NULL").drop("g")
 
 
-def logits(gold_label: Column, seed: str, *key) -> list[Column]:
-    """Twelve raw scores per token: noise from one digest plus a bonus on the gold label."""
+def raw_scores(rows: DataFrame, seed: str, *key) -> DataFrame:
+    """Replace `label` by `gold_label` and add one raw score column per label: noise from one
+    digest per row plus a bonus on the gold label."""
+    keep = [c for c in rows.columns if c != "label"] + ["gold_label"]
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]).cast("binary"))
-    out = []
+    cols = []
     for i, name in enumerate(LABELS):
-        noise = F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("double") / 64
+        noise = F.conv(F.substring("_d", 2 * i + 1, 2), 16, 10).cast("double") / 64
         bonus = 8.0 if name == "O" else 6.0
-        out.append(noise + F.when(gold_label == name, bonus).otherwise(0.0))
-    return out
-
-
-def score_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Token rows with raw scores in vocabulary order and the gold label."""
-    rows = gold(spark, sf)
-    return rows.select(
-        "document",
-        "n_tokens",
-        "token",
-        "token_text",
-        "ws",
-        "label",
-        F.array(*logits(F.col("label"), "score", "document", "token")).alias("logits"),
-    )
+        cols.append((noise + F.when(F.col("gold_label") == name, bonus).otherwise(0.0)).alias(name))
+    return as_columns(rows.withColumnRenamed("label", "gold_label").withColumn("_d", digest), keep, cols)
+
+
+def wide_scores(spark: SparkSession, sf: str, seed: str = "score", colocated: bool = False) -> DataFrame:
+    """Token rows with the probability of every label."""
+    rows = gold(spark, sf, colocated=colocated).drop("lang", "source", "n_tokens")
+    return softmax(raw_scores(rows, seed, "document", "token"))
+
+
+def piece_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Window scores of token pieces: (document, window, token, piece, piece_start, piece_end, 12 scores)."""
+    rows = tk.token_spans(gold(spark, sf, colocated=True).drop("lang", "source"))
+    pieces = tk.subtokens(assign_windows(rows, 512, 128))
+    cols = pieces.select("document", "window", "token", "piece", "piece_start", "piece_end", "label")
+    return softmax(raw_scores(cols, "wscore", "document", "token", "piece", "window"))

@@ -147,7 +147,7 @@ def token_sums(rows):
 @query("a9_flatten_tokens", with_parts(_TOKEN_SUMS, "gold"))
 def a9_flatten_tokens(spark, sf):
     docs = fr.gold_documents(spark, sf).drop("text")
-    rows = docs.select("document", F.posexplode("toks").alias("token", "t")).select(
+    rows = docs.select("document", F.posexplode_outer("toks").alias("token", "t")).filter("token IS NOT NULL").select(
         "document", "token", F.col("t.text").alias("token_text"), F.col("t.ws").alias("ws"), F.col("t.label").alias("label")
     )
     return token_sums(rows)

@@ -241,7 +241,7 @@ def b8_encode_labels(spark, sf):
 def b9_name_pieces(spark, sf):
     docs = fr.gold_documents(spark, sf, colocated=True)
     is_name = F.filter("toks", lambda t: t["label"].contains("NAME_STUDENT"))
-    names = docs.withColumn("name", F.explode(F.array_distinct(F.transform(is_name, lambda t: t["text"]))))
+    names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
     hits = sp.regex_spans(
         names.withColumn("pat", sp.literal_pattern(F.col("name"), True)), F.col("pat"), by=("name",)
     ).select("document", "span_start", "span_end").distinct()
