@@ -98,8 +98,13 @@ def add_repeated_names(preds: DataFrame, tokens: DataFrame, by: Sequence[str] =
     return preds.unionByName(new.select(*preds.columns))
 
 
-def add_emails_and_urls(preds: DataFrame, tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add tokens that look like e-mails or like profile links; no (document, token, label) twice."""
+def add_emails_and_urls(
+    preds: DataFrame, tokens: DataFrame, by: Sequence[str] = (), values: Sequence = ()
+) -> DataFrame:
+    """Add tokens that look like e-mails or like profile links; no (document, token, label) twice.
+
+    With one `by` column, `values` are the values it can take.
+    """
     t = F.col("token_text")
     linked = (
         (t.startswith("http") | t.startswith("www."))
@@ -111,8 +116,7 @@ def add_emails_and_urls(preds: DataFrame, tokens: DataFrame, by: Sequence[str] =
     new = tokens.select("document", "token", "token_text", label.alias("label")).filter("label IS NOT NULL")
     keys = [*by, "document", "token", "label"]
     if by:
-        values = preds.select(*by).distinct()
-        new = new.join(values)
+        new = new.withColumn(by[0], F.explode(F.array(*[F.lit(v) for v in values])))
     fresh = new.join(preds.select(*keys), keys, "left_anti")
     return preds.unionByName(fresh.select(*preds.columns))
 
@@ -247,13 +251,13 @@ def decode_argmax(wide: DataFrame) -> DataFrame:
 
 
 def correction_steps(
-    tokens: DataFrame, by: Sequence[str] = ()
+    tokens: DataFrame, by: Sequence[str] = (), values: Sequence = ()
 ) -> dict[str, Callable[[DataFrame], DataFrame]]:
     """The correction steps in their order."""
     return {
         "name_casing": drop_miscased_names,
         "repeated_names": lambda p: add_repeated_names(p, tokens, by),
-        "emails_urls": lambda p: add_emails_and_urls(p, tokens, by),
+        "emails_urls": lambda p: add_emails_and_urls(p, tokens, by, values),
         "name_titles": lambda p: remove_titles(p, by),
         "repair_names": lambda p: repair_names(p, by),
         "never_labels": drop_never_labels,
@@ -261,9 +265,11 @@ def correction_steps(
     }
 
 
-def correct(preds: DataFrame, tokens: DataFrame, by: Sequence[str] = (), steps=None) -> DataFrame:
+def correct(
+    preds: DataFrame, tokens: DataFrame, by: Sequence[str] = (), values: Sequence = (), steps=None
+) -> DataFrame:
     """Apply the named steps (all by default)."""
-    table = correction_steps(tokens, by)
+    table = correction_steps(tokens, by, values)
     for name in steps or table:
         preds = table[name](preds)
     return preds

@@ -277,7 +277,7 @@ def step_scores(spark, sf, thresholds=THRESHOLDS) -> DataFrame:
     preds = spark.read.parquet(f"{path}/decoded")
     tokens = spark.read.parquet(f"{path}/tokens")
     steps = []
-    for name, step in ru.correction_steps(tokens, by=("threshold",)).items():
+    for name, step in ru.correction_steps(tokens, ("threshold",), thresholds).items():
         preds = step(preds).select("threshold", *KEYS)
         io.write_parquet(preds, f"{path}/{name}")
         preds = spark.read.parquet(f"{path}/{name}")
@@ -345,7 +345,7 @@ def d13_correction_chain(spark, sf):
     cuts = F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))
     decoded = sc.drop_blank_tokens(sc.decode(top.withColumn("threshold", cuts), F.col("threshold")))
     preds = decoded.select("threshold", *KEYS)
-    fixed = ru.correct(preds, fr.gold(spark, sf, colocated=True), by=("threshold",))
+    fixed = ru.correct(preds, fr.gold(spark, sf, colocated=True), ("threshold",), THRESHOLDS)
     return fixed.groupBy("threshold", "label").agg(F.count("*").alias("n"))
 
 
