@@ -71,3 +71,15 @@ def fold_accents(c: Column) -> Column:
 
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def title(c: Column) -> Column:
+    """Capital after anything that is no letter, small letters elsewhere."""
+    parts = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(
+        F.transform(
+            parts,
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))),
+        ),
+        "",
+    )

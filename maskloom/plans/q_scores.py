@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskloom.functions import text as tx
 from maskloom.functions.hashing import hash_int
 from maskloom.functions.labels import LABELS
 from maskloom.operators import scores as sc
@@ -142,8 +143,11 @@ _UMODEL = (
 
 @query("c8_ensemble", with_parts(f"SELECT document, token, round(score,6) AS score FROM ({_UMODEL})", "utok"))
 def c8_ensemble(spark, sf):
-    from maskloom.functions import text as tx
+    return url_model_mean(spark, sf).withColumn("score", F.round("score", 6))
 
+
+def url_model_mean(spark, sf):
+    """Mean of three stand-in URL models."""
     urls = tk.token_rows(tk.tokenize(fr.url_documents(spark, sf)).select("document", "toks")).filter(
         tx.is_url_token(F.col("token_text"))
     )
@@ -151,8 +155,7 @@ def c8_ensemble(spark, sf):
         urls.withColumn("score", hash_int("model", F.lit(m), "document", "token") % 1000 / 1000.0)
         for m in ("m1", "m2", "m3")
     ]
-    mean = sc.ensemble(models, ["document", "token"], ["score"])
-    return mean.withColumn("score", F.round("score", 6))
+    return sc.ensemble(models, ["document", "token"], ["score"])
 
 
 @query(
