@@ -83,3 +83,12 @@ def title(c: Column) -> Column:
         ),
         "",
     )
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it.
+
+    Steps that use their input several times would otherwise grow exponentially when they
+    are chained or when a filter is pushed below them.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -44,7 +44,7 @@ def cut_at_markers(text: Column, markers: Sequence[str], share: float = 0.8) ->
         late = tx.last_index(t, marker) > share * F.length(t)
         return F.when(late, F.substring(t, F.lit(1), tx.first_index(t, marker))).otherwise(t)
 
-    return reduce(step, markers, text)
+    return reduce(lambda t, m: tx.let(t, lambda x: step(x, m)), markers, text)
 
 
 def remove_note(text: Column) -> Column:
@@ -61,9 +61,13 @@ def strip(c: Column) -> Column:
 
 def remove_here_is(text: Column) -> Column:
     """Drop a preamble that starts with `Here`; a text without a blank line stays as it is."""
-    gap = F.instr(text, "\n\n")
-    rest = strip(F.substring(text, gap + 2, F.length(text)))
-    return F.when(strip(text).startswith("Here") & (gap > 0), rest).otherwise(text)
+
+    def step(t: Column) -> Column:
+        gap = F.instr(t, "\n\n")
+        rest = strip(F.substring(t, gap + 2, F.length(t)))
+        return F.when(strip(t).startswith("Here") & (gap > 0), rest).otherwise(t)
+
+    return tx.let(text, step)
 
 
 def url_outside_brackets(text: Column) -> Column:
@@ -90,9 +94,11 @@ def cut_tails(text: Column) -> Column:
         at = tx.first_index(t, marker[0])
         return F.when(at > marker[1] * F.length(t), F.substring(t, F.lit(1), at)).otherwise(t)
 
-    cut = reduce(step, TAIL_MARKERS, text)
-    last = tx.last_index(cut, "\n\n")
-    return F.when(last > LAST_PARAGRAPH_SHARE * F.length(cut), F.substring(cut, F.lit(1), last)).otherwise(cut)
+    def last_paragraph(t: Column) -> Column:
+        at = tx.last_index(t, "\n\n")
+        return F.when(at > LAST_PARAGRAPH_SHARE * F.length(t), F.substring(t, F.lit(1), at)).otherwise(t)
+
+    return tx.let(reduce(lambda t, m: tx.let(t, lambda x: step(x, m)), TAIL_MARKERS, text), last_paragraph)
 
 
 def normalize_links(text: Column, passes: int = 6) -> Column:

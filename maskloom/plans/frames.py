@@ -184,3 +184,48 @@ def piece_scores(spark: SparkSession, sf: str) -> DataFrame:
     pieces = tk.subtokens(assign_windows(rows, 512, 128))
     cols = pieces.select("document", "window", "token", "piece", "piece_start", "piece_end", "label")
     return softmax(raw_scores(cols, "wscore", "document", "token", "piece", "window"))
+
+
+# Small invented name banks; any `(idx, value)` table can take their place.
+FIRST_NAMES = (
+    "Ana", "Bruno", "Chidi", "Daria", "Emil", "Farah", "Goran", "Hana", "Ivo", "Jelena",
+    "Kofi", "Leïla", "Mateo", "Noor", "Olga", "Pavel", "Qadir", "Rosa", "Selim", "Tomás",
+)
+LAST_NAMES = (
+    "Abara", "Brandt", "Costa", "Dvorak", "Estévez", "Farkas", "Grgic", "Haddad", "Ito", "Jansen",
+    "Keller", "Lindqvist", "Moreau", "Novak", "Okafor", "Petrov", "Quispe", "Rossi", "Santos", "Tanaka",
+)
+FAMOUS_PEOPLE = ("Marie Curie", "Nelson Mandela", "Ada Lovelace", "Rosa Parks", "Alan Turing")
+
+
+def essay_text(text: Column) -> Column:
+    """Generated-looking variants of a text: notes, counts, preambles, links, placeholders."""
+    draw = hash_int("essay", "document") % 10
+    half = (F.length(text) / 2).cast("int")
+    left, right = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    joined = [
+        (0, F.concat(text, F.lit("\nNote: This essay was written by a model."))),
+        (1, F.concat(left, F.lit("\nNote: early."), right, F.lit("\nNote: late."))),
+        (2, F.concat(F.lit("Here is the essay:\n\n"), text, F.lit("\nWord count: 512"))),
+        (3, F.concat(text, F.lit("\n(Word Count: 400)"))),
+        (4, F.concat(text, F.lit(" <|ERROR|>"))),
+        (5, F.concat(text, F.lit(" see <<URL>> and (URL) [URL] here\n[URL: http://x.example.com]\nURL end"))),
+        (6, F.concat(text, F.lit("\n\nReferences\nSome  book"))),
+        (7, F.concat(F.lit("Here "), text)),
+        (8, F.concat(F.lit("<personal_name> met   <public_url> "), text)),
+    ]
+    out = text
+    for k, v in joined:
+        out = F.when(draw == k, v).otherwise(out)
+    return out
+
+
+def essays(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated essays (document, essay, names, famous_person, lang) built on `documents`."""
+    one = pick("name1", FIRST_NAMES, "document")
+    two = F.concat_ws("|", one, pick("name2", FIRST_NAMES, "document"))
+    k = hash_int("names", "document") % 3
+    names = F.when(k == 0, F.lit("")).when(k == 1, one).otherwise(two)
+    famous = F.when(hash_int("famous", "document") % 4 == 0, F.lit("")).otherwise(pick("who", FAMOUS_PEOPLE, "document"))
+    docs = documents(spark, sf)
+    return docs.select("document", "lang", essay_text(F.col("text")).alias("essay"), names.alias("names"), famous.alias("famous_person"))

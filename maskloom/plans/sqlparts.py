@@ -151,6 +151,23 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         + ", ".join(f"p{i} AS {qid(n)}" for i, n in enumerate(LABELS))
         + " FROM prob",
     ),
+    "essays": (
+        ("docs",),
+        f"""SELECT document, lang, CASE {h('essay', 'document')}%10
+          WHEN 0 THEN text||chr(10)||'Note: This essay was written by a model.'
+          WHEN 1 THEN left(text, length(text)//2)||chr(10)||'Note: early.'||substr(text, length(text)//2+1)||chr(10)||'Note: late.'
+          WHEN 2 THEN 'Here is the essay:'||chr(10)||chr(10)||text||chr(10)||'Word count: 512'
+          WHEN 3 THEN text||chr(10)||'(Word Count: 400)'
+          WHEN 4 THEN text||' <|ERROR|>'
+          WHEN 5 THEN text||' see <<URL>> and (URL) [URL] here'||chr(10)||'[URL: http://x.example.com]'||chr(10)||'URL end'
+          WHEN 6 THEN text||chr(10)||chr(10)||'References'||chr(10)||'Some  book'
+          WHEN 7 THEN 'Here '||text
+          WHEN 8 THEN '<personal_name> met   <public_url> '||text ELSE text END AS essay,
+          CASE {h('names', 'document')}%3 WHEN 0 THEN '' WHEN 1 THEN {pick('name1', fr.FIRST_NAMES, 'document')}
+            ELSE {pick('name1', fr.FIRST_NAMES, 'document')}||'|'||{pick('name2', fr.FIRST_NAMES, 'document')} END AS names,
+          CASE WHEN {h('famous', 'document')}%4=0 THEN '' ELSE {pick('who', fr.FAMOUS_PEOPLE, 'document')} END AS famous_person
+        FROM docs""",
+    ),
     "udocs": (
         (),
         "SELECT 'p'||page_id AS document, substr(html,1,200)||' '||url||' '||substr(html,201) AS text FROM pages",
