@@ -69,6 +69,15 @@ def fold_accents(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
 
+def to_ascii(c: Column) -> Column:
+    """Folded accents, and the letters that spell out as two."""
+    out = fold_accents(c)
+    for letter, spelled in SPELLED.items():
+        out = F.replace(out, F.lit(letter), F.lit(spelled))
+    return out
+
+
+SPELLED = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O"}
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 

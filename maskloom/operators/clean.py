@@ -128,7 +128,7 @@ def clean_names(raw: Column) -> Column:
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^\.+|\.+$", ""))
     lines = F.filter(lines, lambda x: ~x.rlike(r"[*|\\/:.@`]"))
     lines = F.transform(lines, lambda x: strip(F.regexp_replace(x, r"^(?:Female: |Male: )", "")))
-    lines = F.transform(lines, lambda x: tx.title(F.replace(tx.fold_accents(x), F.lit("@"), F.lit("a"))))
+    lines = F.transform(lines, lambda x: tx.title(F.replace(tx.to_ascii(x), F.lit("@"), F.lit("a"))))
     return F.filter(lines, lambda x: ~x.rlike("[1-5]") & (F.length(x) > 1))
 
 

@@ -132,6 +132,8 @@ def name_lists(spark, sf):
 
 _TITLE = "array_to_string(list_transform(regexp_extract_all(x,'\\p{L}+|[^\\p{L}]+'), lambda w: upper(left(w,1))||lower(substr(w,2))),'')"
 _FOLD = f"translate(x,'{tx.ACCENTED}','{tx.PLAIN}')"
+for _a, _b in tx.SPELLED.items():
+    _FOLD = f"replace({_FOLD},'{_a}','{_b}')"
 
 
 def _names_sql() -> str:
