@@ -10,7 +10,10 @@ from maskloom.functions.hashing import hash_int, pick
 from maskloom.functions.labels import LABELS
 from maskloom.operators import tokens as tk
 from maskloom.operators.scores import as_columns, softmax
+from maskloom.operators.spans import label_values
+from maskloom.operators.synth import KEY_TYPES, Banks, fill_generated
 from maskloom.operators.windows import assign_windows
+from maskloom.sources.io import written_once
 
 # How rule labels thin out candidates, as (seed, one in n).
 NAME_ONE_IN = 23
@@ -229,3 +232,24 @@ def essays(spark: SparkSession, sf: str) -> DataFrame:
     famous = F.when(hash_int("famous", "document") % 4 == 0, F.lit("")).otherwise(pick("who", FAMOUS_PEOPLE, "document"))
     docs = documents(spark, sf)
     return docs.select("document", "lang", essay_text(F.col("text")).alias("essay"), names.alias("names"), famous.alias("famous_person"))
+
+
+def banks() -> Banks:
+    return Banks(first=FIRST_NAMES, last=LAST_NAMES)
+
+
+def synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    """Essays with injected personal data and the values that went in."""
+    return fill_generated(essays(spark, sf), banks())
+
+
+def label_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled token table of the synthetic essays."""
+    docs = tk.colocate(synthetic(spark, sf).select("document", F.col("essay").alias("text"), *KEY_TYPES))
+    tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
+    return label_values(tokens, docs, KEY_TYPES)
+
+
+def synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled synthetic set as a table: made once per session, like any data set."""
+    return written_once(spark, f"synthetic:{sf}", lambda: label_synthetic(spark, sf))

@@ -112,3 +112,19 @@ def write_folds(docs: DataFrame, path: str) -> None:
 def append_scored(pairs: DataFrame, path: str, run_id: str) -> None:
     """Add the scored pairs of one run under its id."""
     pairs.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def written_once(spark: SparkSession, name: str, build) -> DataFrame:
+    """A table that several queries of a session share: written at first use, then read.
+
+    It lies in the shared folder, so a lost executor costs a re-read and no recomputation.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        path = scratch_dir(spark) + "/table"
+        write_parquet(build(), path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
