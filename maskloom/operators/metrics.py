@@ -136,8 +136,8 @@ def keep_runs(rows: DataFrame, runs: DataFrame, max_rows: int = 10_000) -> DataF
     if runs.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(runs), "run", "left_semi")
     salts = 64
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("document", "token"), F.lit(salts)))
-    copies = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    spread = rows.withColumn("_salt", F.pmod(F.hash("document", "token"), F.lit(salts)))
+    copies = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, ["run", "_salt"], "left_semi").drop("_salt")
 
 

@@ -125,7 +125,7 @@ def length_histogram(rows: DataFrame, value: str, bins: int = 100) -> DataFrame:
 def percentiles(rows: DataFrame, value: str, shares=(0.25, 0.5, 0.75, 0.9, 0.95, 1.0)) -> DataFrame:
     """Exact percentiles from value counts, which shrink the data before it is gathered."""
     counted = rows.groupBy(value).agg(F.count("*").alias("k"))
-    arr = F.percentile(value, F.array(*[F.lit(s) for s in shares]), "k")
+    arr = F.percentile(value, F.array(*[F.lit(s) for s in shares]), F.col("k"))
     return counted.agg(arr.alias("v")).select(
         F.inline(F.arrays_zip(F.array(*[F.lit(s) for s in shares]).alias("share"), F.col("v").alias("value")))
     )

@@ -280,7 +280,7 @@ def l23_missed_and_wrong_names(spark, sf):
 @query(
     "l24_title_negatives",
     with_parts(
-        f"""SELECT p.document, p.token, arg_min(g.token, ({h('title-neg', 'p.document', 'g.token')}, g.token)) AS negative FROM (SELECT document, token FROM gold WHERE label='B-NAME_STUDENT') p
+        f"""SELECT p.document, p.token, arg_min(g.token, ({h('title-neg', 'p.document', 'p.token', 'g.token')}, g.token)) AS negative FROM (SELECT document, token FROM gold WHERE label='B-NAME_STUDENT') p
             JOIN gold g ON p.document=g.document AND g.token>=p.token-20 AND g.token<p.token+20 AND g.label='O' AND length(g.token_text)>2 AND {istitle('g.token_text')} GROUP BY 1,2""",
         "gold",
     ),
