@@ -81,10 +81,13 @@ def shifted(arr: Column, by: int) -> Column:
     return F.concat(F.slice(arr, F.lit(k + 1), F.greatest(n - k, F.lit(0))), pad)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Use all cores for an input of few splits; larger inputs stay as they are read."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores, "document") if docs.rdd.getNumPartitions() < cores else docs
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a scan of few splits; larger scans stay as they are read.
+
+    For plain scans only: asking a plan with a shuffle for its partitions would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, "document") if scan.rdd.getNumPartitions() < cores else scan
 
 
 def colocate(docs: DataFrame) -> DataFrame:
@@ -92,8 +95,7 @@ def colocate(docs: DataFrame) -> DataFrame:
 
     `posexplode` keeps the partitioning, so later windows on `document` add no exchange.
     """
-    few = spread(docs)
-    return few if few is not docs else docs.repartition("document")
+    return docs.repartition("document")
 
 
 def token_spans(tokens: DataFrame) -> DataFrame:

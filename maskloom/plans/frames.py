@@ -36,7 +36,8 @@ def documents(spark: SparkSession, sf: str, colocated: bool = False) -> DataFram
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").cast("string").alias("document"), "text", "lang", "source"
     )
-    return tk.colocate(docs) if colocated else tk.spread(docs)
+    ready = tk.spread(docs)
+    return tk.colocate(docs) if colocated and ready is docs else ready
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,14 +224,14 @@ def essay_text(text: Column) -> Column:
     return out
 
 
-def essays(spark: SparkSession, sf: str) -> DataFrame:
+def essays(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
     """Generated essays (document, essay, names, famous_person, lang) built on `documents`."""
     one = pick("name1", FIRST_NAMES, "document")
     two = F.concat_ws("|", one, pick("name2", FIRST_NAMES, "document"))
     k = hash_int("names", "document") % 3
     names = F.when(k == 0, F.lit("")).when(k == 1, one).otherwise(two)
     famous = F.when(hash_int("famous", "document") % 4 == 0, F.lit("")).otherwise(pick("who", FAMOUS_PEOPLE, "document"))
-    docs = documents(spark, sf)
+    docs = documents(spark, sf, colocated)
     return docs.select("document", "lang", essay_text(F.col("text")).alias("essay"), names.alias("names"), famous.alias("famous_person"))
 
 
@@ -238,14 +239,14 @@ def banks() -> Banks:
     return Banks(first=FIRST_NAMES, last=LAST_NAMES)
 
 
-def synthetic(spark: SparkSession, sf: str) -> DataFrame:
+def synthetic(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
     """Essays with injected personal data and the values that went in."""
-    return fill_generated(essays(spark, sf), banks())
+    return fill_generated(essays(spark, sf, colocated), banks())
 
 
 def label_synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled token table of the synthetic essays."""
-    docs = tk.colocate(synthetic(spark, sf).select("document", F.col("essay").alias("text"), *KEY_TYPES))
+    docs = synthetic(spark, sf, colocated=True).select("document", F.col("essay").alias("text"), *KEY_TYPES)
     tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
     return label_values(tokens, docs, KEY_TYPES)
 
