@@ -1,7 +1,7 @@
 """Token ids of documents as flat binary files with 64-bit offsets, and their memory-mapped reader.
 
-A store is a mounted folder with, for shard k, `k.ids` (unsigned 32-bit little-endian ids of its
-documents one after another), `k.docs` (signed 64-bit document ids; null is the smallest value) and
+A store is a mounted folder with, for shard k, `k.ids` (unsigned little-endian ids of its documents one
+after another, 16 bits wide if the vocabulary has at most 65,536 ids, else 32), `k.docs` (signed 64-bit document ids; null is the smallest value) and
 `k.offsets` (unsigned 64-bit: where each document starts in the whole store, and the shard's end).
 Shards follow the order of document ids. Each shard is written by one task under a temporary name and
 renamed, so a repeated task leaves the same file; shard bases are the prefix sums of shard sizes.
@@ -26,6 +26,10 @@ from maskloom.llm.shared import mounted
 NO_ID = -(2**63)
 
 
+def id_type(tokenizer: str) -> str:
+    return "<u2" if len(encoder(tokenizer).width) <= 1 << 16 else "<u4"
+
+
 def _replace(path: str, attempt: int, *parts) -> None:
     with open(f"{path}.{attempt}", "wb") as f:
         for p in parts:
@@ -40,7 +44,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     separate documents, ordered by a hash of the text; without rows the store has no shard. The shards
     (shard, base, n_docs, n_tokens) are one row per task, which is what the prefix sum runs over.
     """
-    spark, place = docs.sparkSession, mounted(folder)
+    spark, place, width = docs.sparkSession, mounted(folder), id_type(tokenizer)
     os.makedirs(place, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +59,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                 keys.append(batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
                 for block in blocks(batch.column("text")):
                     ids, counts = with_end(*enc.encode(block), end_id)
-                    ids_file.write(ids.astype("<u4", copy=False))
+                    ids_file.write(ids.astype(width))
                     sizes.append(counts)
                     n_docs += len(counts)
                     n_tokens += len(ids)
@@ -99,7 +103,7 @@ def spread(shards: DataFrame, n: int) -> DataFrame:
     return shards.repartition(max(1, min(n, 4 * shards.sparkSession.sparkContext.defaultParallelism)), "shard")
 
 
-def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, n: int) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, n: int, width: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files through memory maps."""
     place = mounted(folder)
 
@@ -107,7 +111,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, n: int
         for batch in batches:
             for shard in batch.column("shard").to_pylist():
                 name = f"{place}/{shard:06d}"
-                ids = np.memmap(f"{name}.ids", dtype="<u4", mode="r")
+                ids = np.memmap(f"{name}.ids", dtype=width, mode="r")
                 starts = np.memmap(f"{name}.offsets", dtype="<u8", mode="r").astype(np.int64)
                 keys = np.memmap(f"{name}.docs", dtype="<i8", mode="r")
                 at = starts - starts[0]
@@ -118,7 +122,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, n: int
                             pa.array(np.array(keys[low:high]), mask=np.array(keys[low:high]) == NO_ID),
                             pa.array(starts[low:high]),
                             pa.array(np.diff(starts[low : high + 1])),
-                            pa.array([zlib.crc32(ids[at[i] : at[i + 1]]) for i in range(low, high)], pa.int64()),
+                            pa.array([zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4")) for i in range(low, high)], pa.int64()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
@@ -129,4 +133,4 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, n: int
 def token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Write the store and return what a reader finds in it."""
     shards = write_token_files(docs, folder, tokenizer, end_id)
-    return read_token_files(docs.sparkSession, folder, shards, shards.count())
+    return read_token_files(docs.sparkSession, folder, shards, shards.count(), id_type(tokenizer))
