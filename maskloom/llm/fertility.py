@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from maskloom.llm.blocks import SPACE, Block, Words, blocks, hash_runs, joined_hashes, mixed, words
 
@@ -23,11 +24,13 @@ SYMBOL[list(b"#*$%&|<>")] = True
 #: A document fails with fewer words, or with a larger percentage of repeated words.
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Quartile distances beyond the quartiles that a document may lie, and the least width of a band.
+#: Quartile distances beyond the quartiles that a document may lie, and the least width of a band. Prose that
+#: a vocabulary fits better than most of its language is no fault, so that side is wide.
 REACH = 6.0
-LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.1, "token_entropy": 1.5}
-#: Shorter documents have too few tokens for an entropy.
-ENTROPY_TOKENS = 100
+LEAST_WIDTH = {"chars_per_token": 0.4, "byte_share": 0.1, "token_entropy": 1.5}
+LEAST_WIDTH_ABOVE = 4.0
+#: Documents with fewer tokens have no stable share or entropy; only the base rules hold for them.
+LEAST_TOKENS = 100
 
 _WORDS = 2_000_000
 _WORKER: dict[str, "WordPieces"] = {}
@@ -215,9 +218,8 @@ def with_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
                 found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_m"])
 
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], MEASURES).schema
-    return docs.mapInArrow(measure, docs.schema.add("_m", out))
+    added = StructField("_m", StructType.fromDDL(MEASURES))
+    return docs.mapInArrow(measure, StructType([*docs.schema.fields, added]))
 
 
 def with_verdict(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
@@ -225,7 +227,8 @@ def with_verdict(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
 
     Bands: quartiles of all documents of a language (null language: of a script) that pass the base
     rules, on values rounded to hundredths, widened by `REACH` quartile distances or the least width.
-    Characters per token have a band on both sides, the byte share an upper and the entropy a lower one.
+    Characters per token have a band on both sides, the byte share an upper and the entropy a lower one;
+    they bind documents of at least `LEAST_TOKENS` tokens.
     """
     m = F.col("_m")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
@@ -237,11 +240,11 @@ def with_verdict(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
             group.alias("group"),
             (m["word_chars"] / tokens).alias("chars_per_token"),
             (m["n_byte_tokens"] / tokens).alias("byte_share"),
-            F.when(m["n_tokens"] >= ENTROPY_TOKENS, m["token_entropy"]).alias("token_entropy"),
+            m["token_entropy"].alias("token_entropy"),
         ),
     )
     values = (
-        rows.filter(~F.col("_base_failed"))
+        rows.filter(~F.col("_base_failed") & (m["n_tokens"] >= LEAST_TOKENS))
         .select(
             F.col("_f.group").alias("_group"),
             F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.round(F.col(f"_f.{k}"), 2).alias("v")) for k in LEAST_WIDTH])).alias("_x"),
@@ -253,17 +256,19 @@ def with_verdict(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
     quartiles = values.groupBy("_group", "name").agg(F.expr("percentile(v, array(0.25D, 0.75D), _n)").alias("_q"))
     width = F.create_map(*[F.lit(x) for kv in LEAST_WIDTH.items() for x in kv])
     reach = F.greatest(REACH * (F.col("_q")[1] - F.col("_q")[0]), width[F.col("name")])
+    above = F.when(F.col("name") == "chars_per_token", F.greatest(reach, F.lit(LEAST_WIDTH_ABOVE))).otherwise(reach)
     bands = quartiles.groupBy("_group").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", F.struct((F.col("_q")[0] - reach).alias("low"), (F.col("_q")[1] + reach).alias("high"))))).alias("_bands")
+        F.map_from_entries(F.collect_list(F.struct("name", F.struct((F.col("_q")[0] - reach).alias("low"), (F.col("_q")[1] + above).alias("high"))))).alias("_bands")
     )
     band = F.col("_bands")
     inside = (
         F.col("_f.chars_per_token").between(band["chars_per_token"]["low"], band["chars_per_token"]["high"])
         & (F.col("_f.byte_share") <= band["byte_share"]["high"])
-        & F.coalesce(F.col("_f.token_entropy") >= band["token_entropy"]["low"], F.lit(True))
+        & (F.col("_f.token_entropy") >= band["token_entropy"]["low"])
     )
+    judged = m["n_tokens"] >= LEAST_TOKENS
     return (
         rows.join(bands, F.col("_f.group") == F.col("_group"), "left")
-        .withColumn("_kept", ~F.col("_base_failed") & F.coalesce(inside, F.lit(False)))
+        .withColumn("_kept", ~F.col("_base_failed") & (~judged | F.coalesce(inside, F.lit(False))))
         .drop("_bands", "_group")
     )

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from maskloom.llm.fertility import with_measures, with_verdict
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
+from maskloom.llm.line_spread import without_boilerplate
+from maskloom.llm.mixing import mix
 from maskloom.llm.packing import pack
-from maskloom.llm.shared import shared_folder
+from maskloom.llm.shared import shared_folder, written
 from maskloom.llm.token_files import token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +45,98 @@ def op4_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
+
+
+@_query
+def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    measured = written(with_measures(docs, public_tokenizers.path(PIECES)).select("doc_id", "lang", "_m"))
+    return with_verdict(measured).select(
+        "doc_id",
+        *(f"_m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        F.col("_base_failed").alias("base_failed"),
+        F.col("_kept").alias("kept"),
+        "_f.chars_per_token",
+        "_f.byte_share",
+        "_f.token_entropy",
+        "lang",
+    )
+
+
+@_query
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+ORACLES["op5_mix_sources"] = r"""
+WITH rows AS (
+  SELECT doc_id, source, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS k,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  FROM rows GROUP BY source
+), limits AS (
+  SELECT *, 2.0 * source_size::DOUBLE AS most FROM sizes
+), amounts AS (
+  SELECT *, most / weight AS ratio,
+         (sum(source_size::DOUBLE) OVER () * 1.5 - coalesce(sum(most) OVER before, 0.0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0)) AS amount
+  FROM limits
+  WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT arg_min(amount, ratio) AS amount FROM amounts WHERE amount * weight <= most
+), budgets AS (
+  SELECT source, source_size, least(most, level.amount * weight) AS target FROM amounts, level
+), cut AS (
+  SELECT r.doc_id, r.source, r.size, b.source_size, b.target, CAST(round(b.target) AS BIGINT) AS budget,
+         coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.k, r.doc_id, r.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM rows r JOIN budgets b ON r.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, source,
+       CAST(coalesce(budget // nullif(source_size, 0), 0) * size
+            + greatest(0, least(size, budget - coalesce(budget // nullif(source_size, 0), 0) * source_size - start)) AS BIGINT) AS taken
+FROM cut
+"""
+
+
+@_query
+def op6_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = without_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return found.select(
+        "doc_id",
+        "_lines.n_lines",
+        "_lines.n_found",
+        "_lines.n_removed",
+        F.length("_lines.kept").cast("long").alias("kept_chars"),
+        F.md5("_lines.kept").alias("kept_md5"),
+    )
+
+
+ORACLES["op6_site_spread"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, coalesce(string_split(text, chr(10)), []) AS lines FROM documents
+), each AS (
+  SELECT doc_id, site, text, pos, line,
+         lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS k
+  FROM (SELECT doc_id, site, text, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM texts)
+), wide AS (
+  SELECT k FROM each WHERE regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]')
+  GROUP BY k HAVING count(DISTINCT site) >= 5
+), marked AS (
+  SELECT e.*, w.k IS NOT NULL AND regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]') AS found
+  FROM each e LEFT JOIN wide w USING (k)
+), per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (found) AS n_found,
+         coalesce(sum(length(line)) FILTER (found), 0) <= 0.5 * any_value(length(text)) AS drops,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT found), '') AS rest
+  FROM marked GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_found, 0) AS n_found,
+       CASE WHEN drops THEN n_found ELSE 0 END AS n_removed,
+       length(CASE WHEN drops AND n_found > 0 THEN rest ELSE text END) AS kept_chars,
+       md5(CASE WHEN drops AND n_found > 0 THEN rest ELSE text END) AS kept_md5
+FROM texts t LEFT JOIN per USING (doc_id)
+"""
