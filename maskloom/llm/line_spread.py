@@ -73,7 +73,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
-    """All rows and columns of `docs`, and struct `_lines` (n_lines, n_found, n_removed, kept).
+    """All rows and columns of `docs` (one named `_lines` is replaced), and struct `_lines` (n_lines, n_found, n_removed, kept).
 
     `n_found` counts lines on at least `min_sites` sites, `kept` is the text without them. A document that
     would lose more than `MOST_LOST` of its characters keeps all lines. Null text: 0 lines, `kept` null.
@@ -88,20 +88,19 @@ def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text
         .groupBy("text_key")
         .agg(F.sort_array(F.collect_set("at")).alias("_at"))
     )
-    rows = docs.withColumn("_key", text_key(F.col(text))).join(found, F.col("_key") == found["text_key"], "left")
-    all_lines = lines_of(F.col(text))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), text_key(F.col(text)).alias("text_key")
+    ).join(found, "text_key", "left")
     at = F.coalesce(F.col("_at"), F.array().cast("array<int>"))
-    lost = F.aggregate(F.transform(at, lambda i: F.length(F.get(F.col("_all"), i))), F.lit(0), lambda a, b: a + b)
-    rows = rows.withColumn("_all", all_lines).withColumn("_at", at)
-    rows = rows.withColumn("_drop", (F.size("_at") > 0) & (lost <= MOST_LOST * F.length(text)))
+    rows = rows.withColumn("_all", lines_of(F.col("_text"))).withColumn("_at", at)
+    lost = F.aggregate(F.transform("_at", lambda i: F.length(F.get(F.col("_all"), i))), F.lit(0), lambda a, b: a + b)
+    drop = (F.size("_at") > 0) & (lost <= MOST_LOST * F.length("_text"))
     positions = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_at"))
     kept = F.array_join(F.transform(positions, lambda i: F.get(F.col("_all"), i)), "\n")
-    return rows.withColumn(
-        "_lines",
-        F.struct(
-            F.size("_all").cast("long").alias("n_lines"),
-            F.size("_at").cast("long").alias("n_found"),
-            F.when(F.col("_drop"), F.size("_at")).otherwise(0).cast("long").alias("n_removed"),
-            F.when(F.col("_drop"), kept).otherwise(F.col(text)).alias("kept"),
-        ),
-    ).drop("_key", "text_key", "_at", "_all", "_drop")
+    found = F.struct(
+        F.size("_all").cast("long").alias("n_lines"),
+        F.size("_at").cast("long").alias("n_found"),
+        F.when(drop, F.size("_at")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(drop, kept).otherwise(F.col("_text")).alias("kept"),
+    )
+    return rows.select(*(f"_row.`{c}`" for c in docs.columns if c != "_lines"), found.alias("_lines"))

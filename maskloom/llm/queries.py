@@ -14,6 +14,7 @@ from maskloom.llm.line_spread import without_boilerplate
 from maskloom.llm.mixing import mix
 from maskloom.llm.packing import pack
 from maskloom.llm.shared import shared_folder, written
+from maskloom.llm.suffix_windows import without_repeats
 from maskloom.llm.token_files import token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -140,3 +141,10 @@ SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_found, 0) AS n_foun
        md5(CASE WHEN drops AND n_found > 0 THEN rest ELSE text END) AS kept_md5
 FROM texts t LEFT JOIN per USING (doc_id)
 """
+
+
+@_query
+def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = without_repeats(docs)
+    return found.select("doc_id", "_r.n_bytes", "_r.n_removed", "_r.n_spans", "_r.kept_sha256")
