@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm.fertility import with_measures, with_verdict
+from maskloom.llm.jaccard_join import near_duplicates
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
 from maskloom.llm.line_spread import without_boilerplate
 from maskloom.llm.mixing import mix
@@ -148,3 +149,9 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = without_repeats(docs)
     return found.select("doc_id", "_r.n_bytes", "_r.n_removed", "_r.n_spans", "_r.kept_sha256")
+
+
+@_query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "_j.n_shingles", "_j.component_id")
