@@ -13,6 +13,7 @@ from maskloom.llm.jaccard_join import near_duplicates
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
 from maskloom.llm.line_spread import without_boilerplate
 from maskloom.llm.mixing import mix
+from maskloom.llm.multi_index import search
 from maskloom.llm.packing import pack
 from maskloom.llm.shared import shared_folder, written
 from maskloom.llm.suffix_windows import without_repeats
@@ -155,3 +156,8 @@ def op9_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "_j.n_shingles", "_j.component_id")
+
+
+@_query
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
