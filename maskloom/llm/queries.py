@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.llm.cross_entropy import score
 from maskloom.llm.fertility import with_measures, with_verdict
 from maskloom.llm.jaccard_join import near_duplicates
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
@@ -161,3 +162,9 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@_query
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return score(documents(spark, sf_dir), good)
