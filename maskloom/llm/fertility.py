@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from maskloom.llm.blocks import SPACE, Block, Words, blocks, hash_runs, joined_hashes, mixed, words
+from maskloom.llm.shared import written
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -180,16 +181,11 @@ MEASURES = (
 )
 
 
-def with_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """All columns of `docs` and, as struct `_m`, the counts of each text (null: none).
-
-    Without words every count is 0, the entropy is 0 and the script NONE. Columns of the same names in
-    `docs` are not touched.
-    """
-    names = [p.split(" ")[0] for p in MEASURES.split(", ")]
-    schema = pa.schema(
-        [pa.field(n, pa.float64() if n == "token_entropy" else pa.string() if n == "script" else pa.int64()) for n in names]
-    )
+def measures(rows: DataFrame, text: str, keep: list[str], vocabulary: str) -> DataFrame:
+    """Columns `keep` of `rows` and struct `m`, the counts of each text. No words: counts of 0, script NONE."""
+    added = StructField("m", StructType.fromDDL(MEASURES))
+    types = {"token_entropy": pa.float64(), "script": pa.string()}
+    schema = pa.schema([pa.field(f.name, types.get(f.name, pa.int64())) for f in added.dataType])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces_of(vocabulary)
@@ -214,61 +210,60 @@ def with_measures(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
                 ]
                 parts.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema))
             if parts:
-                found = pa.Table.from_batches(parts).combine_chunks().to_struct_array()
-                found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
-                yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "_m"])
+                found = pa.Table.from_batches(parts).combine_chunks().to_struct_array().combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], [*keep, "m"])
 
-    added = StructField("_m", StructType.fromDDL(MEASURES))
-    return docs.mapInArrow(measure, StructType([*docs.schema.fields, added]))
+    return rows.mapInArrow(measure, StructType([*(rows.schema[c] for c in keep), added]))
 
 
-def with_verdict(measured: DataFrame, lang: str | None = "lang") -> DataFrame:
-    """Add `_base_failed`, `_kept` and the three measures to rows of `with_measures`.
+def judged(docs: DataFrame, vocabulary: str, text: str = "text", lang: str | None = "lang", keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` of `docs` (all, if not given; one named `_q` is replaced) and struct `_q`.
 
-    Bands: quartiles of all documents of a language (null language: of a script) that pass the base
-    rules, on values rounded to hundredths, widened by `REACH` quartile distances or the least width.
-    Characters per token have a band on both sides, the byte share an upper and the entropy a lower one;
-    they bind documents of at least `LEAST_TOKENS` tokens.
+    `_q` holds the counts of `MEASURES`, chars_per_token, byte_share, base_failed and kept. Null text has no
+    words and fails. Bands: quartiles of all documents of a language (null language, or no such column: of
+    a script) that pass the base rules, on values rounded to hundredths, widened by `REACH` quartile
+    distances or the least width. Characters per token have a band on both sides, the byte share an upper
+    and the entropy a lower one; they bind documents of at least `LEAST_TOKENS` tokens.
     """
-    m = F.col("_m")
+    names = [c for c in (docs.columns if keep is None else keep) if c != "_q"]
+    columns = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*names, text, *([lang] if lang else [])]))}
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in columns.items()))
+    carried = [columns[c] for c in dict.fromkeys([*names, *([lang] if lang else [])])]
+    rows = written(measures(rows, columns[text], carried, vocabulary))
+
+    m = F.col("m")
     base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     tokens = F.greatest(m["n_tokens"], F.lit(1))
-    group = F.coalesce(F.col(lang), m["script"]) if lang else m["script"]
-    rows = measured.withColumn("_base_failed", base).withColumn(
-        "_f",
-        F.struct(
-            group.alias("group"),
-            (m["word_chars"] / tokens).alias("chars_per_token"),
-            (m["n_byte_tokens"] / tokens).alias("byte_share"),
-            m["token_entropy"].alias("token_entropy"),
-        ),
+    rows = rows.withColumns(
+        {
+            "grp": F.coalesce(F.col(columns[lang]).cast("string"), m["script"]) if lang else m["script"],
+            "base_failed": base,
+            "chars_per_token": m["word_chars"] / tokens,
+            "byte_share": m["n_byte_tokens"] / tokens,
+            "token_entropy": m["token_entropy"],
+            "long": m["n_tokens"] >= LEAST_TOKENS,
+        }
     )
-    values = (
-        rows.filter(~F.col("_base_failed") & (m["n_tokens"] >= LEAST_TOKENS))
-        .select(
-            F.col("_f.group").alias("_group"),
-            F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.round(F.col(f"_f.{k}"), 2).alias("v")) for k in LEAST_WIDTH])).alias("_x"),
-        )
-        .groupBy("_group", "_x.name", "_x.v")
-        .agg(F.count("*").alias("_n"))
-        .filter("v IS NOT NULL")
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.round(k, 2).alias("v")) for k in LEAST_WIDTH])).alias("x")
+    quartiles = (
+        rows.filter("NOT base_failed AND long")
+        .select("grp", value)
+        .groupBy("grp", "x.name", "x.v")
+        .agg(F.count("*").alias("n"))
+        .groupBy("grp", "name")
+        .agg(F.expr("percentile(v, array(0.25D, 0.75D), n)").alias("q"))
     )
-    quartiles = values.groupBy("_group", "name").agg(F.expr("percentile(v, array(0.25D, 0.75D), _n)").alias("_q"))
     width = F.create_map(*[F.lit(x) for kv in LEAST_WIDTH.items() for x in kv])
-    reach = F.greatest(REACH * (F.col("_q")[1] - F.col("_q")[0]), width[F.col("name")])
+    reach = F.greatest(REACH * (F.col("q")[1] - F.col("q")[0]), width[F.col("name")])
     above = F.when(F.col("name") == "chars_per_token", F.greatest(reach, F.lit(LEAST_WIDTH_ABOVE))).otherwise(reach)
-    bands = quartiles.groupBy("_group").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", F.struct((F.col("_q")[0] - reach).alias("low"), (F.col("_q")[1] + above).alias("high"))))).alias("_bands")
-    )
-    band = F.col("_bands")
+    band = F.struct((F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + above).alias("high"))
+    bands = quartiles.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("name", band))).alias("bands"))
+    bands_of = F.col("bands")
     inside = (
-        F.col("_f.chars_per_token").between(band["chars_per_token"]["low"], band["chars_per_token"]["high"])
-        & (F.col("_f.byte_share") <= band["byte_share"]["high"])
-        & (F.col("_f.token_entropy") >= band["token_entropy"]["low"])
-    )
-    judged = m["n_tokens"] >= LEAST_TOKENS
-    return (
-        rows.join(bands, F.col("_f.group") == F.col("_group"), "left")
-        .withColumn("_kept", ~F.col("_base_failed") & (~judged | F.coalesce(inside, F.lit(False))))
-        .drop("_bands", "_group")
+        F.col("chars_per_token").between(bands_of["chars_per_token"]["low"], bands_of["chars_per_token"]["high"])
+        & (F.col("byte_share") <= bands_of["byte_share"]["high"])
+        & (F.col("token_entropy") >= bands_of["token_entropy"]["low"])
     )
+    kept = ~F.col("base_failed") & (~F.col("long") | F.coalesce(inside, F.lit(False)))
+    verdict = F.struct("m.*", "chars_per_token", "byte_share", "base_failed", kept.alias("kept"))
+    return rows.join(bands, "grp", "left").select(*(F.col(columns[c]).alias(c) for c in names), verdict.alias("_q"))

@@ -208,28 +208,41 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     return components(first.unionByName(second))
 
 
+def _labelled(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_row, id, th, tn) of `docs`, and their (id, th, tn, size, cls, label); label: the component as a class."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    keys = [F.xxhash64(own).alias("th"), F.octet_length(own).alias("tn")]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("id"), *keys)
+    slim = written(classes(docs.select(F.col(doc_id).alias("id"), *keys, own.alias("text")), n))
+    label = links(docs.select(*keys, own.alias("text")), slim, n, percent)
+    label = slim.join(label.withColumnRenamed("node", "cls"), "cls", "left")
+    return rows, label.withColumn("label", F.when(F.col("size") > 0, F.coalesce("label", "cls")))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All rows and columns of `docs` and struct `_j` (n_shingles, cls, component_id).
+    """All rows and columns of `docs` (one named `_j` is replaced) and struct `_j` (n_shingles, cls, component_id).
 
     Two texts link when 100 * intersection >= `percent` * union of their sets; `component_id` is the least
     doc_id that links reach (null ids are passed over; only null ids: null). A text without words has an
     empty set, links with nothing and is its own component. Rows with equal sets share a class.
     """
-    own = F.coalesce(F.col(text), F.lit(""))
-    keys = [F.xxhash64(own).alias("th"), F.octet_length(own).alias("tn")]
-    texts = docs.select(own.alias("text")).select(*keys, "text")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), own.alias("text")).select("_row", "_id", *keys, "text")
-    slim = written(classes(rows.select("_id", "th", "tn", "text"), n))
-    label = links(texts, slim, n, percent)
-    ids = slim.filter("size > 0").groupBy("cls").agg(F.min("_id").alias("_least"))
-    ids = ids.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = ids.groupBy("label").agg(F.min("_least").alias("_least"))
-    found = ids.select("cls", "label").join(least, "label").select("cls", F.col("_least").alias("component"))
-    per_text = slim.groupBy("th", "tn").agg(F.first("size").alias("size"), F.first("cls").alias("cls"))
-    per_text = per_text.join(found, "cls", "left")
-    return rows.drop("text").join(per_text, ["th", "tn"]).select(
-        *(f"_row.`{c}`" for c in docs.columns if c != "_j"),
-        F.struct(
-            F.col("size").alias("n_shingles"), "cls", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id")
-        ).alias("_j"),
+    rows, label = _labelled(docs, n, percent, text, doc_id)
+    least = label.filter("size > 0").groupBy("label").agg(F.min("id").alias("least"))
+    per_text = label.groupBy("th", "tn").agg(*(F.first(c).alias(c) for c in ("size", "cls", "label"))).join(least, "label", "left")
+    found = F.struct(
+        F.col("size").alias("n_shingles"), "cls", F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id")
     )
+    return rows.join(per_text, ["th", "tn"]).select(*(f"_row.`{c}`" for c in docs.columns if c != "_j"), found.alias("_j"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of each component of near duplicates: the one of least id (null last), then of least text hash.
+
+    Of rows that repeat id and text one stays. All texts without words stay.
+    """
+    rows, label = _labelled(docs, n, percent, text, doc_id)
+    kept = label.filter("size > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "tn")).alias("s"))
+    kept = kept.select(F.col("s.id").alias("_id"), F.col("s.th").alias("_th"), F.col("s.tn").alias("_tn"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("tn") == F.col("_tn"))
+    first = rows.join(kept, same).dropDuplicates(["_id", "_th", "_tn"]).select("_row.*")
+    return first.unionByName(docs.filter(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))

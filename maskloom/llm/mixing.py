@@ -57,36 +57,57 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST_EPOCHS, wei
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """(doc_id, source, size, source_size, target, start, taken) of every row of `docs`.
-
-    Size is the number of words, 0 for a null text. `start` is the sum of sizes before the document in its
-    source's random order, ties by doc_id and size; `taken` is what the mix takes of it, repeats counted:
-    sizes times the whole epochs, plus what lies below the rest of the budget. So the sum of `taken`
-    is the target rounded to words. Rows with equal keys and sizes are interchangeable. No rows, no result.
-    """
-    rows = written(
-        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(seed, "doc_id").alias("_key"))
-    )
+def _in_order(docs: DataFrame, seed: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, key, start, budget, epochs, rest) of every row."""
+    rows = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(seed, "doc_id").alias("key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    budgets = targets(sizes).withColumn("_parts", F.ceil(F.sqrt("_n")))
     # key ranges: as many per source as the root of its rows, so neither a range nor the list of ranges is long
-    share_of_key = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    dealt = rows.join(budgets, rows["source"].eqNullSafe(budgets["source"])).drop(budgets["source"])
+    budgets = targets(sizes).withColumn("_parts", F.ceil(F.sqrt("_n"))).withColumnRenamed("source", "_of")
+    share_of_key = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    dealt = rows.join(budgets, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     dealt = dealt.withColumn("_part", F.floor(share_of_key * F.col("_parts")))
     ranges = dealt.groupBy("source", "_part").agg(F.sum("size").alias("_size"))
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = ranges.select(
-        F.col("source").alias("_source"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base")
+        F.col("source").alias("_of"), F.col("_part").alias("_p"), F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base")
     )
-    inside = Window.partitionBy("source", "_part").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("_base") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
     return (
-        dealt.join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_p")))
-        .withColumn("start", start)
-        .withColumn("taken", epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))))
-        .select("doc_id", "source", "size", "source_size", "target", "start", "taken")
+        dealt.join(bases, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_p")))
+        .withColumns({"start": start, "epochs": epochs, "rest": budget - epochs * F.col("source_size")})
+        .select("doc_id", "source", "size", "source_size", "target", "key", "start", "epochs", "rest")
+    )
+
+
+def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """(doc_id, source, size, source_size, target, start, taken) of every row of `docs`.
+
+    Size is the number of words, 0 for a null text. `start` is the sum of sizes before the document in its
+    source's random order, ties by doc_id and size; `taken` is what the mix takes of it, repeats counted:
+    the size for each whole epoch, plus what lies below the rest of the budget. So the sum of `taken`
+    is the target rounded to words. Rows with equal keys and sizes are interchangeable. No rows, no result.
+    """
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
+    taken = F.col("epochs") * F.col("size") + part
+    return _in_order(docs, seed).select("doc_id", "source", "size", "source_size", "target", "start", taken.alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; whole texts.
+
+    A source's budget cuts its random order at one key, so rows are chosen by key and no text moves. The
+    document at the cut is taken if at least half of it lies within; rows with its key go with it.
+    """
+    taken = F.max(F.when(2 * F.col("start") + F.col("size") <= 2 * F.col("rest"), F.col("key")))
+    cuts = _in_order(docs, seed).groupBy("source").agg(F.first("epochs").alias("epochs"), taken.alias("last"))
+    cuts = cuts.select(F.struct("source", "epochs", "last").alias("_cut"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), random_key(seed, "doc_id").alias("_key"))
+    copies = F.col("_cut.epochs") + F.coalesce((F.col("_key") <= F.col("_cut.last")).cast("long"), F.lit(0))
+    return (
+        rows.join(cuts, F.col("_source").eqNullSafe(F.col("_cut.source")))
+        .select("_row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+        .select("_row.*")
     )

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm.cross_entropy import score
-from maskloom.llm.fertility import with_measures, with_verdict
+from maskloom.llm.fertility import judged
 from maskloom.llm.jaccard_join import near_duplicates
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
 from maskloom.llm.line_spread import without_boilerplate
 from maskloom.llm.mixing import mix
 from maskloom.llm.multi_index import search
 from maskloom.llm.packing import pack
-from maskloom.llm.shared import shared_folder, written
+from maskloom.llm.shared import shared_folder
 from maskloom.llm.suffix_windows import without_repeats
 from maskloom.llm.token_files import token_files
 
@@ -53,18 +53,9 @@ def op7_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    measured = written(with_measures(docs, public_tokenizers.path(PIECES)).select("doc_id", "lang", "_m"))
-    return with_verdict(measured).select(
-        "doc_id",
-        *(f"_m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
-        "_f.chars_per_token",
-        "_f.byte_share",
-        "_f.token_entropy",
-        "lang",
-    )
+    found = judged(documents(spark, sf_dir), public_tokenizers.path(PIECES), keep=["doc_id", "lang"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *(f"_q.{c}" for c in (*names, "chars_per_token", "byte_share", "token_entropy")), "lang")
 
 
 @_query
