@@ -1,7 +1,7 @@
 """Cross-entropy difference of documents under a target and a background bigram model.
 
-Both models count all texts of their side, share one vocabulary and one smoothing, and differ only in
-what they counted. A document's score is the mean over its tokens of target loss minus background loss:
+Both models count all texts of their side, share one vocabulary and one smoothing, and background counts
+are scaled to the size of the target, so they differ only in what they counted. A document's score is the mean over its tokens of target loss minus background loss:
 the lower, the more it reads like the target.
 
 The vocabulary has a fixed size: the most frequent words of all documents, and classes by ending for the
@@ -106,6 +106,7 @@ def tables(counts: DataFrame) -> np.ndarray:
     out = np.zeros((2, VOCABULARY, VOCABULARY))
     for s, b, ids, ns in zip(rows["side"].to_pylist(), rows["before"].to_pylist(), rows["ids"], rows["ns"]):
         out[s, b, ids.values.to_numpy()] = ns.values.to_numpy()
+    out[0] *= out[1].sum() / max(1.0, out[0].sum())
     return np.stack([losses(t) for t in out]).astype(np.float32)
 
 
@@ -114,7 +115,7 @@ def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: st
 
     `target_ids` (doc_id) names the target documents; the background is all documents. A text without
     words has 0 tokens and null scores. Null ids are never target; repeated ids count as often as they
-    occur. Without target documents the target model is uniform.
+    occur. Without target documents both models are uniform.
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
