@@ -18,8 +18,8 @@ def hash_int(seed: str, *keys) -> Column:
 
 
 def hash01(seed: str, *keys) -> Column:
-    """Uniform draw in [0, 1) with three decimals."""
-    return hash_int(seed, *keys) % 1000 / F.lit(1000.0)
+    """Uniform draw in [0, 1) from 32 bits."""
+    return hash_int(seed, *keys) / F.lit(float(1 << 32))
 
 
 def hash_pct(seed: str, *keys) -> Column:

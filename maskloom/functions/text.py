@@ -11,6 +11,9 @@ CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 HAS_CAPITAL = r"[\p{Lu}\p{Lt}]"
 BREAKS_TITLE = rf"[{CASED}][\p{{Lu}}\p{{Lt}}]|(?:^|[^{CASED}])\p{{Ll}}"
 
+# White space of Unicode and the four separators that count as such, for a character class.
+WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 URL_LIKE = r"http|www|://"
 
@@ -28,7 +31,7 @@ def islower(c: Column) -> Column:
 
 
 def isspace(c: Column) -> Column:
-    return c.rlike(r"^\s+$")
+    return c.rlike(f"^[{WHITE}]+$")
 
 
 def isdigit(c: Column) -> Column:

@@ -22,6 +22,8 @@ TAIL_MARKERS = (
     ("Please note", 0.8),
 )
 LAST_PARAGRAPH_SHARE = 0.95
+# Fixed value: characters between the starts of placeholders that count as one.
+NEAR_LINKS = 10
 # Lines that stand for a link.
 LINK_LINES = (
     r"\nURL: [^\n]+\]\n\n",
@@ -101,12 +103,43 @@ def cut_tails(text: Column) -> Column:
     return tx.let(reduce(lambda t, m: tx.let(t, lambda x: step(x, m)), TAIL_MARKERS, text), last_paragraph)
 
 
-def normalize_links(text: Column, passes: int = 6) -> Column:
+def normalize_links(text: Column) -> Column:
     """Link lines become ` <URL> `; of placeholders less than ten characters apart the first stays."""
-    out = F.regexp_replace(text, "|".join(LINK_LINES), " <URL> ")
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"(.?URL.{0,6}?)(?:[^\s\p{L}]?URL[^\s\p{L}]?)", "$1")
-    return out
+    return first_placeholders(F.regexp_replace(text, "|".join(LINK_LINES), " <URL> "))
+
+
+def first_placeholders(text: Column) -> Column:
+    """Drop each `URL`, with a character on both sides, that begins less than `NEAR_LINKS` after one before it.
+
+    One fold over the parts between placeholders carries the text so far, the start of the last
+    placeholder (also of a dropped one) and the end of what belongs to the last one kept. A line break is
+    never one of the characters beside a placeholder.
+    """
+
+    def step(s: Column, part: Column) -> Column:
+        size = F.length(s["out"])
+        before = ((size > s["end"]) & ~s["out"].endswith("\n")).cast("int")
+        start = size - before
+        after = ((F.length(part) > 0) & ~part.startswith("\n")).cast("int")
+        seen = s["end"] <= size  # the U of an adjoining placeholder belongs to the one before
+        near = seen & (s["last"] >= 0) & (start - s["last"] < NEAR_LINKS) & (start > s["last"])
+        dropped = F.concat(F.substring(s["out"], F.lit(1), start), F.substring(part, after + 1, F.length(part)))
+        kept = F.concat(s["out"], F.lit("URL"), part)
+        # at a text end or a line break nothing beside the placeholder is taken; an adjoining one lends its U
+        until = size + 3 + F.when(F.length(part) == 0, 1).otherwise(after)
+        return F.struct(
+            F.when(near, dropped).otherwise(kept).alias("out"),
+            F.when(seen & ~near, start).otherwise(s["last"]).cast("int").alias("last"),
+            F.when(near | ~seen, s["end"]).otherwise(until).cast("int").alias("end"),
+        )
+
+    def fold(t: Column) -> Column:
+        parts = F.split(t, "URL", -1)
+        first = F.struct(F.get(parts, F.lit(0)).alias("out"), F.lit(-1).alias("last"), F.lit(0).alias("end"))
+        out = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), first, step)["out"]
+        return F.when(F.size(parts) > 2, out).otherwise(t)
+
+    return tx.let(text, fold)
 
 
 def link_lines(text: Column) -> Column:

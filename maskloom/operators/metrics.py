@@ -131,14 +131,9 @@ def error_frequency(pairs: DataFrame, runs: DataFrame, marks, label: str, text:
     )
 
 
-def keep_runs(rows: DataFrame, runs: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Semi-join on the run name: broadcast when counted to be small, a salted join otherwise."""
-    if runs.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(runs), "run", "left_semi")
-    salts = 64
-    spread = rows.withColumn("_salt", F.pmod(F.hash("document", "token"), F.lit(salts)))
-    copies = runs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, ["run", "_salt"], "left_semi").drop("_salt")
+def keep_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Semi-join on the run name; the planner broadcasts few runs, and a hot run is split by the adaptive join."""
+    return rows.join(runs, "run", "left_semi")
 
 
 def span_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs of rows of the same document whose half-open spans overlap.
 
-    Columns of the two sides must differ except for `document`.
+    Columns of the two sides must differ except for `document`. `how` is "inner"; "left", which adds left
+    rows without any pair once, with nulls; or "padded", which costs no second join and gives a row of
+    nulls for every bucket of a left span without a pair: enough where an aggregate per left row follows.
     """
     ls, le = left_span
     rs, re_ = right_span
@@ -37,7 +39,12 @@ def overlap_join(
         & (F.col(rs) < F.col(le))
         & (begins == F.col("_bucket"))
     )
-    return a.join(b, cond, how).drop("_document", "_bucket", "_bucket_r")
+    pairs = a.join(b, cond, "left" if how == "padded" else "inner").drop("_document", "_bucket", "_bucket_r")
+    if how != "left":
+        return pairs
+    key = ["document", ls, le]
+    alone = left.join(pairs.select(*key).distinct(), key, "left_anti")
+    return pairs.unionByName(alone, allowMissingColumns=True)
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:

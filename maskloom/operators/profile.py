@@ -99,7 +99,7 @@ def domain_ending(url: Column) -> Column:
 
 def path_terms(url: Column) -> Column:
     """Path parts without their file ending."""
-    parts = F.slice(F.split(F.regexp_replace(url, "^.*?//", ""), "/"), F.lit(2), F.lit(1000))
+    parts = F.slice(F.split(F.regexp_replace(url, "^.*?//", ""), "/"), F.lit(2), F.length(url) + 1)
     named = F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.substring_index(p, ".", 1))
     return F.filter(named, lambda p: p != "")
 

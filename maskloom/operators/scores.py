@@ -48,7 +48,7 @@ def merge_windows(
     )
     toks = tokens.select("document", "token", "token_text", "start", "end")
     if pooling == "max":
-        pairs = overlap_join(toks, spans, ("start", "end"), ("piece_start", "piece_end"), how="left")
+        pairs = overlap_join(toks, spans, ("start", "end"), ("piece_start", "piece_end"), how="padded")
         return pairs.groupBy("document", "token").agg(
             F.first("token_text").alias("token_text"),
             *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in labels],
@@ -56,7 +56,7 @@ def merge_windows(
     if pooling != "mean":
         raise ValueError(f"unknown pooling {pooling}")
     once = spans.groupBy("document", "piece_start", "piece_end").agg(*[F.max(c).alias(c) for c in labels])
-    pairs = overlap_join(toks, once, ("start", "end"), ("piece_start", "piece_end"), how="left")
+    pairs = overlap_join(toks, once, ("start", "end"), ("piece_start", "piece_end"), how="padded")
     inside = F.sequence(F.greatest("start", "piece_start"), F.least("end", "piece_end") - 1)
     chars = pairs.withColumn("char", F.explode_outer(inside))
     per_char = chars.groupBy("document", "token", "char").agg(

@@ -81,15 +81,6 @@ def shifted(arr: Column, by: int) -> Column:
     return F.concat(F.slice(arr, F.lit(k + 1), F.greatest(n - k, F.lit(0))), pad)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a scan of few splits; larger scans stay as they are read.
-
-    For plain scans only: asking a plan with a shuffle for its partitions would run it.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, "document") if scan.rdd.getNumPartitions() < cores else scan
-
-
 def colocate(docs: DataFrame) -> DataFrame:
     """Hash-partition documents once, while they are still one compact row each.
 

@@ -13,7 +13,6 @@ from maskloom.operators.scores import as_columns, softmax
 from maskloom.operators.spans import label_values
 from maskloom.operators.synth import KEY_TYPES, Banks, fill_generated
 from maskloom.operators.windows import assign_windows
-from maskloom.sources.io import written_once
 
 # How rule labels thin out candidates, as (seed, one in n).
 NAME_ONE_IN = 23
@@ -36,8 +35,7 @@ def documents(spark: SparkSession, sf: str, colocated: bool = False) -> DataFram
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").cast("string").alias("document"), "text", "lang", "source"
     )
-    ready = tk.spread(docs)
-    return tk.colocate(docs) if colocated and ready is docs else ready
+    return tk.colocate(docs) if colocated else docs
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +58,7 @@ def url_documents(spark: SparkSession, sf: str) -> DataFrame:
             F.substring(html, F.lit(201), F.length(html)),
         ).alias("text"),
     )
-    return tk.spread(pages)
+    return pages
 
 
 def rule_kind(t: Column) -> Column:
@@ -244,13 +242,8 @@ def synthetic(spark: SparkSession, sf: str, colocated: bool = False) -> DataFram
     return fill_generated(essays(spark, sf, colocated), banks())
 
 
-def label_synthetic(spark: SparkSession, sf: str) -> DataFrame:
+def synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled token table of the synthetic essays."""
     docs = synthetic(spark, sf, colocated=True).select("document", F.col("essay").alias("text"), *KEY_TYPES)
     tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
     return label_values(tokens, docs, KEY_TYPES)
-
-
-def synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled synthetic set as a table: made once per session, like any data set."""
-    return written_once(spark, f"synthetic:{sf}", lambda: label_synthetic(spark, sf))

@@ -103,15 +103,20 @@ def i8_cut_tails(spark, sf):
     return digest(fr.essays(spark, sf), cl.cut_tails(F.col("essay")), "document")
 
 
-def _links_sql(x: str) -> str:
-    out = f"regexp_replace({x},{lit('|'.join(cl.LINK_LINES))},' <URL> ','g')"
-    for _ in range(6):
-        pat = r"(.?URL.{0,6}?)(?:[^\s\p{L}]?URL[^\s\p{L}]?)"
-        out = f"regexp_replace({out},{lit(pat)},'\\1','g')"
-    return out
-
-
-@query("i9_normalize_links", with_parts(digest_sql(_links_sql("essay"), "essays"), "essays"))
+# Placeholders of the essays stand in one short stretch, so the first one there is the one that stays. The
+# recursion takes the matches one by one: each drops the first match that is too near to one before.
+_LINKS = f"""SELECT document, x FROM (
+  SELECT document, x, row_number() OVER (PARTITION BY document ORDER BY step DESC) AS r FROM rounds) WHERE r=1"""
+_ROUNDS = f"""SELECT document, regexp_replace(essay,{lit('|'.join(cl.LINK_LINES))},' <URL> ','g') AS x, 0 AS step FROM essays
+  UNION ALL SELECT document, left(x, p)||substr(x, p+n+1), step+1 FROM (
+    SELECT document, x, step, unnest(starts) AS p, unnest(sizes) AS n, unnest([0]||starts[:-1]) AS q, unnest(range(len(starts))) AS i, starts FROM (
+      SELECT document, x, step, list_transform(range(1,len(m)+1), lambda i: list_sum([0]||list_transform(gaps[:i], lambda g: length(g)))+list_sum([0]||list_transform(m[:i-1], lambda g: length(g)))) ::BIGINT[] AS starts, list_transform(m, lambda g: length(g)) AS sizes FROM (
+        SELECT document, x, step, regexp_extract_all(x,'.?URL.?') AS m, regexp_split_to_array(x,'.?URL.?') AS gaps FROM rounds WHERE contains(x,'URL'))))
+  WHERE i>0 AND len(list_filter(starts[:i], lambda u: p-u BETWEEN 1 AND 9))>0
+  QUALIFY row_number() OVER (PARTITION BY document, step ORDER BY i)=1"""
+
+
+@query("i9_normalize_links", with_parts("SELECT document, length(x)::INT AS n, md5(x) AS text_md5 FROM links", "essays", rounds=_ROUNDS, links=_LINKS).replace("WITH ", "WITH RECURSIVE ", 1))
 def i9_normalize_links(spark, sf):
     return digest(fr.essays(spark, sf), cl.normalize_links(F.col("essay")), "document")
 
@@ -183,15 +188,6 @@ def i13_names_by_country(spark, sf):
     )
 
 
-@query(
-    "i14_contains_all_names",
-    with_parts("SELECT document, ns FROM (SELECT document, essay, names||'|e' AS ns FROM (SELECT * REPLACE (lower(left(names,2)) AS names) FROM essays) WHERE names<>'') WHERE len(list_filter(string_split(ns,'|'), lambda n: NOT contains(essay,n)))=0", "essays"),
-)
-def i14_contains_all_names(spark, sf):
-    rows = fr.essays(spark, sf).filter("names <> ''").withColumn("ns", F.concat(F.lower(F.substring("names", 1, 2)), F.lit("|e")))
-    return rows.filter(cl.contains_all(F.col("essay"), F.split("ns", r"\|"))).select("document", "ns")
-
-
 @query("i15_first_of_each_text", "SELECT min(doc_id) AS nr FROM (SELECT doc_id, array_to_string(string_split(text,' '),'') AS j FROM documents) GROUP BY j")
 def i15_first_of_each_text(spark, sf):
     docs = fr.documents(spark, sf).withColumn("nr", F.col("document").cast("long"))
@@ -245,12 +241,12 @@ def j1_folds(spark, sf):
     return docs.select("document", "fold", F.when(F.col("fold") == 1, "validation").otherwise(F.lit("train")).alias("part"))
 
 
-@query("j2_keep_pii_and_share", with_parts(f"SELECT document FROM docs WHERE document IN (SELECT document FROM gold WHERE label<>'O') OR {h('keep', 'document')}%1000<300", "gold"))
+@query("j2_keep_pii_and_share", with_parts(f"SELECT document FROM docs WHERE document IN (SELECT document FROM gold WHERE label<>'O') OR {h('keep', 'document')}/4294967296.0<0.3", "gold"))
 def j2_keep_pii_and_share(spark, sf):
     return sa.keep_pii_and_share(fr.gold_documents(spark, sf).select("document", "toks"), 0.3).select("document")
 
 
-@query("j3_hash_split", f"SELECT document, CASE WHEN {h('split', 'document')}%1000<200 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id::VARCHAR AS document FROM documents)")
+@query("j3_hash_split", f"SELECT document, CASE WHEN {h('split', 'document')}/4294967296.0<0.2 THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id::VARCHAR AS document FROM documents)")
 def j3_hash_split(spark, sf):
     return fr.documents(spark, sf).select("document", sa.split_column(0.2).alias("split"))
 
@@ -271,7 +267,7 @@ def j5_take_shuffled(spark, sf):
 
 
 _POISSON = "+".join(
-    f"(u>={sum(math.exp(-1.5) * 1.5**j / math.factorial(j) for j in range(k + 1))!r}::DOUBLE)::INT" for k in range(12)
+    f"(u>={sum(math.exp(-1.5) * 1.5**j / math.factorial(j) for j in range(k + 1))!r}::DOUBLE)::INT" for k in range(16)
 )
 
 

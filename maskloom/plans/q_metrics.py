@@ -217,21 +217,20 @@ def h16_what_if(spark, sf):
     "h16_surface",
     with_parts(
         f"""SELECT source, i, j, round(26.0*pp*rr/(25.0*pp+rr),6) AS fbeta FROM (
-             SELECT source, i, j, 0.5+i*0.5/99 AS pp, 0.5+j*0.5/99 AS rr FROM (
-               SELECT source, greatest(least(floor((tp/(tp+fp)::DOUBLE-0.5)*198),99),0)::BIGINT AS i, greatest(least(floor((tp/(tp+fn)::DOUBLE-0.5)*198),99),0)::BIGINT AS j
+             SELECT source, pp, rr, CASE WHEN pp>=0.5 THEN floor((pp-0.5)*198)::BIGINT END AS i, CASE WHEN rr>=0.5 THEN floor((rr-0.5)*198)::BIGINT END AS j FROM (
+               SELECT source, tp/(tp+fp)::DOUBLE AS pp, tp/(tp+fn)::DOUBLE AS rr
                FROM (SELECT source, {_COUNTS} FROM pairs JOIN (SELECT doc_id::VARCHAR AS document, source FROM documents) USING (document) GROUP BY 1)))""",
         "pred",
         pairs=_PAIRS,
     ),
 )
 def h16_surface(spark, sf):
-    """The cell of the precision x recall surface (100 x 100 over [0.5, 1]) of every source."""
+    """F-beta of every source at its precision and recall, and its cell of the surface (100 x 100 over [0.5, 1])."""
     sources = fr.documents(spark, sf).select("document", "source")
     by = mt.fbeta_score(pairs(spark, sf).join(sources, "document"), ("source",))
-    cell = lambda x: F.greatest(F.least(F.floor((x - 0.5) * 198), F.lit(99)), F.lit(0))
-    rows = by.select("source", cell(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("i"), cell(F.col("tp") / (F.col("tp") + F.col("fn"))).alias("j"))
-    at = lambda c: 0.5 + F.col(c) * 0.5 / 99
-    return rows.withColumn("fbeta", F.round(mt.fbeta_of_rates(at("i"), at("j")), 6))
+    cell = lambda x: F.when(x >= 0.5, F.floor((x - 0.5) * 198))
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    return by.select("source", cell(p).alias("i"), cell(r).alias("j"), F.round(mt.fbeta_of_rates(p, r), 6).alias("fbeta"))
 
 
 @query(

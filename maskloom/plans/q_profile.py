@@ -13,6 +13,7 @@ from maskloom.operators import tokens as tk
 from maskloom.plans import frames as fr
 from maskloom.plans import q_synth  # noqa: F401  (defines the SQL parts of the synthetic set)
 from maskloom.plans.q_spans import _URLTOK
+from maskloom.plans.q_rules import _DENSE, dense_names
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import h, istitle, lit, with_parts
 
@@ -54,24 +55,26 @@ _PAIRS = " UNION ALL ".join(
     "l6_transitions",
     with_parts(
         "SELECT distance, pair, count(*) AS n FROM prs WHERE pair IN ('BB','IB','II') GROUP BY 1,2",
-        "slab",
-        ks="SELECT document, token, CASE label WHEN 'B-NAME_STUDENT' THEN 'B' WHEN 'I-NAME_STUDENT' THEN 'I' END AS k FROM slab",
+        "tok",
+        dense=_DENSE,
+        ks="SELECT document, token, CASE label WHEN 'B-NAME_STUDENT' THEN 'B' WHEN 'I-NAME_STUDENT' THEN 'I' END AS k FROM dense",
         prs=_PAIRS,
     ),
 )
 def l6_transitions(spark, sf):
-    return pr.transitions(fr.synthetic_tokens(spark, sf))
+    return pr.transitions(dense_names(spark, sf))
 
 
 @query(
     "l7_inside_run_lengths",
     with_parts(
-        "SELECT length, count(*) AS n FROM (SELECT unnest(range(2,c+1))::INT AS length FROM (SELECT document, g, count(*) AS c FROM (SELECT document, token-row_number() OVER (PARTITION BY document ORDER BY token) AS g FROM slab WHERE label='I-NAME_STUDENT') GROUP BY 1,2)) GROUP BY 1",
-        "slab",
+        "SELECT length, count(*) AS n FROM (SELECT unnest(range(2,c+1))::INT AS length FROM (SELECT document, g, count(*) AS c FROM (SELECT document, token-row_number() OVER (PARTITION BY document ORDER BY token) AS g FROM dense WHERE label='I-NAME_STUDENT') GROUP BY 1,2)) GROUP BY 1",
+        "tok",
+        dense=_DENSE,
     ),
 )
 def l7_inside_run_lengths(spark, sf):
-    return pr.inside_run_lengths(fr.synthetic_tokens(spark, sf))
+    return pr.inside_run_lengths(dense_names(spark, sf))
 
 
 _SITE = "CASE WHEN contains(token_text,'youtube.com') OR contains(token_text,'youtu.be') THEN 'youtube' WHEN contains(token_text,'linkedin.com') THEN 'linkedin' WHEN contains(token_text,'facebook') OR contains(token_text,'fb.com') THEN 'facebook' ELSE 'other' END"

@@ -222,7 +222,7 @@ def _assertion(rows):
         "gold",
         pos=_ENT_GOLD,
         neg=f"""SELECT document, near AS token, 'O' AS label FROM (SELECT p.document, arg_min(g.token, ({h('neg-near', 'p.document', 'p.token', 'g.token')}, g.token)) AS near FROM pos p JOIN gold g ON p.document=g.document AND g.token>=p.token-50 AND g.token<p.token+50 AND g.label='O'
-                WHERE {h('neg', 'p.document', 'p.token')}%1000<50 GROUP BY p.document, p.token)""",
+                WHERE {h('neg', 'p.document', 'p.token')}/4294967296.0<0.05 GROUP BY p.document, p.token)""",
         src="SELECT * FROM pos UNION ALL SELECT * FROM neg",
         ar=around_sql("src", "gold", 50, 50),
     ),

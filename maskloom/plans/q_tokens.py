@@ -247,7 +247,7 @@ def b9_name_pieces(spark, sf):
     ).select("document", "span_start", "span_end").distinct()
     pieces = tk.subtokens(_gold_spans(spark, sf)).select("document", "token", "piece", "piece_start", "piece_end")
     named = (
-        overlap_join(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"), how="left")
+        overlap_join(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"), how="padded")
         .groupBy("document", "token", "piece", "piece_start")
         .agg(F.max(F.col("span_start").isNotNull()).alias("hit"))
     )

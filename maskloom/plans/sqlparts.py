@@ -44,7 +44,7 @@ def isupper(c: str) -> str:
 
 
 def isspace(c: str) -> str:
-    return f"regexp_matches({c},'^\\s+$')"
+    return f"regexp_matches({c},{lit('^[' + tx.WHITE + ']+$')})"
 
 
 TOKEN_RE = lit(

@@ -15,9 +15,16 @@ DOCUMENT_SCHEMA = (
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the shared folder of the cluster, or a temporary one in tests."""
+    """A fresh folder under `spark.checkpoint.dir`, the shared folder of the cluster.
+
+    Only a session without executors of its own may do without one; it gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="maskloom-")
+    if base:
+        return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="maskloom-")
 
 
 def read_documents_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
@@ -112,19 +119,3 @@ def write_folds(docs: DataFrame, path: str) -> None:
 def append_scored(pairs: DataFrame, path: str, run_id: str) -> None:
     """Add the scored pairs of one run under its id."""
     pairs.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
-
-
-_WRITTEN: dict[tuple[str, str], str] = {}
-
-
-def written_once(spark: SparkSession, name: str, build) -> DataFrame:
-    """A table that several queries of a session share: written at first use, then read.
-
-    It lies in the shared folder, so a lost executor costs a re-read and no recomputation.
-    """
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _WRITTEN:
-        path = scratch_dir(spark) + "/table"
-        write_parquet(build(), path)
-        _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
