@@ -55,7 +55,7 @@ _PIECE_SCORES = (
 @query(
     "c2_merge_windows",
     with_parts(
-        "SELECT document, count(*) AS n, round(sum(m0),4) AS b_email, round(sum(m2),4) AS b_name, round(sum(m11),4) AS o FROM (SELECT document, token, max(p0) AS m0, max(p2) AS m2, max(p11) AS m11 FROM pieces GROUP BY 1,2) GROUP BY 1",
+        "SELECT document, count(*) AS n, " + ", ".join(f"round(sum(m{i}),4) AS s{i}" for i in range(12)) + " FROM (SELECT document, token, " + ", ".join(f"max(p{i}) AS m{i}" for i in range(12)) + " FROM pieces GROUP BY 1,2) GROUP BY 1",
         "gold",
         pieces=_PIECE_SCORES,
     ),
@@ -68,27 +68,23 @@ def c2_merge_windows(spark, sf):
 
 def _sums(merged):
     return merged.groupBy("document").agg(
-        F.count("*").alias("n"),
-        F.round(F.sum("B-EMAIL"), 4).alias("b_email"),
-        F.round(F.sum("B-NAME_STUDENT"), 4).alias("b_name"),
-        F.round(F.sum("O"), 4).alias("o"),
+        F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(f"s{i}") for i, c in enumerate(LABELS)]
     )
 
 
 @query(
     "c3_pool_mean",
     with_parts(
-        """SELECT document, count(*) AS n, round(sum(m0),4) AS b_email, round(sum(m2),4) AS b_name, round(sum(m11),4) AS o FROM (
-            SELECT document, token, sum(m0*plen)/max(tlen) AS m0, sum(m2*plen)/max(tlen) AS m2, sum(m11*plen)/max(tlen) AS m11 FROM (
-              SELECT document, token, piece, plen, tlen, max(p0) AS m0, max(p2) AS m2, max(p11) AS m11 FROM pieces GROUP BY ALL) GROUP BY 1,2) GROUP BY 1""",
+        "SELECT document, count(*) AS n, " + ", ".join(f"round(sum(m{i}),4) AS s{i}" for i in range(12)) + " FROM (SELECT document, token, "
+        + ", ".join(f"sum(m{i}*plen)/max(tlen) AS m{i}" for i in range(12)) + " FROM (SELECT document, token, piece, plen, tlen, "
+        + ", ".join(f"max(p{i}) AS m{i}" for i in range(12)) + " FROM pieces GROUP BY document, token, piece, plen, tlen) GROUP BY 1,2) GROUP BY 1",
         "gold",
         pieces=_PIECE_SCORES,
     ),
 )
 def c3_pool_mean(spark, sf):
     tokens = tk.token_spans(fr.gold(spark, sf, colocated=True))
-    labels = ["B-EMAIL", "B-NAME_STUDENT", "O"]
-    return _sums(sc.merge_windows(fr.piece_scores(spark, sf), tokens, labels, pooling="mean"))
+    return _sums(sc.merge_windows(fr.piece_scores(spark, sf), tokens, pooling="mean"))
 
 
 def decode_sql(t: str, source: str = "prob", extra: str = "") -> str:
@@ -226,7 +222,7 @@ _PROB2 = (
 @query(
     "c13_replace_scores",
     with_parts(
-        "SELECT document, count(*) AS n, " + ", ".join(f"round(sum(coalesce(r{i},p{i})),4) AS s{i}" for i in (0, 2, 8, 11))
+        "SELECT document, count(*) AS n, " + ", ".join(f"round(sum(coalesce(r{i},p{i})),4) AS s{i}" for i in range(12))
         + " FROM prob LEFT JOIN prob2 USING (document, token) GROUP BY 1",
         "prob",
         prob2=_PROB2,
@@ -238,7 +234,7 @@ def c13_replace_scores(spark, sf):
     second = sc.softmax(fr.raw_scores(picked, "second", "document", "token"))
     final = sc.replace_scores(first, second)
     return final.groupBy("document").agg(
-        F.count("*").alias("n"), *[F.round(F.sum(LABELS[i]), 4).alias(f"s{i}") for i in (0, 2, 8, 11)]
+        F.count("*").alias("n"), *[F.round(F.sum(c), 4).alias(f"s{i}") for i, c in enumerate(LABELS)]
     )
 
 

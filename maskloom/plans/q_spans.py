@@ -370,9 +370,9 @@ _SHIFTS = ((0, 0), ("lag", 1), ("lag", 2), ("lead", 1), ("lead", 2))
 @query(
     "g3_score_features",
     with_parts(
-        "SELECT document, " + ", ".join(f"round(sum(s{k}_{i}),4) AS s{k}_{i}" for k in range(5) for i in (2, 11)) + ", min(60) AS width FROM ("
+        "SELECT document, " + ", ".join(f"round(sum(s{k}_{i}),4) AS s{k}_{i}" for k in range(5) for i in range(12)) + ", min(60) AS width FROM ("
         + "SELECT document, " + ", ".join(
-            (f"p{i} AS s{k}_{i}" if not f else f"coalesce({f}(p{i},{n}) OVER w,0) AS s{k}_{i}") for k, (f, n) in enumerate(_SHIFTS) for i in (2, 11)
+            (f"p{i} AS s{k}_{i}" if not f else f"coalesce({f}(p{i},{n}) OVER w,0) AS s{k}_{i}") for k, (f, n) in enumerate(_SHIFTS) for i in range(12)
         ) + " FROM prob WINDOW w AS (PARTITION BY document ORDER BY token)) GROUP BY 1",
         "prob",
     ),
@@ -381,24 +381,35 @@ def g3_score_features(spark, sf):
     rows = ft.score_vector(fr.wide_scores(spark, sf, colocated=True))
     at = lambda k, i: F.get("score_features", F.lit(12 * k + i))
     return rows.groupBy("document").agg(
-        *[F.round(F.sum(at(k, i)), 4).alias(f"s{k}_{i}") for k in range(5) for i in (2, 11)],
+        *[F.round(F.sum(at(k, i)), 4).alias(f"s{k}_{i}") for k in range(5) for i in range(12)],
         F.min(F.size("score_features")).alias("width"),
     )
 
 
+# Of a token's own features all but the position are the same wherever it is a neighbour, so they are summed once.
+_OWN = "+".join(f"({i + 1}*({e}))" for i, e in enumerate(features_sql("token_text", "0")) if i)
+_OWN_ROWS = f"SELECT document, token, label, n_tokens, {_OWN} AS c FROM gold"
+_SELECTED = (
+    "SELECT o.document, o.token, label AS gold_label, "
+    + ", ".join(f"round((token+{o})/n_tokens::DOUBLE+" + ("c" if not o else f"coalesce({'lag' if o < 0 else 'lead'}(c,{abs(o)}) OVER w,(SELECT {_OWN} FROM (SELECT '' AS token_text)))") + f",5) AS v{k}" for k, o in enumerate(ft.OFFSETS))
+    + ", round(" + "+".join(("a0" if not f else f"coalesce({f}(a{k},{n}) OVER w,0)") for k, (f, n) in enumerate(_SHIFTS)) + ",4) AS s, top FROM own o JOIN (SELECT document, token, greatest("
+    + ",".join(f"p{i}" for i in range(11)) + ") AS top, " + ", ".join("+".join(f"{12 * k + i + 1}*p{i}" for i in range(12)) + f" AS a{k}" for k in range(5))
+    + " FROM prob) q USING (document, token) WINDOW w AS (PARTITION BY document ORDER BY token)"
+)
+
+
 @query(
     "g4_training_rows",
     with_parts(
-        "SELECT document, token, label AS gold_label, v0 FROM (SELECT nb.document, nb.token, nb.label, " + f"round({'+'.join(f'({i + 1}*({e}))' for i, e in enumerate(_G2[1]))},5) AS v0 "
-        + "FROM (SELECT * FROM nb) nb) x JOIN prob USING (document, token) WHERE greatest(" + ",".join(f"p{i}" for i in range(11)) + ")>0.05 OR x.label<>'O'",
-        "prob",
-        nb=_NEIGH,
-    ).replace("SELECT document, token, label AS gold_label, v0", "SELECT document, token, x.label AS gold_label, v0"),
+        "SELECT * EXCLUDE (top) FROM selected WHERE top>0.05 OR gold_label<>'O'", "prob", own=_OWN_ROWS, selected=_SELECTED
+    ),
 )
 def g4_training_rows(spark, sf):
     rows = training_rows(spark, sf)
-    v = F.aggregate(F.transform(F.slice("features", 30, 29), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("document", "token", "gold_label", F.round(v, 5).alias("v0"))
+    total = lambda a: F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda t, x: t + x)
+    n = len(ft.TEXT_FEATURES)
+    text = [F.round(total(F.slice("features", n * k + 1, n)), 5).alias(f"v{k}") for k in range(len(ft.OFFSETS))]
+    return rows.select("document", "token", "gold_label", *text, F.round(total(F.col("score_features")), 4).alias("s"))
 
 
 def training_rows(spark, sf, cut: float = 0.05):
