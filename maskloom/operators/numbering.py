@@ -5,35 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskloom.sources.io import scratch_dir
 
-def dense_row_id(rows: DataFrame, ranges: int = 200) -> DataFrame:
+
+def dense_row_id(rows: DataFrame) -> DataFrame:
     """Add `row_id` 0..n-1 in (document, token) order.
 
-    Document ranges are cut at sampled border values. The borders are plain values in the
-    plan, so recomputed tasks place every row in the same range; rows are numbered inside
-    their range and shifted by the size of the ranges before it.
+    Documents with their row counts are range-partitioned into as many ranges as the session shuffles
+    into, and written with their range, so a recomputed task finds the same ranges. The sizes of earlier
+    ranges and of earlier documents of the range give each document its first id; rows are numbered
+    inside their document.
     """
-    borders = _borders(rows, ranges)
-    cuts = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<string>")
-    ranged = rows.withColumn("_range", F.size(F.filter(cuts, lambda b: b <= F.col("document"))))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `ranges` rows: one per range.
-    shifts = (
-        ranged.groupBy("_range")
-        .agg(F.count("*").alias("_n"))
-        .select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    )
-    inner = Window.partitionBy("_range").orderBy("document", "token")
-    return (
-        ranged.withColumn("_i", F.row_number().over(inner))
-        .join(F.broadcast(shifts), F.col("_range") == F.col("_r"))
-        .withColumn("row_id", F.col("_i") - 1 + F.col("_shift"))
-        .drop("_range", "_r", "_i", "_shift")
-    )
-
-
-def _borders(rows: DataFrame, ranges: int) -> list[str]:
-    """First document of each sampled range; at most `ranges` values reach the driver."""
-    parts = rows.select("document").repartitionByRange(ranges, "document")
-    firsts = parts.groupBy(F.spark_partition_id().alias("p")).agg(F.min("document").alias("d"))
-    return sorted(r.d for r in firsts.collect())[1:]
+    spark = rows.sparkSession
+    path = scratch_dir(spark)
+    sizes = rows.groupBy("document").agg(F.count("*").alias("_n")).repartitionByRange("document")
+    sizes.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    sizes = spark.read.parquet(path)
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    ranges = sizes.groupBy("_range").agg(F.sum("_n").alias("_size")).select("_range", F.sum("_size").over(earlier).alias("_base"))
+    before = Window.partitionBy("_range").orderBy("document").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce("_base", F.lit(0)) + F.coalesce(F.sum("_n").over(before), F.lit(0))
+    firsts = sizes.join(ranges, "_range").select("document", first.alias("_first"))
+    inner = Window.partitionBy("document").orderBy("token")
+    return rows.withColumn("_i", F.row_number().over(inner)).join(firsts, "document").withColumn(
+        "row_id", F.col("_first") + F.col("_i") - 1
+    ).drop("_i", "_first")

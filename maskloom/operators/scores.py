@@ -188,13 +188,26 @@ def one_hot_scores(labelled: DataFrame, sure: float = 0.98) -> DataFrame:
     return as_columns(labelled, [c for c in labelled.columns if c != "label"], cols)
 
 
-def score_with_model(
-    windows: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], labels=LABELS
-) -> DataFrame:
-    """Seam for a real model: it maps batches of windows to the same rows with score columns."""
-    from pyspark.sql.types import DoubleType, StructType
+def score_windows(windows: DataFrame, model: Callable[[list[str]], list[list[float]]], labels=LABELS) -> DataFrame:
+    """Seam for a real model: every call gets the tokens of one whole window and gives a score per label for each.
+
+    `windows` (document, window, first, tokens) have a row per window, so a batch never cuts one. Returns
+    (document, window, token) with one column per label, ready for a maximum over windows.
+    """
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = [[list(map(float, row)) for row in model(list(tokens))] for tokens in pdf["tokens"]]
+            yield pdf.drop(columns="tokens").assign(scores=scores)
+
+    scored = windows.select("document", "window", "first", "tokens").mapInPandas(
+        score, "document string, window int, first int, scores array<array<double>>"
+    )
+    return scored.select("document", "window", "first", F.posexplode("scores").alias("_i", "_s")).select(
+        "document", "window", (F.col("first") + F.col("_i")).alias("token"), *[F.col("_s")[i].alias(c) for i, c in enumerate(labels)]
+    )
+
 
-    schema = StructType(list(windows.schema.fields))
-    for c in labels:
-        schema = schema.add(c, DoubleType())
-    return windows.mapInPandas(model, schema)
+def best_over_windows(scored: DataFrame, labels=LABELS) -> DataFrame:
+    """(document, token) with the maximum of every label over the windows that hold the token."""
+    return scored.groupBy("document", "token").agg(*[F.max(c).alias(c) for c in labels])

@@ -9,6 +9,7 @@ from maskloom.functions.hashing import hash_int
 from maskloom.functions.labels import LABELS
 from maskloom.operators import scores as sc
 from maskloom.operators import tokens as tk
+from maskloom.operators import windows as wn
 from maskloom.plans import detect
 from maskloom.plans import frames as fr
 from maskloom.plans.registry import query
@@ -243,11 +244,14 @@ def c14_rule_scorer(spark, sf):
     return detect.flagship(spark, sf)
 
 
-@query("c14_model_hook")
+@query(
+    "c14_model_hook",
+    with_parts("SELECT 'B-ID_NUM' AS label, count(*) AS n FROM tok WHERE length(token_text)>7 AND regexp_matches(token_text,'[0-9]') HAVING count(*)>0", "tok"),
+)
 def c14_model_hook(spark, sf):
-    rows = tk.token_rows(tk.tokenize(fr.documents(spark, sf)).select("document", "toks")).select("document", "token", "token_text")
-    scored = sc.score_with_model(rows, detect.length_model)
-    return sc.decode(sc.with_top_two(scored), 0.9).groupBy("label").agg(F.count("*").alias("n"))
+    windows = wn.window_tokens(tk.tokenize(fr.documents(spark, sf)).select("document", "toks"), 512, 128)
+    best = sc.best_over_windows(sc.score_windows(windows, detect.length_model)).withColumn("token_text", F.lit(""))
+    return sc.decode(sc.with_top_two(best), 0.9).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -100,11 +100,11 @@ def test_first_of_each_text(spark):
     assert sorted(r.nr for r in cl.first_of_each_text(d, F.col("text")).collect()) == [1, 2]
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 50])
-def test_dense_row_id(spark, ranges):
-    rows = spark.createDataFrame([(f"d{i % 7}", i) for i in range(100)], "document STRING, token INT").repartition(5)
-    got = [(r.document, r.token) for r in numbering.dense_row_id(rows, ranges).orderBy("row_id").collect()]
-    ids = sorted(r.row_id for r in numbering.dense_row_id(rows, ranges).collect())
+@pytest.mark.parametrize("documents", [1, 7, 50])
+def test_dense_row_id(spark, documents):
+    rows = spark.createDataFrame([(f"d{i % documents}", i) for i in range(100)], "document STRING, token INT").repartition(5)
+    got = [(r.document, r.token) for r in numbering.dense_row_id(rows).orderBy("row_id").collect()]
+    ids = sorted(r.row_id for r in numbering.dense_row_id(rows).collect())
     assert got == sorted(got) and ids == list(range(100))
 
 

@@ -111,13 +111,26 @@ def test_align_labels_skips_spaces(spark):
     assert sorted(got) == [(0, 2, 11), (2, 3, 11), (2, 6, 2)]
 
 
-def test_model_seam(spark):
-    def model(batches):
-        for b in batches:
-            b["B-ID_NUM"] = (b["n"] > 1).astype(float)
-            b["O"] = 1.0 - b["B-ID_NUM"]
-            yield b
-
-    rows = spark.createDataFrame([("1", 1), ("2", 2)], "document STRING, n INT")
-    got = {r.document: r["B-ID_NUM"] for r in sc.score_with_model(rows, model, ["B-ID_NUM", "O"]).collect()}
-    assert got == {"1": 0.0, "2": 1.0}
+def test_model_seam_sees_whole_windows(spark):
+    """Scores that only come out right if every call gets one window with all its tokens."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(str(d), [(f"t{i}",) for i in range(n)]) for d, n in enumerate((0, 1, 5, 10, 23))]
+        docs = spark.createDataFrame(rows, "document string, toks array<struct<text: string>>")
+        windows = wn.window_tokens(docs, max_length=8, stride=2)
+
+        def model(tokens):
+            return [[len(tokens), int(tokens[0][1:])] for _ in tokens]
+
+        scored = sc.score_windows(windows, model, ["a", "b"])
+        got = sorted((int(r.document), r.window, r.token, r.a, r.b) for r in scored.collect())
+        want = []
+        for d, n in enumerate((0, 1, 5, 10, 23)):
+            for w, first in enumerate(range(0, max(n - 2, 1), 4)):
+                held = range(first, min(first + 6, n))
+                want += [(d, w, t, float(len(held)), float(first)) for t in held]
+        assert got == want
+        best = {(int(r.document), r.token): r.b for r in sc.best_over_windows(scored, ["a", "b"]).collect()}
+        assert best == {(d, t): max(f for e, _, u, _, f in want if (e, u) == (d, t)) for d, _, t, _, _ in want}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
