@@ -27,8 +27,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Quartile distances beyond the quartiles that a document may lie, and the least width of a band. Prose that
 #: a vocabulary fits better than most of its language is no fault, so that side is wide.
-REACH = 6.0
-LEAST_WIDTH = {"chars_per_token": 0.4, "byte_share": 0.1, "token_entropy": 1.5}
+REACH = 4.0
+LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "token_entropy": 0.5}
 LEAST_WIDTH_ABOVE = 4.0
 #: Documents with fewer tokens have no stable share or entropy; only the base rules hold for them.
 LEAST_TOKENS = 100

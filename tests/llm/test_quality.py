@@ -63,6 +63,22 @@ def test_fertility_measures_and_bands(spark):
     assert all(found[i].kept for i in range(60)) and not found[60].kept
 
 
+def without_wide_lines(rows):
+    """{doc_id: (lines, lines on 5 sites or more, removed lines, text that stays)} of (doc_id, text, site)."""
+    spread, out = collections.defaultdict(set), {}
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            if len(WORD.findall(x)) >= 3:
+                spread[x.strip().lower()].add(s)
+    for d, t, _ in rows:
+        lines = t.split("\n") if t is not None else []
+        wide = [len(spread.get(x.strip().lower(), ())) >= 5 for x in lines]
+        drop = any(wide) and sum(len(x) for x, w in zip(lines, wide) if w) <= 0.5 * len(t)
+        kept = "\n".join(x for x, w in zip(lines, wide) if not w) if drop else t
+        out[d] = (len(lines), sum(wide), sum(wide) if drop else 0, kept)
+    return out
+
+
 def test_lines_on_many_sites(spark):
     rng = random.Random(1)
     common = ["Terms and conditions apply", "  all rights RESERVED here ", "two words"]
@@ -73,19 +89,9 @@ def test_lines_on_many_sites(spark):
     copy = "\n".join([prose(rng, 9), prose(rng, 9)])
     rows += [(100 + i, copy, f"s{i}", 7) for i in range(8)] + [(200, None, "s1", 7), (201, "", None, 7), (202, rows[1][1], "s1", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key long").repartition(3)
-    spread = collections.defaultdict(set)
-    for _, t, s, _ in rows:
-        for x in (t or "").split("\n"):
-            if len(WORD.findall(x)) >= 3:
-                spread[x.strip().lower()].add(s)
     found = {r.doc_id: r for r in without_boilerplate(docs).collect()}
-    for d, t, _, _ in rows:
-        lines = t.split("\n") if t is not None else []
-        wide = [len(spread.get(x.strip().lower(), ())) >= 5 for x in lines]
-        drop = any(wide) and sum(len(x) for x, w in zip(lines, wide) if w) <= 0.5 * len(t)
-        kept = "\n".join(x for x, w in zip(lines, wide) if not w) if drop else t
-        r = found[d]
-        assert r.key == 7 and tuple(r._lines) == (len(lines), sum(wide), sum(wide) if drop else 0, kept)
+    for d, want in without_wide_lines([r[:3] for r in rows]).items():
+        assert found[d].key == 7 and tuple(found[d]._lines) == want
     assert found[1]._lines.n_removed and found[100]._lines.n_found == 2 and found[100]._lines.n_removed == 0
     assert without_boilerplate(empty(spark)).collect() == []
 

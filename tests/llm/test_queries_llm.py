@@ -1,5 +1,6 @@
 """Registered queries of the subpackage: SQL, brute force over whole tables, and the pipeline's stages."""
 
+import collections
 import os
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_pairs import repeats, sets_and_components
-from test_quality import counts
+from test_quality import counts, level_targets, without_wide_lines
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -101,6 +102,22 @@ def test_pipeline_stages(spark, texts):
             assert set(docs.columns) == set(columns)
             kept = {r.doc_id for r in docs.collect()}
             assert kept <= {d for d, t in texts.items() if counts(t)[0] >= 10}
+            verdict = {r.doc_id: r.kept for r in run(spark, "op10_fertility_rules")}
+            assert kept == {d for d, k in verdict.items() if k}
+        if name == "line dedup":
+            want = without_wide_lines([(r.doc_id, r.text, r.source) for r in before.collect()])
+            assert {r.doc_id: r.text for r in docs.collect()} == {d: v[3] for d, v in want.items()}
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+        if name.startswith("mixing"):
+            rows, copies = before.collect(), collections.Counter(r.doc_id for r in docs.collect())
+            sizes, taken = collections.Counter(), collections.Counter()
+            for r in rows:
+                sizes[r.source] += counts(r.text)[0]
+                taken[r.source] += counts(r.text)[0] * copies[r.doc_id]
+                assert copies[r.doc_id] <= 2
+            longest = max(counts(r.text)[0] for r in rows)
+            assert all(abs(taken[s] - t) <= longest for s, t in level_targets(sizes).items())
+            assert set(copies) <= {r.doc_id for r in rows}
         if name == "n-gram Jaccard join":
             rows = {r.doc_id: r.text for r in before.collect()}
             want = sets_and_components(rows.items(), 5, 80)
