@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DOCUMENT_SCHEMA = (
     "document STRING, full_text STRING, tokens ARRAY<STRING>, "
@@ -76,9 +78,9 @@ def read_runs_csv(spark: SparkSession, path: str, needed: str = "cm") -> DataFra
     )
     parts = []
     for row in headers.collect():
-        columns = row.header.split(",")
+        columns = next(csv.reader([row.header]))
         if needed in columns:
-            schema = ", ".join(f"`{c}` STRING" for c in columns)
+            schema = StructType([StructField(c, StringType()) for c in columns])
             parts.append(
                 spark.read.schema(schema)
                 .csv(row.files, header=True, quote='"', escape='"', multiLine=True)

@@ -10,6 +10,7 @@ from maskloom.functions.text import isspace
 from maskloom.operators import clean, profile, sample, synth
 from maskloom.operators.overlap import overlap_join
 from maskloom.plans import frames
+from maskloom.sources import io
 
 
 def first_placeholders(x):
@@ -88,3 +89,11 @@ def test_white_space_beyond_ascii(spark):
     rows = spark.createDataFrame(list(enumerate(signs)), "i int, t string")
     got = dict(map(tuple, rows.select("i", isspace(F.col("t"))).collect()))
     assert [got[i] for i in range(len(signs))] == [s.isspace() for s in signs]
+
+
+def test_run_files_with_quoted_headers(spark, tmp_path):
+    for run, header in (("a", 'document,"token, text",cm'), ("b", "cm,document"), ("c", "document")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "part.csv").write_text(header + "\n" + {"a": '1,"x\ny",TP', "b": "FP,2", "c": "3"}[run] + "\n")
+    got = io.read_runs_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.document, r.cm, r["token, text"]) for r in got) == [("1", "TP", "x\ny"), ("2", "FP", None)]
