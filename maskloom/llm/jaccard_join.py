@@ -23,8 +23,9 @@ from maskloom.llm.blocks import Block, blocks, joined_hashes, mixed, words
 from maskloom.llm.components import components
 from maskloom.llm.shared import written
 
-#: The first fragment's part of the order, and the number of fragments that overlaps are counted in.
-FIRST = 0.2
+#: By how much the first fragment's part of the order exceeds what a text may have of its own under the
+#: threshold: a text of unshared n-grams then shows more than that. And the fragments that overlaps are counted in.
+FIRST_OVER = 0.1
 FRAGMENTS = 4
 
 
@@ -96,9 +97,9 @@ def classes(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(find, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "size long", "cls long"]))
 
 
-def first_fragment(texts: DataFrame, n: int) -> DataFrame:
-    """(gram, cls): the n-grams of each text that lie in the first fragment of the order."""
-    limit = np.uint64(int(FIRST * 2**64))
+def first_fragment(texts: DataFrame, n: int, part: float) -> DataFrame:
+    """(gram, cls): the n-grams of each text that lie in the first `part` of the order."""
+    limit = np.uint64(int(part * 2**64))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,6 +128,10 @@ def sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(find, "cls long, size long, grams array<long>")
 
 
+def _in_fragment(k: int):
+    return lambda gram: F.pmod(F.shiftrightunsigned(gram, 40), F.lit(FRAGMENTS)) == k
+
+
 def _may_link(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -149,7 +154,7 @@ def overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
     """Labels (node, label) of classes with a partner; `known` (th, tn, size, cls) are the classes of `texts`."""
-    grams = first_fragment(texts, n).groupBy("gram").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b"))
+    grams = first_fragment(texts, n, 1 - percent / 100 + FIRST_OVER).groupBy("gram").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b"))
     alone = grams.filter("_a = _b").groupBy(F.col("_a").alias("cls")).agg(F.count("*").alias("_alone"))
     each = known.filter("size > 0").groupBy("cls", "size").agg(F.min(F.struct("th", "tn")).alias("_text"))
     left = each.join(alone, "cls", "left").filter(100 * F.coalesce("_alone", F.lit(0)) <= (100 - percent) * F.col("size"))
@@ -157,9 +162,10 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     s = written(sets(one.join(left.select("_text.th", "_text.tn"), ["th", "tn"]).select("text"), n))
 
     # rarest first: an n-gram of one class comes before all others and has no partner
-    places = s.select("cls", "size", F.explode("grams").alias("gram"))
-    shared = places.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = places.join(shared, "gram").groupBy("cls", "size").agg(F.sort_array(F.collect_list(F.struct("_n", "gram"))).alias("_order"))
+    places = s.select("cls", F.explode("grams").alias("gram"))
+    shared = written(places.groupBy("gram").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    kept = places.join(shared, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("_n", "gram"))).alias("_order"))
+    kept = kept.join(s.select("cls", "size"), "cls")
     prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     alone = F.col("size") - F.size("_order")
     lists = written(
@@ -168,14 +174,14 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
         .select("cls", "size", "_alone", F.posexplode(F.slice("_order", F.lit(1), (prefix - F.col("_alone")).cast("int"))).alias("_i", "_o"))
         .select("cls", "size", "_alone", F.col("_o.gram").alias("gram"), (F.col("_i") + F.col("_alone")).alias("at"))
     )
-    fragment = F.pmod(F.shiftrightunsigned("gram", 40), F.lit(FRAGMENTS))
+    cut = [F.filter("grams", _in_fragment(k)) for k in range(FRAGMENTS)]
     fragments = written(
-        places.join(lists.select("cls").distinct(), "cls", "left_semi")
-        .groupBy("cls", "size", fragment.alias("fragment"))
-        .agg(F.collect_list("gram").alias("part"))
+        s.join(lists.select("cls").distinct(), "cls", "left_semi")
+        .select("cls", "size", F.posexplode(F.array(*cut)).alias("fragment", "part"))
+        .filter(F.size("part") > 0)
     )
 
-    centre = lists.groupBy("gram").agg(F.min(F.struct("_alone", "cls", "size")).alias("_c"))
+    centre = written(lists.groupBy("gram").agg(F.min(F.struct("_alone", "cls", "size")).alias("_c")))
     near = (
         lists.join(centre, "gram")
         .filter((F.col("cls") != F.col("_c.cls")) & _may_link(F.col("size"), F.col("_c.size"), percent))
@@ -189,7 +195,7 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     named = lists.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named)
     main = named.join(centre.select("gram", F.col("_c.cls").alias("cls")), ["gram", "cls"], "left_semi").select("gram", F.col("label").alias("_main"))
-    apart = named.join(main, "gram").filter("label <> _main")
+    apart = written(named.join(written(main), "gram").filter("label <> _main"))
     x = apart.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("cls", "size", "at", "label")))
     y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("cls", "size", "at", "label")))
     room = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))

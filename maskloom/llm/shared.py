@@ -24,7 +24,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read again: a lost executor costs no recomputation."""
+    """`df` written once as Parquet in the shared folder and read again.
+
+    A lost executor then costs no recomputation. Aggregated keys that a skewed table is joined with are
+    written too: adaptive execution splits hot keys of a join only if both of its sides come from a plain shuffle.
+    """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
