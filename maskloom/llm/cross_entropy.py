@@ -121,7 +121,8 @@ def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: st
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = vocabulary(word_counts(slim))
     marks = target_ids.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("side", F.lit(1))
-    sided = slim.join(marks, "doc_id", "left").select("text", F.coalesce("side", F.lit(0)).alias("side"))
+    # one plan at every size: a broadcast of few marks would only hide that texts and marks meet by id
+    sided = slim.join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("side", F.lit(0)).alias("side"))
     model = spark.sparkContext.broadcast(tables(pair_counts(sided, known)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
