@@ -174,7 +174,7 @@ def _kinds(rows: DataFrame, core: str, one: str, two: str) -> DataFrame:
         .filter("_n >= 2")
         .select(core, ((F.col(f"_min_{one}") == F.col(f"_max_{one}")) & (F.col(f"_min_{two}") == F.col(f"_max_{two}"))).alias("_alike"))
     )
-    return rows.join(groups, core)
+    return rows.join(written(groups), core)
 
 
 def _single_windows(kinds: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _single_windows(kinds: DataFrame) -> DataFrame:
     single = single.select(
         *run, "n", "d", F.xxhash64("core", "d", *sides).alias("k1"), F.xxhash64(F.lit(7), "core", "d", *sides).alias("k2")
     )
-    twice = single.groupBy("k1", "k2").agg(F.sum("n").alias("_n")).filter("_n >= 2").select("k1", "k2")
+    twice = written(single.groupBy("k1", "k2").agg(F.sum("n").alias("_n")).filter("_n >= 2").select("k1", "k2"))
     found = single.join(twice, ["k1", "k2"], "left_semi").select(*run, F.col("d").alias("from"), F.col("d").alias("to"))
     return alike.unionByName(found)
 
@@ -215,7 +215,7 @@ def repeated_windows(docs: DataFrame, size: int = 400, text: str = "text") -> tu
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= size)
     base = base.select(*text_keys(F.col("text")), "text")
     every = written(anchors(base, size))
-    twice = every.groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2").select("key")
+    twice = written(every.groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2").select("key"))
     ats = every.join(twice, "key", "left_semi").groupBy("th", "tn").agg(F.collect_set("at").alias("ats"))
     texts = base.groupBy("th", "tn").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     texts = written(texts.join(ats, ["th", "tn"]))
@@ -228,7 +228,7 @@ def repeated_windows(docs: DataFrame, size: int = 400, text: str = "text") -> tu
         F.collect_list(F.struct("core", "r1", "r2", F.col("_at.start").alias("start"), "low", "high", "n")).alias("runs")
     )
     sides = written(with_sides(texts.join(listed, ["th", "tn"]).select("text", "runs"), size))
-    windows = _single_windows(sides).groupBy(*run).agg(F.collect_set(F.struct("from", "to")).alias("_d"))
+    windows = written(_single_windows(sides).groupBy(*run).agg(F.collect_set(F.struct("from", "to")).alias("_d")))
     whole = runs.filter("_alike").select("th", "tn", "start", F.array(F.struct(F.col("low").alias("from"), F.col("high").alias("to"))).alias("_d"))
     parts = mixed_runs.join(windows, run).select("th", "tn", "start", "_d")
     span = F.transform("_d", lambda d: F.struct((F.col("start") - d["to"]).alias("first"), (F.col("start") - d["from"]).alias("last")))
