@@ -81,10 +81,10 @@ def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text
     one entry; the hot ones are split by the adaptive join.
     """
     lines = written(site_lines(docs, site, text))
-    found = (
+    found = written(
         lines.select("text_key", "at", "key")
         .distinct()
-        .join(boilerplate(lines, min_sites), "key", "left_semi")
+        .join(written(boilerplate(lines, min_sites)), "key", "left_semi")
         .groupBy("text_key")
         .agg(F.sort_array(F.collect_set("at")).alias("_at"))
     )
