@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.blocks import Block, blocks, joined_hashes, mixed, words
+from maskloom.llm.blocks import BLOCK, Block, blocks, joined_hashes, mixed, words
 from maskloom.llm.components import components
 from maskloom.llm.shared import written
 
@@ -112,12 +113,39 @@ def first_fragment(texts: DataFrame, n: int, part: float) -> DataFrame:
     return texts.mapInArrow(find, "gram long, cls long")
 
 
-def sets(texts: DataFrame, n: int) -> DataFrame:
-    """(cls, size, grams): the set of each text, ascending as unsigned hashes."""
+def compressed(texts: DataFrame) -> DataFrame:
+    """(th, tn, packed): texts as Zstandard frames, about half of what a shuffle makes of them."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            parts = []
             for block in blocks(batch.column("text")):
+                parts += [codec.compress(block.text(i)) for i in range(len(block))]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), batch.column("tn"), pa.array(parts, pa.binary())], ["th", "tn", "packed"])
+
+    return texts.mapInArrow(pack, "th long, tn int, packed binary")
+
+
+def sets(texts: DataFrame, n: int) -> DataFrame:
+    """(cls, size, grams): the set of each text of `compressed`, ascending as unsigned hashes."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+        """Texts again, in parts of about the size of a block."""
+        codec, part, size = zstandard.ZstdDecompressor(), [], 0
+        for batch in batches:
+            for x in batch.column("packed"):
+                part.append(codec.decompress(x.as_py()))
+                size += len(part[-1])
+                if size >= BLOCK:
+                    yield pa.array(part, pa.binary())
+                    part, size = [], 0
+        if part:
+            yield pa.array(part, pa.binary())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in unpacked(batches):
+            for block in blocks(texts):
                 h, doc, sizes = gram_sets(block, n)
                 offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -158,8 +186,8 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     alone = grams.filter("_a = _b").groupBy(F.col("_a").alias("cls")).agg(F.count("*").alias("_alone"))
     each = known.filter("size > 0").groupBy("cls", "size").agg(F.min(F.struct("th", "tn")).alias("_text"))
     left = each.join(alone, "cls", "left").filter(100 * F.coalesce("_alone", F.lit(0)) <= (100 - percent) * F.col("size"))
-    one = texts.groupBy("th", "tn").agg(F.first("text").alias("text"))
-    s = written(sets(one.join(left.select("_text.th", "_text.tn"), ["th", "tn"]).select("text"), n))
+    one = compressed(texts).groupBy("th", "tn").agg(F.first("packed").alias("packed"))
+    s = written(sets(one.join(left.select("_text.th", "_text.tn"), ["th", "tn"]).select("packed"), n))
 
     # rarest first: an n-gram of one class comes before all others and has no partner
     places = s.select("cls", F.explode("grams").alias("gram"))
