@@ -103,7 +103,7 @@ def mixed_rows(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """
     taken = F.max(F.when(2 * F.col("start") + F.col("size") <= 2 * F.col("rest"), F.col("key")))
     cuts = _in_order(docs, seed).groupBy("source").agg(F.first("epochs").alias("epochs"), taken.alias("last"))
-    cuts = cuts.select(F.struct("source", "epochs", "last").alias("_cut"))
+    cuts = written(cuts.select(F.struct("source", "epochs", "last").alias("_cut")))  # of known size when texts are joined
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("_source"), random_key(seed, "doc_id").alias("_key"))
     copies = F.col("_cut.epochs") + F.coalesce((F.col("_key") <= F.col("_cut.last")).cast("long"), F.lit(0))
     return (
