@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 _STEP = 1 << 19
 _ODD = 0x9E3779B97F4A7C15 | 1
 _TABLE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -44,7 +44,7 @@ class Block:
 def blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK) -> Iterator[Block]:
     """Cut a column into blocks of about `most` bytes (one longer text makes its own block); null reads as empty."""
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        part = pc.fill_null(part.cast(pa.large_string()), "")
+        part = pc.fill_null(part.cast(pa.large_binary()), b"")
         if not len(part):
             continue
         _, places, values = part.buffers()
@@ -56,6 +56,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, most: int = BLOCK) -> Iterator[Bl
             base = offsets[row]
             yield Block(row, data[base : offsets[end]], offsets[row:end] - base, offsets[row + 1 : end + 1] - base)
             row = end
+    pa.default_memory_pool().release_unused()  # else workers keep what their largest batch took
 
 
 def _powers() -> list[np.ndarray]:

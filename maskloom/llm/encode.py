@@ -23,8 +23,8 @@ ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 SIGN = np.zeros(256, dtype=bool)
 SIGN[0x21:0x7F] = True
 SIGN &= ~ALNUM
-_PIECES = 2_000_000
-_IDS = 16_000_000
+_PIECES = 1_200_000
+_IDS = 8_000_000
 _JOIN = 1 << 16
 _WORKER: dict[str, "Encoder"] = {}
 

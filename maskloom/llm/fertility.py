@@ -33,7 +33,7 @@ LEAST_WIDTH_ABOVE = 4.0
 #: Documents with fewer tokens have no stable share or entropy; only the base rules hold for them.
 LEAST_TOKENS = 100
 
-_WORDS = 2_000_000
+_WORDS = 800_000
 _WORKER: dict[str, "WordPieces"] = {}
 
 
