@@ -257,7 +257,9 @@ def judged(docs: DataFrame, vocabulary: str, text: str = "text", lang: str | Non
     reach = F.greatest(REACH * (F.col("q")[1] - F.col("q")[0]), width[F.col("name")])
     above = F.when(F.col("name") == "chars_per_token", F.greatest(reach, F.lit(LEAST_WIDTH_ABOVE))).otherwise(reach)
     band = F.struct((F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + above).alias("high"))
-    bands = quartiles.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("name", band))).alias("bands"))
+    bands = written(  # of known size when texts are joined
+        quartiles.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("name", band))).alias("bands"))
+    )
     bands_of = F.col("bands")
     inside = (
         F.col("chars_per_token").between(bands_of["chars_per_token"]["low"], bands_of["chars_per_token"]["high"])
