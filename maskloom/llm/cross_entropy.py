@@ -4,8 +4,9 @@ Both models count all texts of their side, share one vocabulary and one smoothin
 are scaled to the size of the target, so they differ only in what they counted. A document's score is the mean over its tokens of target loss minus background loss:
 the lower, the more it reads like the target.
 
-The vocabulary has a fixed size: the most frequent words of all documents, and classes by ending for the
-rest, so every token has an id and the loss tables have `VOCABULARY` squared cells however large the input.
+The vocabulary is every word of the input, and every bigram that occurs has a count of its own: words and bigrams
+are 64-bit hashes, their counts Spark tables that grow with the input. Workers hold the losses of the most frequent
+bigrams (`HOT` at most) and sum those in place; all others of a document meet the table by a join.
 """
 
 from __future__ import annotations
@@ -13,19 +14,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskloom.llm.blocks import LOWER, Block, blocks, words
+from maskloom.llm.blocks import Block, blocks, words
+from maskloom.llm.shared import written
 
-#: Ids: frequent words, then ending classes, then the start of a text.
-VOCABULARY = 2048
-ENDINGS = 512
-FREQUENT = VOCABULARY - ENDINGS - 1
-START = VOCABULARY - 1
+#: What stands before the first word of a text.
+START = np.uint64(0x53544152545F4F46)
 #: Weight of the unigram distribution, in tokens.
 PRIOR = 50.0
+#: Bigrams whose losses every worker holds, at most; it decides where a loss is looked up, not what it is.
+HOT = 1 << 19
+_TURN = 21
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -41,105 +44,145 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> np.ndarray:
-    """Hashes of the `FREQUENT` most frequent words, ascending; ties to the smaller hash."""
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").collect()
-    return np.sort(np.array([r.word for r in top], dtype=np.int64).view(np.uint64))
+def vocabulary(counts: DataFrame) -> int:
+    """Number of ids: every word, and the start of a text."""
+    return counts.count() + 1
 
 
-def token_ids(block: Block, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all tokens of a block, the ids before them in their text, and the tokens per text."""
+def bigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a block and of the tokens before them in their text, their document, and the tokens per text."""
     w = words(block, lower=True)
-    at = np.searchsorted(known, w.hash)
-    hit = np.zeros(len(at), dtype=bool)
-    inside = at < len(known)
-    hit[inside] = known[at[inside]] == w.hash[inside]
-    end = np.zeros(len(at), np.int64)
-    for k in (1, 2, 3):
-        place = w.ends - k
-        end = end * 263 + np.where(place >= w.starts, LOWER[block.data[np.maximum(place, 0)]], 0)
-    ids = np.where(hit, at, FREQUENT + end % ENDINGS)
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
+    before = np.empty(len(w.hash), np.uint64)
+    before[1:] = w.hash[:-1]
     before[(np.cumsum(w.counts) - w.counts)[w.counts > 0]] = START
-    return ids, before, w.counts
+    return w.hash, before, w.doc, w.counts
 
 
-def pair_counts(docs: DataFrame, known: np.ndarray) -> DataFrame:
-    """(side, before, ids, counts) from (text, side): bigrams of all texts; side 1 counts as target as well as background."""
-    cells = VOCABULARY * VOCABULARY
+def keys_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key of a bigram, the same as `key_of` gives."""
+    return (before << np.uint64(_TURN)) ^ (before >> np.uint64(64 - _TURN)) ^ word
+
+
+def key_of(before: str, word: str) -> Column:
+    return F.shiftleft(before, _TURN).bitwiseXOR(F.shiftrightunsigned(before, 64 - _TURN)).bitwiseXOR(F.col(word))
+
+
+def side_counts(docs: DataFrame) -> DataFrame:
+    """(before, word, n, target) from (text, side): occurrences of each bigram in all texts, and in those of side 1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, cells), np.int64)
         for batch in batches:
             side = batch.column("side").to_numpy(zero_copy_only=False)
             for b in blocks(batch.column("text")):
-                ids, before, n = token_ids(b, known)
-                pair = before * VOCABULARY + ids
-                total[0] += np.bincount(pair, minlength=cells)
-                target = np.repeat(side[b.first : b.first + len(b)] == 1, n)
-                total[1] += np.bincount(pair[target], minlength=cells)
-        for s in (0, 1):
-            at = np.flatnonzero(total[s])
-            for low in range(0, len(at), 1 << 18):
-                k = at[low : low + (1 << 18)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(k), s, np.int32)), pa.array((k // VOCABULARY).astype(np.int32)), pa.array((k % VOCABULARY).astype(np.int32)), pa.array(total[s][k])],
-                    ["side", "before", "id", "n"],
-                )
+                word, before, doc, _ = bigrams(b)
+                if not len(word):
+                    continue
+                code, seen = pd.factorize(keys_of(before, word))
+                first = np.empty(len(seen), np.int64)
+                first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+                n = np.bincount(code, minlength=len(seen))
+                target = np.bincount(code[side[b.first : b.first + len(b)][doc] == 1], minlength=len(seen))
+                columns = [before[first].view(np.int64), word[first].view(np.int64), n.astype(np.int64), target.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["before", "word", "n", "target"])
+
+    counted = docs.select("text", "side").mapInArrow(count, "before long, word long, n long, target long")
+    return counted.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+
 
-    counted = docs.select("text", "side").mapInArrow(count, "side int, before int, id int, n long")
-    return counted.groupBy("side", "before", "id").agg(F.sum("n").alias("n"))
+def pair_counts(docs: DataFrame, known: int | None = None) -> DataFrame:
+    """(side, before, word, n) from (text, side): `side_counts` by side; side 1 counts as target as well as background.
+
+    `known` is not needed for the counts, since no word is left out.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("n")) for s, c in enumerate(("n", "target"))])).alias("x")
+    return side_counts(docs).select("before", "word", each).filter("x.n > 0").select("x.side", "before", "word", "x.n")
 
 
 def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Bits of each id after each id, from a table of counts: a bigram model smoothed by its unigrams."""
+    """Bits of each id after each id, from a whole table of counts: a bigram model smoothed by its unigrams, as in `bits`."""
     one = counts.sum(axis=0) + 1.0
     one /= one.sum()
     p = (counts + prior * one) / (counts.sum(axis=1, keepdims=True) + prior)
     return -np.log2(p)
 
 
-def tables(counts: DataFrame) -> np.ndarray:
-    """Loss tables of background and target; at most 2 * VOCABULARY squared counts reach the driver, by rows of a table."""
-    rows = counts.groupBy("side", "before").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("ns")).toArrow()
-    out = np.zeros((2, VOCABULARY, VOCABULARY))
-    for s, b, ids, ns in zip(rows["side"].to_pylist(), rows["before"].to_pylist(), rows["ids"], rows["ns"]):
-        out[s, b, ids.values.to_numpy()] = ns.values.to_numpy()
-    out[0] *= out[1].sum() / max(1.0, out[0].sum())
-    return np.stack([losses(t) for t in out]).astype(np.float32)
+def bits(count: Column, word: Column, before: Column, tokens: float, ids: int, prior: float = PRIOR) -> Column:
+    """Loss of a bigram by its count, those of its word and of what stands before, and the tokens of its side."""
+    one = (word + 1.0) / (tokens + ids)
+    return F.log2(before + prior) - F.log2(count + prior * one)
 
 
-def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(doc_id, n_tokens, target_bits, background_bits, difference) of every row of `docs`.
 
     `target_ids` (doc_id) names the target documents; the background is all documents. A text without
     words has 0 tokens and null scores. Null ids are never target; repeated ids count as often as they
-    occur. Without target documents both models are uniform.
+    occur. Without target documents both models are uniform. `hot` bounds the bigrams that workers hold.
     """
     spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = vocabulary(word_counts(slim))
     marks = target_ids.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("side", F.lit(1))
     # one plan at every size: a broadcast of few marks would only hide that texts and marks meet by id
     sided = slim.join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("side", F.lit(0)).alias("side"))
-    model = spark.sparkContext.broadcast(tables(pair_counts(sided, known)))
+    pairs = written(side_counts(sided))
+    by_word = written(pairs.groupBy("word").agg(F.sum("n").alias("word_n"), F.sum("target").alias("word_target")))
+    by_before = written(pairs.groupBy("before").agg(F.sum("n").alias("before_n"), F.sum("target").alias("before_target")))
+    ids = vocabulary(by_word)
+    total = by_word.agg(F.coalesce(F.sum("word_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("word_target"), F.lit(0)).alias("target")).first()
+    tokens, scale = float(total.target), total.target / max(1, total.n)
+
+    def model(some: DataFrame) -> DataFrame:
+        """(key, target_bits, background_bits) of some bigrams."""
+        target = bits(F.col("target"), F.col("word_target"), F.col("before_target"), tokens, ids)
+        background = bits(F.col("n") * scale, F.col("word_n") * scale, F.col("before_n") * scale, tokens, ids)
+        met = some.join(by_word, "word").join(by_before, "before")
+        return met.select(key_of("before", "word").alias("key"), target.alias("target_bits"), background.alias("background_bits"))
+
+    # the least count of a bigram that workers hold
+    least, room = 1, hot
+    for n, count in sorted(map(tuple, pairs.groupBy("n").count().collect()), reverse=True):
+        room -= count
+        if room < 0:
+            least = n + 1
+            break
+    top = model(pairs.filter(F.col("n") >= least)).toArrow()
+    order = np.argsort(held := top["key"].to_numpy().view(np.uint64))
+    held = spark.sparkContext.broadcast((held[order], np.stack([top[c].to_numpy()[order] for c in ("target_bits", "background_bits")])))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, loss = held.value
         for batch in batches:
             for b in blocks(batch.column("text")):
-                ids, before, n = token_ids(b, known)
-                doc = np.repeat(np.arange(len(b)), n)
-                bits = [np.bincount(doc, weights=t[before, ids], minlength=len(b)) for t in model.value]
-                none = n == 0
-                mean = [x / np.maximum(n, 1) for x in bits]
+                word, before, doc, n = bigrams(b)
+                code, seen = pd.factorize(keys_of(before, word))
+                at = np.searchsorted(known, seen)
+                hit = np.zeros(len(seen), dtype=bool)
+                inside = at < len(known)
+                hit[inside] = known[at[inside]] == seen[inside]
+                here = hit[code] if len(code) else np.zeros(0, dtype=bool)
+                place = at[code[here]]
+                sums = [np.bincount(doc[here], weights=x[place], minlength=len(b)).astype(float) for x in loss]
+                until = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc[~here], minlength=len(b)))])
+                rest = pa.LargeListArray.from_arrays(pa.array(until), pa.array(seen[code[~here]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row").slice(b.first, len(b)),
                         batch.column("doc_id").slice(b.first, len(b)),
                         pa.array(n, pa.int64()),
-                        *(pa.array(x, mask=none) for x in (mean[1], mean[0], mean[1] - mean[0])),
+                        *(pa.array(x, pa.float64()) for x in sums),
+                        rest.cast(pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_tokens", "target_bits", "background_bits", "difference"],
+                    ["row", "doc_id", "n_tokens", "target_sum", "background_sum", "keys"],
                 )
 
-    return slim.mapInArrow(apply, "doc_id long, n_tokens long, target_bits double, background_bits double, difference double")
+    rows = slim.withColumn("row", F.monotonically_increasing_id())
+    found = written(rows.mapInArrow(apply, "row long, doc_id long, n_tokens long, target_sum double, background_sum double, keys array<long>"))
+    rest = (
+        found.select("row", F.explode("keys").alias("key"))
+        .join(model(pairs.filter(F.col("n") < least)), "key")
+        .groupBy("row")
+        .agg(F.sum("target_bits").alias("target_rest"), F.sum("background_bits").alias("background_rest"))
+    )
+    mean = lambda s: (F.col(f"{s}_sum") + F.coalesce(f"{s}_rest", F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
+    scored = found.drop("keys").join(rest, "row", "left").select("doc_id", "n_tokens", mean("target").alias("target_bits"), mean("background").alias("background_bits"))
+    return scored.withColumn("difference", F.col("target_bits") - F.col("background_bits"))
