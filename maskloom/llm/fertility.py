@@ -25,13 +25,10 @@ SYMBOL[list(b"#*$%&|<>")] = True
 #: A document fails with fewer words, or with a larger percentage of repeated words.
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: Quartile distances beyond the quartiles that a document may lie, and the least width of a band. Prose that
-#: a vocabulary fits better than most of its language is no fault, so that side is wide.
-REACH = 4.0
-LEAST_WIDTH = {"chars_per_token": 0.15, "byte_share": 0.1, "token_entropy": 0.5}
-LEAST_WIDTH_ABOVE = 4.0
-#: Documents with fewer tokens have no stable share or entropy; only the base rules hold for them.
-LEAST_TOKENS = 100
+#: Quartile distances beyond the quartiles that a document may lie, and the least width of a band on either side,
+#: for groups in which most values are equal.
+REACH = 2.0
+LEAST_WIDTH = {"chars_per_token": 0.03, "byte_share": 0.05, "token_entropy": 0.1}
 
 _WORDS = 800_000
 _WORKER: dict[str, "WordPieces"] = {}
@@ -223,7 +220,9 @@ def judged(docs: DataFrame, vocabulary: str, text: str = "text", lang: str | Non
     words and fails. Bands: quartiles of all documents of a language (null language, or no such column: of
     a script) that pass the base rules, on values rounded to hundredths, widened by `REACH` quartile
     distances or the least width. Characters per token have a band on both sides, the byte share an upper
-    and the entropy a lower one; they bind documents of at least `LEAST_TOKENS` tokens.
+    and the entropy a lower one. A document with fewer tokens than the median of its group gets bands wider
+    by the root of how many times fewer, and may lose one bit of entropy for each halving, since halves
+    of a text have on average at least its entropy less one bit.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c != "_q"]
     columns = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*names, text, *([lang] if lang else [])]))}
@@ -241,31 +240,32 @@ def judged(docs: DataFrame, vocabulary: str, text: str = "text", lang: str | Non
             "chars_per_token": m["word_chars"] / tokens,
             "byte_share": m["n_byte_tokens"] / tokens,
             "token_entropy": m["token_entropy"],
-            "long": m["n_tokens"] >= LEAST_TOKENS,
+            "token_bits": F.log2(tokens),
         }
     )
-    value = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.round(k, 2).alias("v")) for k in LEAST_WIDTH])).alias("x")
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.round(k, 2).alias("v")) for k in (*LEAST_WIDTH, "token_bits")])).alias("x")
     quartiles = (
-        rows.filter("NOT base_failed AND long")
+        rows.filter("NOT base_failed")
         .select("grp", value)
         .groupBy("grp", "x.name", "x.v")
         .agg(F.count("*").alias("n"))
         .groupBy("grp", "name")
-        .agg(F.expr("percentile(v, array(0.25D, 0.75D), n)").alias("q"))
+        .agg(F.expr("percentile(v, array(0.25D, 0.5D, 0.75D), n)").alias("q"))
     )
     width = F.create_map(*[F.lit(x) for kv in LEAST_WIDTH.items() for x in kv])
-    reach = F.greatest(REACH * (F.col("q")[1] - F.col("q")[0]), width[F.col("name")])
-    above = F.when(F.col("name") == "chars_per_token", F.greatest(reach, F.lit(LEAST_WIDTH_ABOVE))).otherwise(reach)
-    band = F.struct((F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + above).alias("high"))
+    reach = F.coalesce(F.greatest(REACH * (F.col("q")[2] - F.col("q")[0]), width[F.col("name")]), F.lit(0.0))
+    band = F.struct(F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"), reach.alias("reach"))
     bands = written(  # of known size when texts are joined
         quartiles.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("name", band))).alias("bands"))
     )
-    bands_of = F.col("bands")
+    chars, share, entropy = (F.col("bands")[k] for k in LEAST_WIDTH)
+    halvings = F.greatest(F.lit(0.0), F.col("bands")["token_bits"]["middle"] - F.col("token_bits"))
+    wider = F.pow(2.0, halvings / 2)
     inside = (
-        F.col("chars_per_token").between(bands_of["chars_per_token"]["low"], bands_of["chars_per_token"]["high"])
-        & (F.col("byte_share") <= bands_of["byte_share"]["high"])
-        & (F.col("token_entropy") >= bands_of["token_entropy"]["low"])
+        F.col("chars_per_token").between(chars["low"] - chars["reach"] * wider, chars["high"] + chars["reach"] * wider)
+        & (F.col("byte_share") <= share["high"] + share["reach"] * wider)
+        & (F.col("token_entropy") >= entropy["low"] - entropy["reach"] * wider - halvings)
     )
-    kept = ~F.col("base_failed") & (~F.col("long") | F.coalesce(inside, F.lit(False)))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     verdict = F.struct("m.*", "chars_per_token", "byte_share", "base_failed", kept.alias("kept"))
     return rows.join(bands, "grp", "left").select(*(F.col(columns[c]).alias(c) for c in names), verdict.alias("_q"))

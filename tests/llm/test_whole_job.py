@@ -1,12 +1,16 @@
 """Results that must not stop at a bound: whole vocabularies, ordinary fences, added tokens, small indexes."""
 
-import collections
+import random
 
 import numpy as np
+import public_tokenizers
 import pytest
-from helpers import WORD, documents, mixed_texts
+from helpers import WORD, documents, mixed_texts, prose
 
 from maskloom.llm.cross_entropy import losses, score
+from maskloom.llm.fertility import judged
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def bigram_scores(texts, target):
@@ -39,3 +43,18 @@ def test_cross_entropy_keeps_every_word_and_bigram(spark, hot):
         n, t, b = want[r.doc_id]
         assert r.n_tokens == n
         assert (r.target_bits, r.background_bits) == ((None, None) if t is None else pytest.approx((t, b)))
+
+
+def test_fertility_fences_bind_on_both_sides_and_on_short_documents(spark):
+    rng = random.Random(4)
+    known = "the of and to in is that for was on with as his they at be this from have or by one had not but what all were".split()
+    made = lambda n, odd, share: " ".join(odd() if rng.random() < share else rng.choice(known) for _ in range(n))
+    junk, whole = (lambda: prose(rng, 1, "qxzjvk")), (lambda: rng.choice(["government", "international", "development"]))
+    texts = [made(rng.randint(200, 600), junk, rng.uniform(0.18, 0.22)) for _ in range(80)]
+    n = len(texts)
+    texts += [made(400, junk, 0.4), made(400, whole, 0.5), made(30, junk, 1.0), made(30, junk, 0.2)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r._q for r in judged(docs, PIECES, keep=["doc_id"]).collect()}
+    assert not any(found[i].base_failed for i in range(len(texts)))
+    assert sum(found[i].kept for i in range(n)) >= n - 2
+    assert [found[n + i].kept for i in range(4)] == [False, False, False, True]
