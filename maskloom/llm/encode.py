@@ -3,7 +3,7 @@
 The byte-level pre-tokenizer always cuts between a character that is no white space and ASCII white
 space after it, and between an ASCII letter or digit and an ASCII sign. Texts are cut there, distinct
 pieces go through the tokenizer, and ids are put together again in order. A text with other white space (or control characters that some engines count as such)
-stays one piece, so results equal those of encoding it whole.
+or with the content of an added token stays one piece, so results equal those of encoding it whole.
 """
 
 from __future__ import annotations
@@ -30,19 +30,21 @@ _WORKER: dict[str, "Encoder"] = {}
 
 
 def encoder(path: str) -> "Encoder":
-    """The worker's encoder for the tokenizer file at `path`."""
+    """The worker's encoder for the tokenizer file at `path`, taken as it is."""
     if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
+        _WORKER[path] = Encoder(path, added=True)
     return _WORKER[path]
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """Ids of texts. With `added`, added tokens in a text get their ids, as the tokenizer file has it; else they are ordinary text."""
+
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # pieces come once each
         vocab = self.tokenizer.get_vocab()
@@ -51,6 +53,10 @@ class Encoder:
             self.width[i] = len(token)  # one character stands for one byte
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
             self.width[i] = len(token.content.encode())
+        contents = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if added and contents else None
+        #: Pieces put together could only make an added token out of parts if it holds white space.
+        self.joins = self.added is None or not any(SPACE[list(c)].any() for c in contents)
         self.clear()
 
     def clear(self) -> None:
@@ -63,9 +69,9 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, dtype=np.uint32) for x in found]
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encode these pieces and remember them. Pieces of white space and a word can share a call."""
-        joins = SPACE[data[starts]] & ~SPACE[data[ends - 1]] & (ends - starts < _JOIN)
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, apart: np.ndarray) -> None:
+        """Encode these pieces and remember them. Pieces of white space and a word can share a call, unless they stand apart."""
+        joins = SPACE[data[starts]] & ~SPACE[data[ends - 1]] & (ends - starts < _JOIN) & ~apart & self.joins
         order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
         n = int(joins.sum())
         texts, part, size, sizes = [], [], 0, ends - starts
@@ -109,6 +115,12 @@ class Encoder:
             for i in range(n_docs):
                 if _OTHER.search(raw, int(block.starts[i]), int(block.ends[i])):
                     cut[block.starts[i] : block.ends[i]] = False
+        whole = np.zeros(n_docs, dtype=bool)
+        if self.added and self.added.search(raw):
+            for i in range(n_docs):
+                if self.added.search(raw, int(block.starts[i]), int(block.ends[i])):
+                    cut[block.starts[i] : block.ends[i]] = False
+                    whole[i] = True
         cut[block.starts[block.starts < block.ends]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
@@ -124,7 +136,7 @@ class Encoder:
         known[inside] = self.keys[at[inside]] == seen[inside]
         if not known.all():
             new = first[~known]
-            self._learn(seen[~known], data, starts[new], ends[new])
+            self._learn(seen[~known], data, starts[new], ends[new], whole[np.searchsorted(block.ends, starts[new], side="right")])
             at = np.searchsorted(self.keys, seen)
         count = self.count[at][code]
         place = self.place[at][code]

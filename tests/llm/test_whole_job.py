@@ -1,15 +1,25 @@
 """Results that must not stop at a bound: whole vocabularies, ordinary fences, added tokens, small indexes."""
 
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import WORD, documents, mixed_texts, prose
+from tokenizers import Tokenizer
 
+from maskloom.llm.blocks import blocks
 from maskloom.llm.cross_entropy import losses, score
+from maskloom.llm.encode import encoder
 from maskloom.llm.fertility import judged
+from maskloom.llm.length_histogram import length_counts
+from maskloom.llm.packing import pack
+from maskloom.llm.shared import shared_folder
+from maskloom.llm.token_files import token_files
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -58,3 +68,34 @@ def test_fertility_fences_bind_on_both_sides_and_on_short_documents(spark):
     assert not any(found[i].base_failed for i in range(len(texts)))
     assert sum(found[i].kept for i in range(n)) >= n - 2
     assert [found[n + i].kept for i in range(4)] == [False, False, False, True]
+
+
+@pytest.fixture(scope="module")
+def as_it_is():
+    t = Tokenizer.from_file(BYTE_BPE)
+    return lambda s: t.encode(s or "", add_special_tokens=False).ids
+
+
+def test_added_tokens_get_the_ids_of_the_tokenizer_file(as_it_is):
+    rng = random.Random(5)
+    signs = [*"ab .'s\n\t 1,<|>", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "don't ", "é", "\u3000"]
+    texts = ["one<|endoftext|>two", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(800))]
+    assert as_it_is(texts[0]) == [505, 50256, 11545]
+    for _ in range(2):  # learnt, then remembered
+        for block in blocks(pa.array(texts), most=2000):
+            ids, counts = encoder(BYTE_BPE).encode(block)
+            for i, x in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
+                assert x.tolist() == as_it_is(texts[block.first + i])
+
+
+def test_added_tokens_in_files_histogram_and_packing(spark, as_it_is):
+    texts = ["a b<|endoftext|>c d", "plain text", " <|endoftext|> <|endoftext|>", None, "last one"]
+    docs = documents(spark, texts)
+    ids = [np.array(as_it_is(t) + [0], dtype="<u4") for t in texts]
+    starts = np.cumsum([0, *map(len, ids)])
+    want = [(i, int(starts[i]), len(a), zlib.crc32(a)) for i, a in enumerate(ids)]
+    assert sorted(map(tuple, token_files(docs, shared_folder(spark), BYTE_BPE).collect())) == want
+    lengths = sorted(len(a) - 1 for a in ids)
+    assert sorted(r.length for r in length_counts(docs, BYTE_BPE).collect()) == sorted(set(lengths))
+    for r in pack(docs, BYTE_BPE, size=16).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32
