@@ -125,7 +125,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
     """(query_id, rank, vec_id, score): the k nearest found for each usable row whose id `every` divides.
 
     Candidates are all usable rows but those with the query's own id. Rows that repeat id and vector count
-    once. Fewer candidates give fewer rows; no usable row gives none. Other columns are not read.
+    once. Cells are walked until they hold `share` of the entries, and k others at least. Fewer candidates give fewer rows; no usable row gives none. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, vec_id, embedding))
@@ -153,7 +153,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
     queries = rows.filter(F.col("vec_id") % every == 0).distinct()
     asked = written(queries.groupBy("v").agg(F.min("vec_id").alias("asked")))
     chunks = max(1, -(-asked.count() // CHUNK))
-    want = int(np.ceil(share * n))
+    want = min(n, max(k + 1, int(np.ceil(share * n))))  # cells that hold too few others would lose neighbours
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

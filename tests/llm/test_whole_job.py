@@ -1,5 +1,6 @@
 """Results that must not stop at a bound: whole vocabularies, ordinary fences, added tokens, small indexes."""
 
+import collections
 import random
 import zlib
 
@@ -15,6 +16,7 @@ from maskloom.llm.cross_entropy import losses, score
 from maskloom.llm.encode import encoder
 from maskloom.llm.fertility import judged
 from maskloom.llm.length_histogram import length_counts
+from maskloom.llm.multi_index import search
 from maskloom.llm.packing import pack
 from maskloom.llm.shared import shared_folder
 from maskloom.llm.token_files import token_files
@@ -99,3 +101,12 @@ def test_added_tokens_in_files_histogram_and_packing(spark, as_it_is):
     assert sorted(r.length for r in length_counts(docs, BYTE_BPE).collect()) == sorted(set(lengths))
     for r in pack(docs, BYTE_BPE, size=16).collect():
         assert r.doc_tokens == len(ids[r.doc_id]) and zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32
+
+
+@pytest.mark.parametrize("n", [10, 25])
+def test_small_indexes_give_all_candidates_or_k(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    rows = [(20 * i, v.tolist()) for i, v in enumerate(x)]
+    found = search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    per = collections.Counter(r.query_id for r in found)
+    assert per == {d: min(20, n - 1) for d, _ in rows}
