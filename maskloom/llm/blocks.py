@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII that is neither letter nor digit.
+SIGNS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -122,9 +124,10 @@ class Words:
     counts: np.ndarray
 
 
-def words(block: Block, lower: bool = False, hashes: bool = True) -> Words:
+def words(block: Block, lower: bool = False, hashes: bool = True, breaks: np.ndarray = SPACE) -> Words:
+    """`breaks` marks the byte values that end a word; they are ASCII."""
     data = LOWER[block.data] if lower else block.data
-    space = SPACE[data]
+    space = breaks[data]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)

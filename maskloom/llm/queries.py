@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskloom.llm.cross_entropy import score
+from maskloom.llm.decontaminate import contaminated
 from maskloom.llm.fertility import judged
 from maskloom.llm.jaccard_join import near_duplicates
 from maskloom.llm.length_histogram import length_counts, with_suffix_sums
@@ -159,3 +160,45 @@ def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
     return score(documents(spark, sf_dir), good)
+
+
+@_query
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contaminated(documents(spark, sf_dir), items, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "_b.n_words",
+        "_b.n_hit",
+        F.size("_b.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_b.items", ","), 256).alias("items_sha256"),
+        (F.col("_b.n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op12_decontamination"] = r"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), wins AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + 9], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), places AS (
+  SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k
+), hits AS (
+  SELECT p.doc_id, p.i, p.k, x.item FROM places p JOIN wins x ON x.k = p.k AND x.win = array_to_string(p.w[p.i:p.i + p.k - 1], ' ')
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY 1
+), named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(a.n, 0) AS n_items,
+       sha256(coalesce(a.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named a USING (doc_id)
+"""
