@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.llm.conversations import damaged, repaired
 from maskloom.llm.cross_entropy import score
 from maskloom.llm.decontaminate import contaminated
 from maskloom.llm.fertility import judged
@@ -202,3 +203,71 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(a.n, 0
        sha256(coalesce(a.s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named a USING (doc_id)
 """
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS key
+  FROM conversations
+), drawn AS (
+  SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, octet_length(key) + 1), lambda i: ascii(substr(decode(key), i, 1))::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 20 AS k
+  FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS said
+  FROM damaged
+), told AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(said, '[.!?]') THEN 'truncated' ELSE 'fine' END AS fault,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM told GROUP BY conv_id
+), paths AS (
+  SELECT conv_id, 0::BIGINT AS i, unnest([0, 2, 3]) AS q, unnest([0, 3, 6])::BIGINT AS cost, unnest(['', 'I', 'II']) AS audit,
+         unnest([[]::VARCHAR[], ['user:'], ['user:', 'assistant:']]) AS said
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS best FROM (
+      SELECT conv_id, i, cost + 3 * m AS cost, audit || repeat('I', m) AS audit,
+             CASE WHEN m = 0 THEN q WHEN m = 1 THEN CASE WHEN q = 2 THEN 3 ELSE 2 END ELSE CASE WHEN q = 2 THEN 2 ELSE 3 END END AS q,
+             said || CASE WHEN m = 0 THEN []::VARCHAR[] WHEN q = 2 THEN ['assistant:', 'user:'][1:m] ELSE ['user:', 'assistant:'][1:m] END AS said
+      FROM (
+        SELECT p.conv_id, t.i, p.q, p.cost + 4 AS cost, p.audit || 'D' AS audit, p.said FROM paths p JOIN told t ON t.conv_id = p.conv_id AND t.i = p.i + 1
+        UNION ALL
+        SELECT p.conv_id, t.i, CASE WHEN p.q = 2 THEN 3 ELSE 2 END, p.cost + 3 + CASE WHEN t.fault = 'truncated' THEN 3 ELSE 0 END, p.audit || 'R',
+               p.said || [CASE WHEN p.q = 2 THEN 'assistant:' ELSE 'user:' END || t.text]
+        FROM paths p JOIN told t ON t.conv_id = p.conv_id AND t.i = p.i + 1 WHERE t.fault IN ('truncated', 'fine')
+        UNION ALL
+        SELECT p.conv_id, t.i, CASE substr(t.role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+               p.cost + CASE WHEN t.fault = 'truncated' THEN 3 ELSE 0 END, p.audit || 'K', p.said || [t.role || ':' || t.text]
+        FROM paths p JOIN told t ON t.conv_id = p.conv_id AND t.i = p.i + 1
+        WHERE t.fault IN ('truncated', 'fine') AND CASE substr(t.role, 1, 1) WHEN 's' THEN p.q = 0 WHEN 'u' THEN p.q <> 2 WHEN 'a' THEN p.q = 2 ELSE false END
+      ), (VALUES (0), (1), (2)) AS inserts(m)
+    )
+  ) WHERE best = 1
+), ends AS (
+  SELECT p.conv_id, arg_min(p, {'c': p.cost, 'a': p.audit}) AS p FROM paths p JOIN counts c ON c.conv_id = p.conv_id AND c.n = p.i WHERE p.q IN (0, 3) GROUP BY p.conv_id
+)
+SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated,
+       coalesce(c.illegal, 0) AS illegal, coalesce(e.p.cost, 0) AS cost, coalesce(e.p.audit, '') AS audit,
+       sha256(coalesce(array_to_string(e.p.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c USING (conv_id) LEFT JOIN ends e USING (conv_id)
+"""
