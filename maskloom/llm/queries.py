@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskloom.llm.block_max import ranked
 from maskloom.llm.conversations import damaged, repaired
 from maskloom.llm.cross_entropy import score
 from maskloom.llm.decontaminate import contaminated
@@ -271,3 +272,35 @@ SELECT a.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, co
        sha256(coalesce(array_to_string(e.p.said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c USING (conv_id) LEFT JOIN ends e USING (conv_id)
 """
+
+
+@_query
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op11_block_max_search"] = r"""
+WITH tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), lengths AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM tokens GROUP BY 1
+), whole AS (
+  SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM lengths
+), counts AS (
+  SELECT doc_id, t, count(*)::BIGINT AS tf FROM tokens WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY t, docs
+), scores AS (
+  SELECT a.item_id, c.doc_id, sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * l.n * docs) // terms))))::BIGINT AS score
+  FROM asked a JOIN counts c USING (t) JOIN weights w USING (t) JOIN lengths l ON l.doc_id = c.doc_id, whole GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
