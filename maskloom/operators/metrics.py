@@ -115,20 +115,64 @@ def binary_report(rows: DataFrame, predicted: Column, actual: Column) -> DataFra
     )
 
 
-def good_runs(pairs: DataFrame, bar: float, strict: bool = True) -> DataFrame:
-    """Runs whose F-beta is above the bar, one row per run."""
-    f = F.col("fbeta")
-    return fbeta_score(pairs, ("run",)).filter(f > bar if strict else f >= bar).select("run")
-
-
-def error_frequency(pairs: DataFrame, runs: DataFrame, marks, label: str, text: str) -> DataFrame:
-    """How many of the given runs make the error at each (document, token)."""
-    errors = keep_runs(pairs.filter(F.col("cm").isin(*marks)), runs)
-    return errors.groupBy("document", "token").agg(
-        F.count_distinct("run").alias("n_runs"),
-        F.min(label).alias("label"),
-        F.min(text).alias("token_text"),
+def run_bits(predicted: DataFrame, gold: DataFrame, runs: list[str]) -> DataFrame:
+    """One row per (document, token) that any run or gold labels, with a bit per run instead of a row per run.
+
+    Columns: document, token, text_pred, text_gt, label_gt, `votes` (which runs give which label, as
+    `array<struct<label, bits>>`, at most one entry per run), and as bit sets `tp`, `fp` (a label of its own
+    where gold has none or another) and `fn` (gold alone). A wrong label is in `fp` and not in `fn`; together
+    with gold it counts as missed as well. `runs` names at most 63 runs; bit i belongs to the i-th.
+    """
+    if len(runs) > 63:
+        raise ValueError("at most 63 runs fit one bit set")
+    bit = F.create_map(*[F.lit(x) for i, r in enumerate(runs) for x in (r, 1 << i)])[F.col("run")]
+    rows = predicted.select(*KEY, "token_text", "label", bit.alias("bit")).filter("bit IS NOT NULL")
+    both = rows.unionByName(gold.select(*KEY, "token_text", "label", F.lit(0).cast("long").alias("bit")))
+    of_gold = F.col("bit") == 0
+    each = both.groupBy(*KEY, "label", of_gold.alias("of_gold")).agg(F.bit_or("bit").alias("bits"), F.min("token_text").alias("text"))
+    found = each.groupBy(*KEY).agg(
+        F.min(F.when(~F.col("of_gold"), F.col("text"))).alias("text_pred"),
+        F.min(F.when(F.col("of_gold"), F.col("text"))).alias("text_gt"),
+        F.min(F.when(F.col("of_gold"), F.col("label"))).alias("label_gt"),
+        F.collect_list(F.when(~F.col("of_gold"), F.struct("label", "bits"))).alias("votes"),
+        F.coalesce(F.bit_or("bits"), F.lit(0)).alias("_any"),
+    )
+    hits = F.aggregate(
+        "votes", F.lit(0).cast("long"), lambda n, v: F.when(v["label"] == F.col("label_gt"), n.bitwiseOR(v["bits"])).otherwise(n)
     )
+    missed = F.when(F.col("label_gt").isNull(), F.lit(0)).otherwise(F.lit((1 << len(runs)) - 1).bitwiseAND(F.bitwise_not("_any")))
+    return found.withColumn("tp", hits).select(
+        *KEY, "text_pred", "text_gt", "label_gt", "votes", "tp",
+        F.col("_any").bitwiseAND(F.bitwise_not("tp")).alias("fp"),
+        missed.cast("long").alias("fn"),
+    )
+
+
+def run_counts(bits: DataFrame, runs: list[str], beta: float = 5.0) -> DataFrame:
+    """(run, tp, fp, fn, fbeta): what the bits of each run add up to, in one aggregate."""
+    def n(c: Column, i: int) -> Column:
+        return F.count_if(c.bitwiseAND(F.lit(1 << i)) != 0)
+
+    wrong = F.when(F.col("label_gt").isNotNull(), F.col("fp")).otherwise(F.lit(0))
+    wide = bits.agg(
+        *[
+            F.struct(
+                F.lit(r).alias("run"),
+                n(F.col("tp"), i).alias("tp"),
+                n(F.col("fp"), i).alias("fp"),
+                n(F.col("fn").bitwiseOR(wrong), i).alias("fn"),
+            ).alias(f"r{i}")
+            for i, r in enumerate(runs)
+        ]
+    )
+    rows = wide.select(F.inline(F.array(*[f"r{i}" for i in range(len(runs))])))
+    return rows.withColumn("fbeta", fbeta(F.col("tp"), F.col("fp"), F.col("fn"), beta))
+
+
+def good_runs(counted: DataFrame, runs: list[str], bar: float, strict: bool = True) -> int:
+    """Bit set of the runs whose F-beta is above the bar; reads one row per run (at most 63)."""
+    good = {r.run for r in counted.collect() if r.fbeta is not None and (r.fbeta > bar if strict else r.fbeta >= bar)}
+    return sum(1 << i for i, r in enumerate(runs) if r in good)
 
 
 def keep_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
@@ -136,6 +180,18 @@ def keep_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.join(runs, "run", "left_semi")
 
 
+def error_frequency(bits: DataFrame, errors: str, good: int) -> DataFrame:
+    """How many of the good runs make the error (`fp` or `fn`) at each (document, token).
+
+    Where a false positive carries several labels, the least counts.
+    """
+    mine = F.col(errors).bitwiseAND(F.lit(good))
+    wrong = F.filter("votes", lambda v: v["bits"].bitwiseAND(F.col(errors)).bitwiseAND(F.lit(good)) != 0)
+    label = F.array_min(F.transform(wrong, lambda v: v["label"])) if errors == "fp" else F.col("label_gt")
+    text = F.col("text_pred" if errors == "fp" else "text_gt")
+    return bits.filter(mine != 0).select(*KEY, F.bit_count(mine).cast("long").alias("n_runs"), label.alias("label"), text.alias("token_text"))
+
+
 def span_scores(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Entity-level counts per type: a span counts when its type and both ends agree."""
     keys = ["document", "type", "start_token", "end_token"]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
 from maskloom.functions.labels import ENTITY_LABELS, LABELS
-from maskloom.operators.overlap import overlap_join
 
 
 def as_columns(df: DataFrame, keep, exprs) -> DataFrame:
@@ -39,36 +41,71 @@ def merge_windows(
 ) -> DataFrame:
     """Scores of every token from overlapping window spans (`piece_start`, `piece_end`).
 
-    Per character the maximum over windows counts; uncovered characters score 0. With
-    `max` pooling the two maxima collapse into one aggregate over an interval join; only
-    `mean` needs one row per character.
+    Per character the maximum over windows counts; uncovered characters score 0. A token takes the maximum
+    of its characters, or with `mean` pooling their mean. Both sides meet by document, where one sweep over
+    the sorted span borders serves all labels; if both are partitioned by document nothing is shuffled.
     """
-    spans = window_scores.filter("piece_start + piece_end > 0").select(
-        "document", "piece_start", "piece_end", *labels
-    )
-    toks = tokens.select("document", "token", "token_text", "start", "end")
-    if pooling == "max":
-        pairs = overlap_join(toks, spans, ("start", "end"), ("piece_start", "piece_end"), how="padded")
-        return pairs.groupBy("document", "token").agg(
-            F.first("token_text").alias("token_text"),
-            *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in labels],
-        )
-    if pooling != "mean":
+    if pooling not in ("max", "mean"):
         raise ValueError(f"unknown pooling {pooling}")
-    once = spans.groupBy("document", "piece_start", "piece_end").agg(*[F.max(c).alias(c) for c in labels])
-    pairs = overlap_join(toks, once, ("start", "end"), ("piece_start", "piece_end"), how="padded")
-    inside = F.sequence(F.greatest("start", "piece_start"), F.least("end", "piece_end") - 1)
-    chars = pairs.withColumn("char", F.explode_outer(inside))
-    per_char = chars.groupBy("document", "token", "char").agg(
-        F.first("token_text").alias("token_text"), *[F.max(c).alias(c) for c in labels]
-    )
-    return per_char.groupBy("document", "token").agg(
-        F.first("token_text").alias("token_text"),
-        *[
-            (F.coalesce(F.sum(c), F.lit(0.0)) / F.greatest(F.length(F.first("token_text")), F.lit(1))).alias(c)
-            for c in labels
-        ],
-    )
+    spans = window_scores.filter("piece_start + piece_end > 0").select("document", "piece_start", "piece_end", *labels)
+    toks = tokens.select("document", "token", "token_text", "start", "end")
+
+    def sweep(toks: pa.Table, spans: pa.Table) -> pa.Table:
+        n = [pc.utf8_length(toks["token_text"]).to_numpy()] if pooling == "mean" else []
+        scores = np.stack([spans[c].to_numpy() for c in labels], axis=1).reshape(-1, len(labels))
+        found = swept(*(t[c].to_numpy() for t, c in ((toks, "start"), (toks, "end"), (spans, "piece_start"), (spans, "piece_end"))), scores, *n)
+        columns = [toks[c] for c in ("document", "token", "token_text")]
+        return pa.table([*columns, *(pa.array(x) for x in found.T)], names=["document", "token", "token_text", *labels])
+
+    schema = "document string, token int, token_text string, " + ", ".join(f"`{c}` double" for c in labels)
+    return toks.groupBy("document").cogroup(spans.groupBy("document")).applyInArrow(sweep, schema)
+
+
+def swept(
+    start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, scores: np.ndarray, length: np.ndarray | None = None
+) -> np.ndarray:
+    """A row per token [start, end): the greatest scores of spans [low, high) over its characters.
+
+    With `length`, their mean instead, over that many characters. All borders cut the text into segments.
+    A span raises the two (overlapping) runs of 2^k segments that make it up, and greatest values then sink
+    from longer runs into their halves, so a span costs the same however many segments it covers.
+    """
+    edges = np.unique(np.concatenate([start, end, low, high]))
+    best = np.zeros((max(len(edges), 1), scores.shape[1]))
+    a, b = np.searchsorted(edges, low), np.searchsorted(edges, high)
+    some = a < b
+    a, b, scores = a[some], b[some], scores[some]
+    level = np.frexp((b - a).astype(float))[1] - 1
+    runs = None
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        own = np.zeros_like(best)
+        here = level == k
+        if here.any():
+            at = np.concatenate([a[here], b[here] - (1 << k)]) if k else a[here]
+            value = np.concatenate([scores[here]] * 2) if k else scores[here]
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            own[at[order][first]] = np.maximum.reduceat(value[order], first)
+        if runs is not None:  # runs of twice the length sink into both halves
+            half = 1 << k
+            np.maximum(own, runs, out=own)
+            np.maximum(own[half:], runs[:-half], out=own[half:])
+        runs = own
+    if runs is not None:
+        best = runs
+    a, b = np.searchsorted(edges, start), np.searchsorted(edges, end)
+    out = np.zeros((len(start), best.shape[1]))
+    some = np.flatnonzero(a < b)
+    if len(some):
+        if length is not None:
+            best = best * np.diff(edges, append=edges[-1])[:, None]
+        # one more row, so that the last border is a place too
+        best = np.concatenate([best, np.zeros((1, best.shape[1]))])
+        places = np.stack([a[some], b[some]], axis=1).ravel()
+        out[some] = (np.maximum if length is None else np.add).reduceat(best, places)[::2]
+        if length is not None:
+            out /= np.maximum(length, 1)[:, None]
+    return out
 
 
 def ranked(labels=LABELS) -> Column:

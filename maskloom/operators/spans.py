@@ -9,18 +9,38 @@ from maskloom.functions.labels import strip_bio
 
 
 def regex_spans(docs: DataFrame, pattern: str | Column, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """All matches as (document, *by, span_start, span_end).
+    """All matches as (document, *by, span_start, span_end)."""
+    pat = F.lit(pattern) if isinstance(pattern, str) else pattern
+    return _placed(docs.select("document", *by, _sizes(F.col(text), pat).alias("_z")), ("document", *by))
+
 
-    The text is split at the matches; a running sum of the piece and match lengths gives
-    the positions, so only lengths leave the row that holds the text.
+def spans_of_all(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
+    """All matches of several patterns as (document, key, span_start, span_end), from one pass over the documents.
+
+    Matches of one pattern do not hide those of another.
     """
-    pat = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.transform(F.split(F.col(text), pat, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(F.col(text), pat, F.lit(0)), F.length)
-    keys = ["document", *by]
-    rows = docs.select(
-        *keys, F.posexplode_outer(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))).alias("k", "z")
-    ).select(*keys, "k", F.col("z.gap").alias("gap"), F.col("z.hit").alias("hit"))
+    each = F.array(
+        *[
+            F.struct(F.lit(k).alias("key"), F.when(F.col(text).rlike(p), _sizes(F.col(text), F.lit(p))).alias("_z"))
+            for k, p in patterns.items()
+        ]
+    )
+    found = docs.select("document", F.inline(each)).filter("_z IS NOT NULL")
+    return _placed(found, ("document", "key"))
+
+
+def _sizes(text: Column, pattern: Column) -> Column:
+    """Lengths of what lies before each match, and of the match (null for the rest of the text)."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    hits = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
+    return F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
+
+
+def _placed(sized: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(*keys, span_start, span_end) of matches with a length from `_z`, by a running sum; no text is needed."""
+    rows = sized.select(*keys, F.posexplode_outer("_z").alias("k", "z")).select(
+        *keys, "k", F.col("z.gap").alias("gap"), F.col("z.hit").alias("hit")
+    )
     w = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("gap") + F.coalesce("hit", F.lit(0))).over(w), F.lit(0))
     return (
@@ -82,22 +102,26 @@ def label_values(
     several values split by `|`. Later keys overwrite earlier ones.
     """
     keys = list(key_types)
-    values = F.array(
-        *[
-            F.struct(F.lit(k).alias("key"), v.alias("value"), F.lit("name" in k).alias("word"))
-            for k in keys
-            for v in [F.col(k)]
-        ]
-    )
-    rows = docs.select("document", text, F.inline(values)).filter("value <> ''")
-    many = F.when(F.col("key") == "names", F.split("value", r"\|")).otherwise(F.array("value"))
-    single = rows.withColumn("value", F.explode_outer(F.array_distinct(many))).filter("value <> ''")
-    hits = regex_spans(
-        single.withColumn("_pat", literal_pattern(F.col("value"), F.col("word"))),
-        F.col("_pat"),
-        text,
-        by=("key", "value"),
+
+    def values(key: str) -> Column:
+        many = F.coalesce(F.split(F.col(key), r"\|"), F.array(F.lit(""))) if key == "names" else F.array(key)
+        return F.transform(many, lambda v: F.struct(F.lit(key).alias("key"), v.alias("value"), F.lit("name" in key).alias("word")))
+
+    wanted = F.array_distinct(F.filter(F.flatten(F.array(*map(values, keys))), lambda x: x["value"] != ""))
+    # the text stays in its one row, which gives the lengths around the matches of every value
+    sized = F.transform(
+        wanted,
+        lambda x: F.struct(
+            x["key"].alias("key"),
+            x["value"].alias("value"),
+            F.transform(F.split(F.col(text), literal_pattern(x["value"], x["word"]), -1), F.length).alias("gaps"),
+        ),
     )
+    found = docs.select("document", F.inline(sized)).filter("size(gaps) > 1")
+    size = F.length("value")
+    last = F.size("gaps") - 1
+    zipped = F.transform("gaps", lambda g, i: F.struct(g.alias("gap"), F.when(i < last, size).alias("hit")))
+    hits = _placed(found.select("document", "key", "value", zipped.alias("_z")), ("document", "key", "value"))
     covered = span_cover(tokens, hits, keys)
     kind = F.create_map(*[F.lit(x) for pair in key_types.items() for x in pair])
     return bio_from_types(covered.withColumn("type", kind[F.col("key")])).drop("key", "type")

@@ -25,10 +25,7 @@ RULES = {
 def rule_scores(docs: DataFrame, max_length: int = 512, stride: int = 128) -> tuple[DataFrame, DataFrame]:
     """Window scores of the rule scorer and the token table; `docs` co-located by document."""
     tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
-    hits = None
-    for kind, pattern in RULES.items():
-        part = sp.regex_spans(docs.filter(F.col("text").rlike(pattern)), pattern).withColumn("key", F.lit(kind))
-        hits = part if hits is None else hits.unionByName(part)
+    hits = sp.spans_of_all(docs, RULES)
     labelled = sp.bio_from_types(sp.span_cover(tokens, hits, list(RULES)), "key").drop("key")
     windows = wn.assign_windows(labelled, max_length, stride)
     spans = windows.select(
@@ -47,7 +44,7 @@ def detect(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Entity tokens by language and label."""
-    docs = fr.documents(spark, sf, colocated=True)
+    docs = fr.documents(spark, sf)
     found = detect(docs.select("document", "text"))
     return (
         found.join(docs.select("document", "lang"), "document")

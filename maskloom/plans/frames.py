@@ -30,18 +30,21 @@ FALSE_LABELS = (
 )
 
 
-def documents(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
-    """`colocated=True` partitions by document for the windows that follow."""
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, dealt by hash while they are compact rows: what follows runs on all cores however few row
+    groups the file has, and windows by document need no further shuffle."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select(
         F.col("doc_id").cast("string").alias("document"), "text", "lang", "source"
     )
-    return tk.colocate(docs) if colocated else docs
+    return tk.colocate(docs)
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as documents."""
-    return spark.read.parquet(f"{sf}/conversations.parquet").select(
-        F.concat_ws("-", "conv_id", "turn").alias("document"), "text", "role"
+    return tk.colocate(
+        spark.read.parquet(f"{sf}/conversations.parquet").select(
+            F.concat_ws("-", "conv_id", "turn").alias("document"), "text", "role"
+        )
     )
 
 
@@ -58,7 +61,7 @@ def url_documents(spark: SparkSession, sf: str) -> DataFrame:
             F.substring(html, F.lit(201), F.length(html)),
         ).alias("text"),
     )
-    return pages
+    return tk.colocate(pages)
 
 
 def rule_kind(t: Column) -> Column:
@@ -107,14 +110,14 @@ def label_tokens(docs: DataFrame) -> DataFrame:
     return typed.withColumn("toks", F.zip_with("toks", tk.shifted(kinds, -1), labelled))
 
 
-def gold_documents(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
+def gold_documents(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document with `toks ARRAY<STRUCT<text, ws, label>>`."""
-    return label_tokens(tk.tokenize(documents(spark, sf, colocated)))
+    return label_tokens(tk.tokenize(documents(spark, sf)))
 
 
-def gold(spark: SparkSession, sf: str, neighbours: int = 0, colocated: bool = False) -> DataFrame:
+def gold(spark: SparkSession, sf: str, neighbours: int = 0) -> DataFrame:
     """Token table of `documents` with rule labels (the gold standard of the queries)."""
-    return tk.token_rows(gold_documents(spark, sf, colocated).drop("text"), neighbours)
+    return tk.token_rows(gold_documents(spark, sf).drop("text"), neighbours)
 
 
 def noisy_label(gold_label: Column, seed: str = "pred") -> Column:
@@ -166,23 +169,26 @@ def raw_scores(rows: DataFrame, seed: str, *key) -> DataFrame:
     digest per row plus a bonus on the gold label."""
     keep = [c for c in rows.columns if c != "label"] + ["gold_label"]
     digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key]).cast("binary"))
+    # the first twelve bytes of the digest, one per label, read as two numbers
+    halves = [F.conv(F.substring("_d", a, 12), 16, 10).cast("long").alias(f"_h{k}") for k, a in enumerate((1, 13))]
     cols = []
     for i, name in enumerate(LABELS):
-        noise = F.conv(F.substring("_d", 2 * i + 1, 2), 16, 10).cast("double") / 64
+        noise = F.shiftright(f"_h{i // 6}", 8 * (5 - i % 6)).bitwiseAND(F.lit(255)).cast("double") / 64
         bonus = 8.0 if name == "O" else 6.0
         cols.append((noise + F.when(F.col("gold_label") == name, bonus).otherwise(0.0)).alias(name))
-    return as_columns(rows.withColumnRenamed("label", "gold_label").withColumn("_d", digest), keep, cols)
+    named = rows.withColumnRenamed("label", "gold_label")
+    return as_columns(as_columns(named.withColumn("_d", digest), keep, halves), keep, cols)
 
 
-def wide_scores(spark: SparkSession, sf: str, seed: str = "score", colocated: bool = False) -> DataFrame:
+def wide_scores(spark: SparkSession, sf: str, seed: str = "score") -> DataFrame:
     """Token rows with the probability of every label."""
-    rows = gold(spark, sf, colocated=colocated).drop("lang", "source", "n_tokens")
+    rows = gold(spark, sf).drop("lang", "source", "n_tokens")
     return softmax(raw_scores(rows, seed, "document", "token"))
 
 
 def piece_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Window scores of token pieces: (document, window, token, piece, piece_start, piece_end, 12 scores)."""
-    rows = tk.token_spans(gold(spark, sf, colocated=True).drop("lang", "source"))
+    rows = tk.token_spans(gold(spark, sf).drop("lang", "source"))
     pieces = tk.subtokens(assign_windows(rows, 512, 128))
     cols = pieces.select("document", "window", "token", "piece", "piece_start", "piece_end", "label")
     return softmax(raw_scores(cols, "wscore", "document", "token", "piece", "window"))
@@ -222,14 +228,14 @@ def essay_text(text: Column) -> Column:
     return out
 
 
-def essays(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
+def essays(spark: SparkSession, sf: str) -> DataFrame:
     """Generated essays (document, essay, names, famous_person, lang) built on `documents`."""
     one = pick("name1", FIRST_NAMES, "document")
     two = F.concat_ws("|", one, pick("name2", FIRST_NAMES, "document"))
     k = hash_int("names", "document") % 3
     names = F.when(k == 0, F.lit("")).when(k == 1, one).otherwise(two)
     famous = F.when(hash_int("famous", "document") % 4 == 0, F.lit("")).otherwise(pick("who", FAMOUS_PEOPLE, "document"))
-    docs = documents(spark, sf, colocated)
+    docs = documents(spark, sf)
     return docs.select("document", "lang", essay_text(F.col("text")).alias("essay"), names.alias("names"), famous.alias("famous_person"))
 
 
@@ -237,13 +243,13 @@ def banks() -> Banks:
     return Banks(first=FIRST_NAMES, last=LAST_NAMES)
 
 
-def synthetic(spark: SparkSession, sf: str, colocated: bool = False) -> DataFrame:
+def synthetic(spark: SparkSession, sf: str) -> DataFrame:
     """Essays with injected personal data and the values that went in."""
-    return fill_generated(essays(spark, sf, colocated), banks())
+    return fill_generated(essays(spark, sf), banks())
 
 
 def synthetic_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled token table of the synthetic essays."""
-    docs = synthetic(spark, sf, colocated=True).select("document", F.col("essay").alias("text"), *KEY_TYPES)
+    docs = synthetic(spark, sf).select("document", F.col("essay").alias("text"), *KEY_TYPES)
     tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
     return label_values(tokens, docs, KEY_TYPES)

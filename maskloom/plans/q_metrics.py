@@ -10,9 +10,10 @@ from maskloom.operators import metrics as mt
 from maskloom.operators import spans as sp
 from maskloom.plans import frames as fr
 from maskloom.plans.q_scores import _UMODEL, url_model_mean
-from maskloom.plans.q_spans import _LABELLED, _RUN_F5, _RUN_PAIRS, _SPAN_TEXT, labelled, run_pairs
+from maskloom.plans.q_spans import _LABELLED, _RUN_F5, _RUN_PAIRS, _SPAN_TEXT, RUN_NAMES, labelled, run_bits
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import h, lit, with_parts
+from maskloom.sources import io
 
 _PAIRS = """SELECT document, token, p.label AS label_pred, g.label AS label_gt,
    CASE WHEN g.label IS NULL THEN 'FP' WHEN p.label IS NULL THEN 'FN' WHEN g.label=p.label THEN 'TP' ELSE 'FNFP' END AS cm
@@ -146,7 +147,7 @@ def h11_label_profile(spark, sf):
     ),
 )
 def h12_entity_scores(spark, sf):
-    out = mt.span_scores(sp.bio_spans(labelled(spark, sf)), sp.bio_spans(fr.gold(spark, sf, colocated=True)))
+    out = mt.span_scores(sp.bio_spans(labelled(spark, sf)), sp.bio_spans(fr.gold(spark, sf)))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
@@ -174,11 +175,14 @@ def h13_binary_report(spark, sf):
     ),
 )
 def h14_error_frequency(spark, sf):
-    p = run_pairs(spark, sf)
-    cols = ["kind", "document", "token", "n_runs", "label"]
-    fp = mt.error_frequency(p, mt.good_runs(p, 0.85), ("FP", "FNFP"), "label_pred", "text_pred")
-    fn = mt.error_frequency(p, mt.good_runs(p, 0.9), ("FN",), "label_gt", "text_gt")
-    return fp.withColumn("kind", F.lit("FP")).select(*cols).unionByName(fn.withColumn("kind", F.lit("FN")).select(*cols))
+    bits, names = run_bits(spark, sf), list(RUN_NAMES)
+    scored = io.written(mt.run_counts(bits, names))
+    cols = [F.lit("x").alias("kind"), "document", "token", "n_runs", "label"]
+    parts = []
+    for kind, errors, bar in (("FP", "fp", 0.85), ("FN", "fn", 0.9)):
+        cols[0] = F.lit(kind).alias("kind")
+        parts.append(mt.error_frequency(bits, errors, mt.good_runs(scored, names, bar)).select(*cols))
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -186,9 +190,9 @@ def h14_error_frequency(spark, sf):
     with_parts("SELECT DISTINCT document FROM pairs WHERE cm IN ('FP','FNFP') AND run IN (SELECT run FROM f5 WHERE f>0.9)", "runs", pairs=_RUN_PAIRS, f5=_RUN_F5),
 )
 def h15_documents_with_errors(spark, sf):
-    p = run_pairs(spark, sf)
-    wrong = mt.keep_runs(p.filter(F.col("cm").isin("FP", "FNFP")), mt.good_runs(p, 0.9))
-    return wrong.select("document").distinct()
+    bits, names = run_bits(spark, sf), list(RUN_NAMES)
+    good = mt.good_runs(mt.run_counts(bits, names), names, 0.9)
+    return mt.error_frequency(bits, "fp", good).select("document").distinct()
 
 
 SHIFTS = ((0, 0), (-10, 0), (-1, 0), (-2, 0), (0, -50), (0, -150), (1, 20), (40, 800))

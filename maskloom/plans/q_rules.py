@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import text as tx
 from maskloom.functions.hashing import hash_int
 from maskloom.functions.labels import ENTITY_LABELS, LABELS
-from maskloom.operators import metrics as mt
+from maskloom.operators import masks as ms
 from maskloom.operators import rules as ru
 from maskloom.operators import scores as sc
 from maskloom.operators import tokens as tk
@@ -16,7 +16,6 @@ from maskloom.plans import frames as fr
 from maskloom.plans.q_scores import _TOP
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import h, islower, isspace, istitle, lit, qid, with_parts
-from maskloom.sources import io
 
 KEYS = ("document", "token", "token_text", "label")
 # The synthetic prose has no titles, so frequent capitalised words play their part.
@@ -86,7 +85,7 @@ _DENSE = f"""SELECT document, token, token_text, CASE {h('dense', 'document', 't
 
 def dense_names(spark, sf):
     """Three tenths of all tokens with random name labels: many adjacent runs."""
-    rows = tk.token_rows(tk.tokenize(fr.documents(spark, sf, colocated=True)).select("document", "toks"))
+    rows = tk.token_rows(tk.tokenize(fr.documents(spark, sf)).select("document", "toks"))
     pick3 = F.element_at(F.array(F.lit(ru.NAME_B), F.lit(ru.NAME_I), F.lit("B-ID_NUM")), (hash_int("dense", "document", "token") % 3 + 1).cast("int"))
     return rows.filter(hash_int("keep", "document", "token") % 10 < 3).select("document", "token", "token_text", pick3.alias("label"))
 
@@ -212,7 +211,7 @@ _HITS10 = " UNION ALL ".join(
     ),
 )
 def d10_decode_types(spark, sf):
-    z = ru.zero_impossible_types(ru.collapse_bio(fr.wide_scores(spark, sf, colocated=True)))
+    z = ru.zero_impossible_types(ru.collapse_bio(fr.wide_scores(spark, sf)))
     return ru.decode_types(z).select("document", "token", "token_text", "type", "label")
 
 
@@ -261,44 +260,18 @@ def d12_decode_argmax(spark, sf):
 THRESHOLDS = (0.85, 0.9, 0.95)
 
 
-def step_scores(spark, sf, thresholds=THRESHOLDS) -> DataFrame:
-    """F-beta after every correction step, for several thresholds in one job.
-
-    The decoded rows are written once; the steps branch off from there. Gold is not
-    repeated per threshold: misses follow from the gold total.
-    """
-    path = io.scratch_dir(spark)
-    gold = fr.gold(spark, sf, colocated=True)
-    top = sc.with_top_two(fr.wide_scores(spark, sf, colocated=True))
-    cuts = F.explode(F.array(*[F.lit(t) for t in thresholds]))
-    decoded = sc.drop_blank_tokens(sc.decode(top.withColumn("threshold", cuts), F.col("threshold")))
-    io.write_parquet(decoded.select("threshold", *KEYS), f"{path}/decoded")
-    io.write_parquet(gold.select(*KEYS), f"{path}/tokens")
-    preds = spark.read.parquet(f"{path}/decoded")
-    tokens = spark.read.parquet(f"{path}/tokens")
-    steps = []
-    for name, step in ru.correction_steps(tokens, ("threshold",), thresholds).items():
-        preds = step(preds).select("threshold", *KEYS)
-        io.write_parquet(preds, f"{path}/{name}")
-        preds = spark.read.parquet(f"{path}/{name}")
-        steps.append(preds.withColumn("step", F.lit(name)))
-    rows = steps[0]
-    for s in steps[1:]:
-        rows = rows.unionByName(s)
-    truth = mt.gold_rows(tokens).select("document", "token", F.col("label").alias("label_gt"))
-    scored = rows.join(truth, ["document", "token"], "left").withColumn(
-        "cm", mt.confusion_mark(F.col("label"), F.col("label_gt"))
-    )
-    n_gold = truth.agg(F.count("*").alias("n_gold")).scalar()
-    out = scored.groupBy("threshold", "step").agg(
-        F.count_if(F.col("cm") == "TP").alias("tp"),
-        F.count_if(F.col("cm").isin("FP", "FNFP")).alias("fp"),
-        F.count_distinct(F.when(F.col("cm") == "TP", F.struct("document", "token"))).alias("found"),
-        F.max(n_gold).alias("n_gold"),
+def decoded_masks(spark, sf, thresholds=THRESHOLDS) -> DataFrame:
+    """Every token of `documents` with its gold label and its labels at each threshold."""
+    top = sc.with_top_two(fr.wide_scores(spark, sf)).select(
+        "document", "token", "token_text", "gold_label", "top", "top_score", "second", "score_sum"
     )
-    return out.withColumn("fn", F.col("n_gold") - F.col("found")).withColumn(
-        "fbeta", F.round(mt.fbeta(F.col("tp"), F.col("fp"), F.col("fn")), 6)
-    ).select("threshold", "step", "tp", "fp", "fn", "fbeta")
+    return ms.decode_masks(top, thresholds)
+
+
+def step_scores(spark, sf, thresholds=THRESHOLDS) -> DataFrame:
+    """F-beta after every correction step, for several thresholds in one job that writes nothing."""
+    rows = ms.correct_masks(decoded_masks(spark, sf, thresholds), len(thresholds), keep_steps=True)
+    return ms.scores_by_step(rows, thresholds).withColumn("fbeta", F.round("fbeta", 6))
 
 
 _BY = "threshold, "
@@ -341,12 +314,8 @@ SWEEP_SQL = with_parts(
     with_parts("SELECT threshold, label, count(*) AS n FROM s7 GROUP BY 1,2", "prob", **_chain_ctes()),
 )
 def d13_correction_chain(spark, sf):
-    top = sc.with_top_two(fr.wide_scores(spark, sf, colocated=True))
-    cuts = F.explode(F.array(*[F.lit(t) for t in THRESHOLDS]))
-    decoded = sc.drop_blank_tokens(sc.decode(top.withColumn("threshold", cuts), F.col("threshold")))
-    preds = decoded.select("threshold", *KEYS)
-    fixed = ru.correct(preds, fr.gold(spark, sf, colocated=True), ("threshold",), THRESHOLDS)
-    return fixed.groupBy("threshold", "label").agg(F.count("*").alias("n"))
+    rows = ms.correct_masks(decoded_masks(spark, sf), len(THRESHOLDS))
+    return ms.long_labels(rows, THRESHOLDS).groupBy("threshold", "label").agg(F.count("*").alias("n"))
 
 
 @query("h6_threshold_sweep", SWEEP_SQL)

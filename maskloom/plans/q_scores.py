@@ -62,7 +62,7 @@ _PIECE_SCORES = (
     ),
 )
 def c2_merge_windows(spark, sf):
-    tokens = tk.token_spans(fr.gold(spark, sf, colocated=True))
+    tokens = tk.token_spans(fr.gold(spark, sf))
     merged = sc.merge_windows(fr.piece_scores(spark, sf), tokens)
     return _sums(merged)
 
@@ -84,7 +84,7 @@ def _sums(merged):
     ),
 )
 def c3_pool_mean(spark, sf):
-    tokens = tk.token_spans(fr.gold(spark, sf, colocated=True))
+    tokens = tk.token_spans(fr.gold(spark, sf))
     return _sums(sc.merge_windows(fr.piece_scores(spark, sf), tokens, pooling="mean"))
 
 

@@ -161,7 +161,7 @@ def a9_flatten_tokens(spark, sf):
     ),
 )
 def a10_nest_tokens(spark, sf):
-    nested = tk.nest_tokens(fr.gold(spark, sf, colocated=True))
+    nested = tk.nest_tokens(fr.gold(spark, sf))
     toks = F.transform("toks", lambda t: F.struct(t["token_text"].alias("text"), t["ws"].alias("ws")))
     labels = F.filter(F.col("toks.label"), lambda x: x != "O")
     return nested.select(

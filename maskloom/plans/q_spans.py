@@ -17,13 +17,14 @@ from maskloom.operators import tokens as tk
 from maskloom.plans import frames as fr
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import h, islower, istitle, isupper, lit, noisy, with_parts
+from maskloom.sources import io
 
 _LABELLED = f"SELECT * REPLACE (coalesce({noisy('label')},'O') AS label) FROM gold"
 
 
 def labelled(spark, sf):
     """All tokens with predicted labels, `O` included."""
-    rows = fr.gold(spark, sf, colocated=True)
+    rows = fr.gold(spark, sf)
     return rows.withColumn("label", F.coalesce(fr.noisy_label(F.col("label")), F.lit("O")))
 
 
@@ -112,7 +113,7 @@ def e7_label_diff(spark, sf):
     ),
 )
 def e6_merge_tokens(spark, sf):
-    rows = fr.gold(spark, sf, colocated=True)
+    rows = fr.gold(spark, sf)
     heads = rows.filter(hash_int("merge", "document", "token") % 40 == 0).select("document", "token")
     merged = pa.merge_tokens(rows, heads)
     text = F.concat("token_text", F.when(F.col("ws"), F.lit(" ")).otherwise(F.lit("")))
@@ -239,9 +240,9 @@ _RUN_F5 = """SELECT run, 26.0*count(*) FILTER (cm='TP')/(26.0*count(*) FILTER (c
 RUN_NAMES = ("run0", "run1", "run2", "run3")
 
 
-def run_pairs(spark, sf):
-    gold = mt.gold_rows(fr.gold(spark, sf)).withColumn("run", F.explode(F.array(*[F.lit(r) for r in RUN_NAMES])))
-    return mt.score_pairs(fr.runs(spark, sf), gold, ("run",))
+def run_bits(spark, sf):
+    """The bits of all runs, written, since the runs' scores and their errors both read them."""
+    return io.written(mt.run_bits(fr.runs(spark, sf), mt.gold_rows(fr.gold(spark, sf)), list(RUN_NAMES)))
 
 
 @query(
@@ -256,10 +257,10 @@ def run_pairs(spark, sf):
     ),
 )
 def f6_false_positives(spark, sf):
-    pairs = run_pairs(spark, sf)
-    good = mt.good_runs(pairs, 0.9, strict=False)
-    wrong = mt.keep_runs(pairs.filter((F.col("cm") == "FP") & (F.length("text_pred") >= 2)), good)
-    rows = sn.attach(fr.gold_documents(spark, sf).select("document", "toks"), wrong.select("document", "token").distinct())
+    bits = run_bits(spark, sf)
+    good = mt.good_runs(mt.run_counts(bits, list(RUN_NAMES)), list(RUN_NAMES), 0.9, strict=False)
+    wrong = mt.error_frequency(bits.filter("label_gt IS NULL"), "fp", good).filter(F.length("token_text") >= 2)
+    rows = sn.attach(fr.gold_documents(spark, sf).select("document", "toks"), wrong.select("document", "token"))
     own = F.get("toks", F.col("token"))
     return _assertion(rows.withColumn("token_text", own["text"]).withColumn("label", own["label"]))
 
@@ -378,7 +379,7 @@ _SHIFTS = ((0, 0), ("lag", 1), ("lag", 2), ("lead", 1), ("lead", 2))
     ),
 )
 def g3_score_features(spark, sf):
-    rows = ft.score_vector(fr.wide_scores(spark, sf, colocated=True))
+    rows = ft.score_vector(fr.wide_scores(spark, sf))
     at = lambda k, i: F.get("score_features", F.lit(12 * k + i))
     return rows.groupBy("document").agg(
         *[F.round(F.sum(at(k, i)), 4).alias(f"s{k}_{i}") for k in range(5) for i in range(12)],
@@ -414,7 +415,7 @@ def g4_training_rows(spark, sf):
 
 def training_rows(spark, sf, cut: float = 0.05):
     """Candidates and gold entities with text and score features; neighbours are taken first."""
-    rows = fr.gold(spark, sf, neighbours=4, colocated=True).drop("lang", "source")
+    rows = fr.gold(spark, sf, neighbours=4).drop("lang", "source")
     wide = sc.softmax(fr.raw_scores(rows, "score", "document", "token"))
     picked = ft.select_rows(ft.score_vector(wide), sc.has_entity_score(cut))
     return ft.text_vector(picked).drop(*LABELS)

@@ -66,7 +66,7 @@ def b2_rebuild_text(spark, sf):
     ),
 )
 def b3_token_map(spark, sf):
-    docs = tk.tokenize(fr.documents(spark, sf, colocated=True)).select("document", "toks")
+    docs = tk.tokenize(fr.documents(spark, sf)).select("document", "toks")
     spans = tk.token_spans(tk.token_rows(docs))
     return spans.groupBy("document").agg(
         F.count("*").alias("n_tokens"),
@@ -93,7 +93,7 @@ _SPANS_SQL = f"""SELECT document, (gaps+hits)::INT AS span_start, (gaps+hits+hit
     ),
 )
 def b4_span_owner(spark, sf):
-    docs = fr.documents(spark, sf, colocated=True)
+    docs = fr.documents(spark, sf)
     hits = sp.regex_spans(docs, PHONE_SPAN)
     spans = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
     pairs = overlap_join(hits, spans.select("document", "token", "start", "end"), ("span_start", "span_end"))
@@ -136,7 +136,7 @@ _PIECES = """SELECT *, greatest("start"+piece*4,0)-lead AS piece_start, least("s
 
 
 def _gold_spans(spark, sf):
-    return tk.token_spans(fr.gold(spark, sf, colocated=True).drop("lang", "source", "n_tokens"))
+    return tk.token_spans(fr.gold(spark, sf).drop("lang", "source", "n_tokens"))
 
 
 @query(
@@ -239,7 +239,7 @@ def b8_encode_labels(spark, sf):
     ),
 )
 def b9_name_pieces(spark, sf):
-    docs = fr.gold_documents(spark, sf, colocated=True)
+    docs = fr.gold_documents(spark, sf)
     is_name = F.filter("toks", lambda t: t["label"].contains("NAME_STUDENT"))
     names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
     hits = sp.regex_spans(

@@ -29,6 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="maskloom-")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` written once below `scratch_dir` and read again, where several steps read it."""
+    path = f"{scratch_dir(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_documents_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
     """Documents as JSON lines (splittable), or as one array of objects per file."""
     raw = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=array)
