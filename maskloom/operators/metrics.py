@@ -115,9 +115,10 @@ def binary_report(rows: DataFrame, predicted: Column, actual: Column) -> DataFra
     )
 
 
-def run_bits(predicted: DataFrame, gold: DataFrame, runs: list[str]) -> DataFrame:
+def run_bits(labelled: DataFrame, runs: list[str]) -> DataFrame:
     """One row per (document, token) that any run or gold labels, with a bit per run instead of a row per run.
 
+    `labelled` has run, document, token, token_text, label; the rows of gold have a null run.
     Columns: document, token, text_pred, text_gt, label_gt, `votes` (which runs give which label, as
     `array<struct<label, bits>>`, at most one entry per run), and as bit sets `tp`, `fp` (a label of its own
     where gold has none or another) and `fn` (gold alone). A wrong label is in `fp` and not in `fn`; together
@@ -125,11 +126,11 @@ def run_bits(predicted: DataFrame, gold: DataFrame, runs: list[str]) -> DataFram
     """
     if len(runs) > 63:
         raise ValueError("at most 63 runs fit one bit set")
-    bit = F.create_map(*[F.lit(x) for i, r in enumerate(runs) for x in (r, 1 << i)])[F.col("run")]
-    rows = predicted.select(*KEY, "token_text", "label", bit.alias("bit")).filter("bit IS NOT NULL")
-    both = rows.unionByName(gold.select(*KEY, "token_text", "label", F.lit(0).cast("long").alias("bit")))
+    named = F.create_map(*[x for i, r in enumerate(runs) for x in (F.lit(r), F.lit(1 << i).cast("long"))])[F.col("run")]
+    bit = F.when(F.col("run").isNull(), F.lit(0).cast("long")).otherwise(named)
+    rows = labelled.select(*KEY, "token_text", "label", bit.alias("bit")).filter("bit IS NOT NULL")
     of_gold = F.col("bit") == 0
-    each = both.groupBy(*KEY, "label", of_gold.alias("of_gold")).agg(F.bit_or("bit").alias("bits"), F.min("token_text").alias("text"))
+    each = rows.groupBy(*KEY, "label", of_gold.alias("of_gold")).agg(F.bit_or("bit").alias("bits"), F.min("token_text").alias("text"))
     found = each.groupBy(*KEY).agg(
         F.min(F.when(~F.col("of_gold"), F.col("text"))).alias("text_pred"),
         F.min(F.when(F.col("of_gold"), F.col("text"))).alias("text_gt"),

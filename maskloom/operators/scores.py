@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
@@ -182,6 +182,13 @@ def documents_in_several_runs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document").agg(F.count_distinct("run").alias("n_runs")).filter("n_runs > 1")
 
 
+def documents_of_one_run(rows: DataFrame) -> DataFrame:
+    """Rows of documents that a single run predicted; one pass, and no shuffle if partitioned by document."""
+    w = Window.partitionBy("document")
+    alone = F.min("run").over(w) == F.max("run").over(w)
+    return rows.withColumn("_alone", alone).filter("_alone").drop("_alone")
+
+
 def best_entity() -> Column:
     return F.greatest(*[F.col(c) for c in ENTITY_LABELS])
 

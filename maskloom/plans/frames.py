@@ -148,14 +148,18 @@ def predictions(spark: SparkSession, sf: str, seed: str = "pred") -> DataFrame:
     )
 
 
-def runs(spark: SparkSession, sf: str, names=("run0", "run1", "run2", "run3")) -> DataFrame:
-    """Predictions of several runs, later runs miss more; one pass over the tokens."""
+RUN_NAMES = ("run0", "run1", "run2", "run3")
+
+
+def labelled_runs(spark: SparkSession, sf: str, names=RUN_NAMES) -> DataFrame:
+    """Labels of several runs, later runs miss more, and of gold (where `run` is null); one pass over the tokens."""
     rows = gold(spark, sf).select("document", "token", "token_text", F.col("label").alias("g"))
-    many = rows.withColumn("run", F.explode(F.array(*[F.lit(n) for n in names])))
+    many = rows.withColumn("run", F.explode(F.array(*[F.lit(n) for n in names], F.lit(None))))
     draw = hash_int("run", "run", "document", "token") % 1000
     miss = F.substring("run", 4, 1).cast("int") * 20
     label = (
-        F.when((F.col("g") == "O") & (draw < 2), pick("run-false", FALSE_LABELS, "document", "token"))
+        F.when(F.col("run").isNull(), F.when(F.col("g") != "O", F.col("g")))
+        .when((F.col("g") == "O") & (draw < 2), pick("run-false", FALSE_LABELS, "document", "token"))
         .when(F.col("g") == "O", F.lit(None))
         .when(draw < miss, F.lit(None))
         .when(draw < miss + 10, F.lit("B-ID_NUM"))
@@ -164,6 +168,11 @@ def runs(spark: SparkSession, sf: str, names=("run0", "run1", "run2", "run3")) -
     return many.withColumn("label", label).filter("label IS NOT NULL").drop("g")
 
 
+def runs(spark: SparkSession, sf: str, names=RUN_NAMES) -> DataFrame:
+    """Predictions of several runs."""
+    return labelled_runs(spark, sf, names).filter("run IS NOT NULL")
+
+
 def raw_scores(rows: DataFrame, seed: str, *key) -> DataFrame:
     """Replace `label` by `gold_label` and add one raw score column per label: noise from one
     digest per row plus a bonus on the gold label."""

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
-from maskloom.functions.hashing import hash_int
 from maskloom.operators import profile as pr
 from maskloom.operators import sample as sa
 from maskloom.operators import snippets as sn
@@ -313,11 +313,18 @@ def g5_second_stage_model(spark, sf):
     return models.cross_validate(rows)
 
 
+def url_rows(spark, sf) -> DataFrame:
+    """URL tokens of the synthetic essays, labelled by the links that were put in, and page addresses, which are public."""
+    wanted = tx.is_url_token(F.col("token_text"))
+    nested = tk.nest_tokens(fr.synthetic_tokens(spark, sf).withColumnRenamed("token_text", "text"), ("text", "ws", "label"))
+    mine = sn.candidates(nested, wanted).withColumn("label", (F.col("label") == "B-URL_PERSONAL").cast("int"))
+    pages = sn.candidates(tk.tokenize(fr.url_documents(spark, sf)).select("document", "toks"), wanted).withColumn("label", F.lit(0))
+    parts = [r.select("document", "token", sn.url_excerpt(20, 20).alias("text"), "label") for r in (mine, pages)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("g6_url_model")
 def g6_url_model(spark, sf):
     from maskloom.operators import models
 
-    docs = tk.tokenize(fr.url_documents(spark, sf)).select("document", "toks")
-    urls = sn.candidates(docs, tx.is_url_token(F.col("token_text")))
-    rows = urls.select("document", "token", sn.url_excerpt(20, 20).alias("text"), (hash_int("urlpii", "token_text") % 3 == 0).cast("double").alias("label"))
-    return models.url_classifier(rows)
+    return models.url_classifier(url_rows(spark, sf))

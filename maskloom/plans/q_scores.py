@@ -14,6 +14,7 @@ from maskloom.plans import detect
 from maskloom.plans import frames as fr
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import _ESUM, _XMAX, h, isspace, lit, with_parts
+from maskloom.sources import io
 
 _P = [f"p{i}" for i in range(12)]
 _ENT = [f"p{i}" for i in range(11)]
@@ -163,10 +164,10 @@ def url_model_mean(spark, sf):
     ),
 )
 def c9_union_folds(spark, sf):
-    preds = fr.predictions(spark, sf)
+    preds = io.written(fr.predictions(spark, sf))  # the files of a run, read by fold
     fold = F.col("document").cast("long") % 4
     rows = sc.union_folds({f"fold{k}": preds.filter(fold == k) for k in range(4)})
-    single = rows.join(sc.documents_in_several_runs(rows), "document", "left_anti")
+    single = sc.documents_of_one_run(rows)
     return single.groupBy("run", "label").agg(
         F.count("*").alias("n"), F.count_distinct("document").alias("n_documents")
     )

@@ -58,7 +58,7 @@ def a3_read_run_csv(spark, sf):
         f"{base}/scored", header=True, quote='"', escape='"'
     )
     gold.write.csv(f"{base}/other", header=True)
-    back = io.read_runs_csv(spark, base)
+    back = io.read_runs_csv(spark, base, ("document", "token", "label", "label_gt", "cm"))
     return back.withColumn("run", F.regexp_extract("run", r"run=([^/]+)/", 1)).groupBy("run", "cm").agg(
         F.count("*").alias("n")
     )

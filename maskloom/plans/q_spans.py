@@ -237,12 +237,12 @@ _RUN_PAIRS = """SELECT run, document, token, r.token_text, r.label AS label_pred
     CASE WHEN g.label IS NULL THEN 'FP' WHEN r.label IS NULL THEN 'FN' WHEN g.label=r.label THEN 'TP' ELSE 'FNFP' END AS cm
   FROM runs r FULL JOIN (SELECT * FROM (SELECT document, token, token_text, label FROM gold WHERE label<>'O'), (VALUES ('run0'),('run1'),('run2'),('run3')) v(run)) g USING (run, document, token)"""
 _RUN_F5 = """SELECT run, 26.0*count(*) FILTER (cm='TP')/(26.0*count(*) FILTER (cm='TP')+25.0*count(*) FILTER (cm IN ('FN','FNFP'))+count(*) FILTER (cm IN ('FP','FNFP'))) AS f FROM pairs GROUP BY 1"""
-RUN_NAMES = ("run0", "run1", "run2", "run3")
+RUN_NAMES = fr.RUN_NAMES
 
 
 def run_bits(spark, sf):
     """The bits of all runs, written, since the runs' scores and their errors both read them."""
-    return io.written(mt.run_bits(fr.runs(spark, sf), mt.gold_rows(fr.gold(spark, sf)), list(RUN_NAMES)))
+    return io.written(mt.run_bits(fr.labelled_runs(spark, sf), list(RUN_NAMES)))
 
 
 @query(

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import csv
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 DOCUMENT_SCHEMA = (
     "document STRING, full_text STRING, tokens ARRAY<STRING>, "
@@ -33,7 +32,16 @@ def written(df: DataFrame) -> DataFrame:
     """`df` written once below `scratch_dir` and read again, where several steps read it."""
     path = f"{scratch_dir(df.sparkSession)}/rows"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Delete a table that `written` returned, once nothing will read it again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_documents_json(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
@@ -63,42 +71,67 @@ def read_parquet_set(spark: SparkSession, *globs: str) -> DataFrame:
     return spark.read.parquet(*globs)
 
 
-def read_runs_csv(spark: SparkSession, path: str, needed: str = "cm") -> DataFrame:
-    """All CSV files below `path` that have the column `needed`, with their `run` file.
+#: A field of a CSV record with the comma before it: quoted (quotes inside are doubled) or plain.
+CSV_FIELD = r'(?:^|,)(?:"[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
+
+
+def csv_records(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(file, record, fields): the records of all CSV files below `path`, numbered from 0 in each file.
 
-    The header of every file is read first (one line per file); files are then read per
-    distinct header, so the column check costs no second pass over the data.
+    Files are read by lines, so large ones split. A record ends at a line break outside quotes: a line
+    starts inside quotes if an odd number of them precedes it in its file. Counts are taken per block of a file
+    and a running sum over a file's blocks joins them, so no task sees a whole file. Blank lines between
+    records are passed over.
     """
     lines = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", glob)
         .text(path)
-        .select("value", "_metadata.file_path", "_metadata.file_block_start")
-        .filter("file_block_start = 0")
-        .withColumn("_id", F.monotonically_increasing_id())
+        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
     )
-    headers = (
-        lines.groupBy("file_path")
-        .agg(F.min_by("value", "_id").alias("header"))
-        .groupBy("header")
-        .agg(F.collect_list("file_path").alias("files"))
-    )
-    parts = []
-    for row in headers.collect():
-        columns = next(csv.reader([row.header]))
-        if needed in columns:
-            schema = StructType([StructField(c, StringType()) for c in columns])
-            parts.append(
-                spark.read.schema(schema)
-                .csv(row.files, header=True, quote='"', escape='"', multiLine=True)
-                .withColumn("run", F.col("_metadata.file_path"))
-            )
-    if not parts:
-        raise ValueError(f"no CSV below {path} has a column {needed}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
+    before = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    # a line opens a record if all quotes before it are closed, which depends on the parity the block starts with
+    opens = {f"open{p}": (F.col("odd") == p) & (F.col("value") != "") for p in (0, 1)}
+    per_block = lines.groupBy("file", "block").agg((F.sum("quotes") % 2).alias("q"), *(F.count_if(c).alias(k) for k, c in opens.items()))
+    blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.withColumn("parity", F.coalesce(F.sum("q").over(blocks), F.lit(0)) % 2)
+    own = F.when(F.col("parity") == 0, F.col("open0")).otherwise(F.col("open1"))
+    starts = starts.select("file", "block", "parity", F.coalesce(F.sum(own).over(blocks), F.lit(0)).alias("base"))
+    met = lines.join(starts, ["file", "block"])
+    first = (F.col("odd") == F.col("parity")) & (F.col("value") != "")
+    numbered = met.withColumn("record", F.col("base") + F.count_if(first).over(within) - 1)
+    kept = numbered.filter(first | (F.col("odd") != F.col("parity")))
+    whole = kept.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    raw = F.regexp_extract_all(text, F.lit(CSV_FIELD), F.lit(0))
+
+    def field(x: Column, i: Column) -> Column:
+        bare = F.when(i > 0, F.substring(x, F.lit(2), F.length(x))).otherwise(x)
+        quoted = F.replace(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit('""'), F.lit('"'))
+        return F.when(bare.startswith('"'), quoted).when(bare != "", bare)
+
+    return whole.select("file", "record", F.transform(raw, field).alias("fields"))
+
+
+def read_runs_csv(spark: SparkSession, path: str, columns: Sequence[str], needed: str = "cm") -> DataFrame:
+    """The named columns, as strings, of all CSV files below `path` that have the column `needed`, and their `run` file.
+
+    Headers are rows like any other: the first record of a file tells where its columns stand, and its other
+    records meet that by file. A column that a file lacks is null there; empty fields are null, and `""` is
+    an empty text. Nothing is gathered on the driver, however many files or headers there are.
+    """
+    records = csv_records(spark, path)
+    headers = records.filter("record = 0").filter(F.array_contains("fields", needed)).select("file", F.col("fields").alias("header"))
+    rows = records.filter("record > 0").join(headers, "file")
+
+    def named(c: str) -> Column:
+        return F.when(F.array_contains("header", c), F.get("fields", (F.array_position("header", c) - 1).cast("int"))).alias(c)
+
+    return rows.select(*map(named, columns), F.col("file").alias("run"))
 
 
 def read_dictionary(spark: SparkSession, path: str, kind: str) -> DataFrame:
