@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from maskloom.functions.labels import ENTITY_TYPES, LABELS, REMOVED_LABELS, build_vocabulary
+from maskloom.functions.labels import ENTITY_TYPES, LABELS, REMOVED_LABELS, build_vocabulary, label_id
+from maskloom.operators import pieces as pc
 from maskloom.operators import spans as sp
 from maskloom.operators import tokens as tk
 from maskloom.operators import windows as wn
@@ -281,6 +282,59 @@ def b10_subtoken_labels(spark, sf):
     ).agg(F.sum("k").alias("n"))
 
 
+#: Vocabulary file of the piece queries; any path, or any dict of pieces, can take its place.
+PIECE_VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_pieces(spark, sf):
+    """Tokens of `documents` with gold labels, cut into pieces of the vocabulary."""
+    import public_tokenizers
+
+    trie = pc.flat_trie(pc.byte_level_vocabulary(public_tokenizers.path(PIECE_VOCABULARY)), "</w>")
+    return pc.with_pieces(_gold_spans(spark, sf).select("document", "token", "token_text", "start", "label"), trie)
+
+
+@query("b6_vocabulary_pieces")
+def b6_vocabulary_pieces(spark, sf):
+    """Pieces per document and label id of their first character, with sums that fix offsets and ids."""
+    pieces = vocabulary_pieces(spark, sf).withColumn("label_id", label_id(F.col("label")))
+    return pieces.groupBy("document", "label_id").agg(
+        F.count("*").alias("n"),
+        F.sum(F.col("piece_start") * 7 + F.col("piece_end")).alias("offsets"),
+        F.sum("piece_id").alias("ids"),
+        F.count_if(F.col("piece_id") == pc.UNKNOWN).alias("n_unknown"),
+    )
+
+
+@query("b9_vocabulary_names")
+def b9_vocabulary_names(spark, sf):
+    """Pieces that overlap an occurrence of one of the document's names, inside longer tokens too."""
+    docs = fr.gold_documents(spark, sf)
+    is_name = F.filter("toks", lambda t: t["label"].contains("NAME_STUDENT"))
+    names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
+    pattern = sp.literal_pattern(F.col("name"), True)
+    hits = sp.regex_spans(names.withColumn("pat", pattern), F.col("pat"), by=("name",)).select("document", "span_start", "span_end").distinct()
+    pieces = vocabulary_pieces(spark, sf).select("document", "token", "piece", "piece_start", "piece_end")
+    named = (
+        overlap_join(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"), how="padded")
+        .groupBy("document", "token", "piece", "piece_start")
+        .agg(F.max(F.col("span_start").isNotNull()).alias("hit"))
+    )
+    return named.groupBy("document").agg(
+        F.count("*").alias("n_pieces"),
+        F.count_if("hit").alias("n_named"),
+        F.coalesce(F.sum(F.when(F.col("hit"), F.col("piece_start"))), F.lit(0)).alias("checksum"),
+    )
+
+
+@query("b10_vocabulary_labels")
+def b10_vocabulary_labels(spark, sf):
+    """How often each label id falls on a piece, when others than a token's first are ignored or take the I-form."""
+    both = pc.labelled_pieces(vocabulary_pieces(spark, sf))
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"{m}_id").alias("label_id")) for m in ("first", "all")])
+    return both.groupBy("first_id", "all_id").agg(F.count("*").alias("k")).select("k", F.inline(modes)).groupBy("mode", "label_id").agg(F.sum("k").alias("n"))
+
+
 @query(
     "b11_chunks",
     with_parts(
