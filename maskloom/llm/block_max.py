@@ -26,7 +26,7 @@ from maskloom.llm.blocks import SIGNS, blocks, words
 from maskloom.llm.shared import written
 
 #: Bytes of text, and documents, after which a shard is full.
-SHARD, SHARD_ROWS = 1 << 25, 1 << 16
+SHARD, SHARD_ROWS = 1 << 23, 1 << 16
 #: Postings of a block; documents that are scored before the score to beat is read again.
 BLOCK, RANGE = 64, 4096
 #: Terms of all queries, with repeats, that are searched for in one pass over the index.
@@ -67,8 +67,10 @@ def _packed(values: np.ndarray, width: np.ndarray, at: np.ndarray, blob: np.ndar
 def shard_of(postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, known: np.ndarray, m: np.ndarray) -> dict:
     """The arrays of a shard from (terms, documents, counts) of its texts, documents ascending."""
     term, doc, tf = (np.concatenate(x) for x in zip(*postings))
+    postings.clear()
     order = np.argsort(term, kind="stable")
     term, doc, tf = term[order], doc[order], tf[order]
+    del order
     start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
     df = np.diff(np.append(start, len(term)))
     place = np.arange(len(term)) - np.repeat(start, df)
@@ -86,7 +88,7 @@ def shard_of(postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.
     row = place % BLOCK
     _packed(gap, widths[0][block], at[block] + row * _BYTES[widths[0][block]], blob)
     _packed(tf, widths[1][block], at[block] + (n * _BYTES[widths[0]])[block] + row * _BYTES[widths[1][block]], blob)
-    found = impact(tf, m[doc])
+    found = impact(tf.astype(np.int64), m[doc])
     per_term = -(-df // BLOCK)
     return {
         "ids": ids,
@@ -124,7 +126,7 @@ def index(docs: DataFrame, n_docs: int, n_terms: int, shard: int = SHARD) -> Dat
                 w = words(b, lower=True, breaks=SIGNS)
                 code, seen = pd.factorize(w.hash)
                 pair, tf = np.unique(code.astype(np.int64) * len(b) + w.doc, return_counts=True)
-                postings.append((np.asarray(seen)[pair // len(b)], pair % len(b) + sum(map(len, ids)), tf))
+                postings.append((np.asarray(seen)[pair // len(b)], (pair % len(b) + sum(map(len, ids))).astype(np.int32), tf.astype(np.int32)))
                 ids.append(batch.column("_id").slice(b.first, len(b)))
                 counts.append(w.counts)
                 size += len(b.data) or 1
