@@ -9,19 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import written
+from maskloom.llm.shared import removed, written
 
 #: A line on this many distinct sites is boilerplate.
 MIN_SITES = 5
 #: Logarithm of the number of sketch registers, and the relative distance from the threshold that is counted exactly.
 LOG_K = 8
 NEAR = 0.5
-#: Shorter lines are left alone.
-MIN_LINE_WORDS = 3
-LINE = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (MIN_LINE_WORDS - 1)
-#: A document that would lose more than this share of its characters in lines is a copy, not a page with
-#: boilerplate: it stays whole, for near-duplicate removal to judge.
-MOST_LOST = 0.5
+#: What a line needs to be looked at: a word.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def lines_of(text: Column) -> Column:
@@ -40,18 +36,18 @@ def text_key(text: Column) -> Column:
 
 
 def site_lines(docs: DataFrame, site: str, text: str = "text") -> DataFrame:
-    """(text_key, site, at, key): lines of `MIN_LINE_WORDS` words or more. Rows without a site count as one site."""
+    """(text_key, site, at, key): lines with a word. Rows without a site count as one site."""
     line = F.posexplode(lines_of(F.col(text))).alias("at", "line")
     return (
         docs.select(text_key(F.col(text)).alias("text_key"), F.coalesce(F.col(site), F.lit("")).alias("site"), line)
-        .filter(F.col("line").rlike(LINE))
+        .filter(F.col("line").rlike(WORD))
         .select("text_key", "site", "at", line_key(F.col("line")).alias("key"))
     )
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(key): hashes of lines on at least `min_sites` distinct sites."""
-    spread = (
+    spread = written(
         lines.groupBy("key")
         .agg(F.hll_sketch_agg("site", LOG_K).alias("_sites"), F.count("*").alias("_n"))
         .filter(F.col("_n") >= min_sites)
@@ -60,13 +56,14 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     clear = spread.filter(F.col("_estimate") > min_sites * (1 + NEAR)).select("key")
     near = spread.filter(F.col("_estimate") <= min_sites * (1 + NEAR)).select("key")
+    # a line meets the near ones once for each of its sites, however often it occurs
     exact = (
-        lines.join(near, "key", "left_semi")
-        .groupBy("key", "site")
-        .agg(F.lit(1).alias("_one"))
+        lines.select("key", "site")
+        .distinct()
+        .join(near, "key", "left_semi")
         .groupBy("key")
-        .agg(F.count("*").alias("_sites"))
-        .filter(F.col("_sites") >= min_sites)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") >= min_sites)
         .select("key")
     )
     return clear.unionByName(exact)
@@ -75,32 +72,37 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def without_boilerplate(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """All rows and columns of `docs` (one named `_lines` is replaced), and struct `_lines` (n_lines, n_found, n_removed, kept).
 
-    `n_found` counts lines on at least `min_sites` sites, `kept` is the text without them. A document that
-    would lose more than `MOST_LOST` of its characters keeps all lines. Null text: 0 lines, `kept` null.
-    Repeated rows and null ids are rows of their own. Documents meet their lines by text, so copies cost
-    one entry; the hot ones are split by the adaptive join.
+    `n_found` counts lines on at least `min_sites` sites, `kept` is the text without them. A document of which
+    every line with a word is found is a copy, not a page with boilerplate: it stays whole, for near-duplicate
+    removal to judge. Null text: 0 lines, `kept` null. Repeated rows and null ids are rows of their own.
+    Documents meet their lines by text, so copies cost one entry; the hot ones are split by the adaptive
+    join. Texts move once, by the same plan at every size.
     """
     lines = written(site_lines(docs, site, text))
+    wide = written(boilerplate(lines, min_sites))
     found = written(
         lines.select("text_key", "at", "key")
         .distinct()
-        .join(written(boilerplate(lines, min_sites)), "key", "left_semi")
+        .join(wide, "key", "left_semi")
         .groupBy("text_key")
         .agg(F.sort_array(F.collect_set("at")).alias("_at"))
     )
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), text_key(F.col(text)).alias("text_key")
-    ).join(found, "text_key", "left")
+    removed(lines, wide)
+    others = [c for c in docs.columns if c not in (text, "_lines")]
+    row = F.struct(*(f"`{c}`" for c in others)) if others else F.lit(None)
+    rows = docs.select(row.alias("_row"), F.col(text).alias("_text"), text_key(F.col(text)).alias("text_key"))
+    rows = rows.join(found.hint("merge"), "text_key", "left")
     at = F.coalesce(F.col("_at"), F.array().cast("array<int>"))
     rows = rows.withColumn("_all", lines_of(F.col("_text"))).withColumn("_at", at)
-    lost = F.aggregate(F.transform("_at", lambda i: F.length(F.get(F.col("_all"), i))), F.lit(0), lambda a, b: a + b)
-    drop = (F.size("_at") > 0) & (lost <= MOST_LOST * F.length("_text"))
     positions = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_at"))
-    kept = F.array_join(F.transform(positions, lambda i: F.get(F.col("_all"), i)), "\n")
-    found = F.struct(
+    rest = F.array_join(F.transform(positions, lambda i: F.get(F.col("_all"), i)), "\n")
+    rows = rows.withColumn("_rest", F.when(F.size("_at") > 0, rest))
+    drop = F.coalesce(F.col("_rest").rlike(WORD), F.lit(False))
+    result = F.struct(
         F.size("_all").cast("long").alias("n_lines"),
         F.size("_at").cast("long").alias("n_found"),
         F.when(drop, F.size("_at")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(drop, kept).otherwise(F.col("_text")).alias("kept"),
+        F.when(drop, F.col("_rest")).otherwise(F.col("_text")).alias("kept"),
     )
-    return rows.select(*(f"_row.`{c}`" for c in docs.columns if c != "_lines"), found.alias("_lines"))
+    columns = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c != "_lines"]
+    return rows.select(*columns, result.alias("_lines"))

@@ -121,14 +121,12 @@ WITH texts AS (
          lower(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS k
   FROM (SELECT doc_id, site, text, unnest(range(len(lines))) AS pos, unnest(lines) AS line FROM texts)
 ), wide AS (
-  SELECT k FROM each WHERE regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]')
-  GROUP BY k HAVING count(DISTINCT site) >= 5
+  SELECT k FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k HAVING count(DISTINCT site) >= 5
 ), marked AS (
-  SELECT e.*, w.k IS NOT NULL AND regexp_matches(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]') AS found
-  FROM each e LEFT JOIN wide w USING (k)
+  SELECT e.*, w.k IS NOT NULL AS found FROM each e LEFT JOIN wide w USING (k)
 ), per AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (found) AS n_found,
-         coalesce(sum(length(line)) FILTER (found), 0) <= 0.5 * any_value(length(text)) AS drops,
+         coalesce(bool_or(NOT found AND regexp_matches(line, '[^\x20\x09-\x0D]')), false) AS drops,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT found), '') AS rest
   FROM marked GROUP BY doc_id
 )

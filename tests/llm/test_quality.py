@@ -68,13 +68,14 @@ def without_wide_lines(rows):
     spread, out = collections.defaultdict(set), {}
     for _, t, s in rows:
         for x in (t or "").split("\n"):
-            if len(WORD.findall(x)) >= 3:
+            if WORD.search(x):
                 spread[x.strip().lower()].add(s)
     for d, t, _ in rows:
         lines = t.split("\n") if t is not None else []
         wide = [len(spread.get(x.strip().lower(), ())) >= 5 for x in lines]
-        drop = any(wide) and sum(len(x) for x, w in zip(lines, wide) if w) <= 0.5 * len(t)
-        kept = "\n".join(x for x, w in zip(lines, wide) if not w) if drop else t
+        rest = "\n".join(x for x, w in zip(lines, wide) if not w)
+        drop = any(wide) and WORD.search(rest) is not None
+        kept = rest if drop else t
         out[d] = (len(lines), sum(wide), sum(wide) if drop else 0, kept)
     return out
 
@@ -92,7 +93,9 @@ def test_lines_on_many_sites(spark):
     found = {r.doc_id: r for r in without_boilerplate(docs).collect()}
     for d, want in without_wide_lines([r[:3] for r in rows]).items():
         assert found[d].key == 7 and tuple(found[d]._lines) == want
+    rows_of = {r[0]: r[1] for r in rows}
     assert found[1]._lines.n_removed and found[100]._lines.n_found == 2 and found[100]._lines.n_removed == 0
+    assert "two words" in rows_of[1] and "two words" not in found[1]._lines.kept
     assert without_boilerplate(empty(spark)).collect() == []
 
 
