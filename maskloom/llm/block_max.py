@@ -329,14 +329,18 @@ def ranked(
     found = None
     for g in range(groups):
         table = asked.filter(group == g).toArrow()
-        code, names = pd.factorize(table["item_id"].to_pandas(), use_na_sentinel=False)
+        place = {x: i for i, x in enumerate(dict.fromkeys(table["item_id"].to_pylist()))}
+        code = np.array([place[x] for x in table["item_id"].to_pylist()], np.int64)
         terms = table["term"].to_numpy()
         df = document_counts(shards, np.unique(terms))
         weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) if t in df else 0 for t in terms.tolist()], np.int64)
-        queries = [(terms[(code == i) & (weight > 0)].view(np.uint64), weight[(code == i) & (weight > 0)]) for i in range(len(names))]
+        order = np.argsort(code, kind="stable")
+        order = order[weight[order] > 0]
+        cuts = np.searchsorted(code[order], np.arange(1, len(place)))
+        queries = list(zip(np.split(terms[order].view(np.uint64), cuts), np.split(weight[order], cuts))) if place else []
         best = shards.mapInArrow(_search(spark.sparkContext.broadcast(queries), k), "query long, doc_id long, score long")
-        ids = items.select(F.col(item_id).alias("item_id")).schema
-        named = spark.createDataFrame([(i, None if pd.isna(x) else getattr(x, "item", lambda x=x: x)()) for i, x in enumerate(names)], f"query long, item_id {ids[0].dataType.simpleString()}")
+        kind = items.schema[item_id].dataType.simpleString()
+        named = spark.createDataFrame([(i, x) for x, i in place.items()], f"query long, item_id {kind}")
         best = best.withColumn("_g", F.spark_partition_id() % GROUPS).join(F.broadcast(named), "query")
         found = best if found is None else found.unionByName(best)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
