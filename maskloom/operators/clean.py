@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
+from maskloom.operators.tokens import shifted
 
 # Markers of notes, word counts and tails with their share of the text.
 NOTE_MARKERS = ("\nNote:", "\n(Note:", "\n[Note:", "\nPlease note")
@@ -108,6 +109,54 @@ def normalize_links(text: Column) -> Column:
     return first_placeholders(F.regexp_replace(text, "|".join(LINK_LINES), " <URL> "))
 
 
+# A written-out link, what stands for one, and the characters between them that make them one.
+HYPERLINK = r"https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{2,256}\.[a-z]{2,6}[-a-zA-Z0-9@:%_+.~#?&/=]*|www\.[a-zA-Z0-9.-]+\.[a-z]{2,6}"
+PLACEHOLDER = r"<URL>|\[URL\]"
+NEAR_PLACEHOLDER = 4
+
+
+def fold_links(text: Column) -> Column:
+    """Hyperlinks one to four characters from a placeholder, on either side, become ` <URL> `, wherever they stand in the text.
+
+    Links and placeholders are taken in order in one pass, with the text before each; a link looks at what is
+    next to it on both sides. A link that is equal to one near a placeholder goes with it.
+    """
+    both = F.lit(f"{PLACEHOLDER}|{HYPERLINK}")
+
+    def fold(t: Column) -> Column:
+        hits, gaps = F.regexp_extract_all(t, both, F.lit(0)), F.split(t, both, -1)
+        sizes = F.transform(gaps, F.length)
+        zipped = F.arrays_zip(
+            hits.alias("hit"), gaps.alias("gap"), sizes.alias("size"),
+            shifted(hits, -1).alias("before"), shifted(hits, 1).alias("after"), shifted(sizes, 1).alias("room"),
+        )
+        return tx.let(zipped, rebuilt)
+
+    def rebuilt(z: Column) -> Column:
+        stands = lambda h: h.isin("<URL>", "[URL]")
+        close = lambda n: n.between(1, NEAR_PLACEHOLDER)
+        near = F.filter(
+            z,
+            lambda x: ~stands(x["hit"])
+            & (F.coalesce(stands(x["before"]) & close(x["size"]), F.lit(False)) | F.coalesce(stands(x["after"]) & close(x["room"]), F.lit(False))),
+        )
+        return tx.let(
+            F.transform(near, lambda x: x["hit"]),
+            lambda gone: F.array_join(
+                F.transform(z, lambda x: F.concat(x["gap"], F.when(F.array_contains(gone, x["hit"]), " <URL> ").otherwise(F.coalesce(x["hit"], F.lit(""))))),
+                "",
+            ),
+        )
+
+    return F.when(text.contains("URL"), tx.let(text, fold)).otherwise(text)
+
+
+def normalize_near_links(text: Column) -> Column:
+    """`normalize_links` with hyperlinks near a placeholder folded into it first."""
+    lines = F.regexp_replace(text, "|".join(LINK_LINES), " <URL> ")
+    return first_placeholders(fold_links(lines))
+
+
 def first_placeholders(text: Column) -> Column:
     """Drop each `URL`, with a character on both sides, that begins less than `NEAR_LINKS` after one before it.
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
+from maskloom.functions.hashing import hash_int
 from maskloom.operators import clean as cl
 from maskloom.operators import sample as sa
 from maskloom.operators import tokens as tk
@@ -121,6 +122,36 @@ def i9_normalize_links(spark, sf):
     return digest(fr.essays(spark, sf), cl.normalize_links(F.col("essay")), "document")
 
 
+def linked_essays(spark, sf):
+    """Essays with links at several distances from placeholders, some of them twice."""
+    k = hash_int("linked", "document")
+    own = F.concat(F.lit("http://site"), (k % 5).cast("string"), F.lit(".org/"), F.col("document"))
+    gap = lambda n: F.repeat(F.lit("-"), ((k / n).cast("long") % 7).cast("int"))
+    tail = F.concat(
+        F.lit(" also "), own, F.lit(" and <URL>"), gap(5), own, gap(35), F.lit("[URL] then "), F.lit("www.other.net"), gap(245), F.lit("<URL> or https://www.far.com/x?y=1"),
+    )
+    return fr.essays(spark, sf).select("document", F.concat("essay", tail).alias("essay"))
+
+
+_LINKED = f"""SELECT document, essay||' also '||own||' and <URL>'||repeat('-',(k//5%7)::INT)||own||repeat('-',(k//35%7)::INT)||'[URL] then www.other.net'||repeat('-',(k//245%7)::INT)||'<URL> or https://www.far.com/x?y=1' AS essay
+  FROM (SELECT *, 'http://site'||(k%5)||'.org/'||document AS own FROM (SELECT *, {h('linked', 'document')} AS k FROM essays))"""
+_BOTH = lit(
+    r"<URL>|\[URL\]|https?://(?:www\.)?[-a-zA-Z0-9@:%._+~#=]{2,256}\.[a-z]{2,6}[-a-zA-Z0-9@:%_+.~#?&/=]*|www\.[a-zA-Z0-9.-]+\.[a-z]{2,6}"
+)
+_FOLDED = f"""SELECT document, array_to_string(list_transform(range(1,len(m)+1), lambda i: g[i]||CASE WHEN list_contains(list_transform(near, lambda j: m[j]), m[i]) THEN ' <URL> ' ELSE m[i] END),'')||g[len(m)+1] AS essay FROM (
+  SELECT *, list_filter(range(1,len(m)+1), lambda i: m[i] NOT IN ('<URL>','[URL]') AND ((i>1 AND m[i-1] IN ('<URL>','[URL]') AND length(g[i]) BETWEEN 1 AND 4) OR (i<len(m) AND m[i+1] IN ('<URL>','[URL]') AND length(g[i+1]) BETWEEN 1 AND 4))) AS near FROM (
+    SELECT document, regexp_extract_all(x,{_BOTH}) AS m, string_split_regex(x,{_BOTH}) AS g FROM (SELECT document, regexp_replace(essay,{lit('|'.join(cl.LINK_LINES))},' <URL> ','g') AS x FROM linked)))"""
+_NEAR_ROUNDS = _ROUNDS.replace(f"regexp_replace(essay,{lit('|'.join(cl.LINK_LINES))},' <URL> ','g') AS x, 0 AS step FROM essays", "essay AS x, 0 AS step FROM folded")
+
+
+@query(
+    "i9_near_links",
+    with_parts("SELECT document, length(x)::INT AS n, md5(x) AS text_md5 FROM links", "essays", linked=_LINKED, folded=_FOLDED, rounds=_NEAR_ROUNDS, links=_LINKS).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def i9_near_links(spark, sf):
+    return digest(linked_essays(spark, sf), cl.normalize_near_links(F.col("essay")), "document")
+
+
 @query(
     "i10_link_lines",
     with_parts("SELECT document, array_to_string(ls, chr(10)) AS lines, len(ls)::INT AS n FROM (SELECT document, list_filter(string_split(essay,chr(10)), lambda x: contains(x,'URL')) AS ls FROM essays) WHERE len(ls)>0", "essays"),
