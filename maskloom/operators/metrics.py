@@ -82,6 +82,21 @@ def fbeta_of_rates(precision: Column, recall: Column, beta: float = 5.0) -> Colu
     return F.try_divide((1 + b2) * precision * recall, b2 * precision + recall)
 
 
+def fbeta_grid(totals: DataFrame, cells: int = 100, low: float = 0.5, by: tuple[str, ...] = (), beta: float = 5.0) -> DataFrame:
+    """(*by, i, j, precision, recall, tp, fp, fn, fbeta): the surface over a grid of precisions and recalls.
+
+    `totals` has `n_gold` gold labels per row of `by`. Cell (i, j) lies at precision low + i * (1 - low) / (cells - 1)
+    and recall likewise with j; its counts are those that so many gold labels need to get there.
+    """
+    at = lambda k: F.lit(low) + F.col(k) * ((1 - low) / (cells - 1))
+    grid = totals.select(*by, "n_gold", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("i"))
+    grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("j"))
+    rated = grid.withColumns({"precision": at("i"), "recall": at("j")})
+    tp = F.col("recall") * F.col("n_gold")
+    counted = rated.withColumn("tp", tp).withColumn("fp", F.col("tp") * (1 / F.col("precision") - 1)).withColumn("fn", F.col("n_gold") - F.col("tp"))
+    return counted.select(*by, "i", "j", "precision", "recall", "tp", "fp", "fn", fbeta(F.col("tp"), F.col("fp"), F.col("fn"), beta).alias("fbeta"))
+
+
 def sweep_counts(scored: DataFrame, score: str, positive: Column, thresholds) -> DataFrame:
     """TP/FP/FN per threshold in one pass: conditional counts, no repeated rows."""
     hit = [(t, F.col(score) > t) for t in thresholds]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,6 +146,30 @@ def title_candidates(tokens: DataFrame) -> DataFrame:
     return tokens.filter(tx.istitle(F.col("token_text")) & (F.length("token_text") > 2)).select("document", "token_text").distinct()
 
 
+def title_share(tokens: DataFrame) -> DataFrame:
+    """(n, n_distinct, n_tokens): title candidates of all documents, their distinct texts, and all tokens, from one pass."""
+    each = tokens.groupBy("document", "token_text").agg(F.count("*").alias("k"))
+    by_text = each.groupBy("token_text").agg(F.count("*").alias("n_documents"), F.sum("k").alias("k"))
+    titled = tx.istitle(F.col("token_text")) & (F.length("token_text") > 2)
+    marked = by_text.withColumn("titled", titled)
+    return marked.agg(
+        F.coalesce(F.sum(F.when(F.col("titled"), F.col("n_documents"))), F.lit(0)).alias("n"),
+        F.count_if("titled").alias("n_distinct"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("n_tokens"),
+    )
+
+
+def bank_coverage(names: DataFrame, banks: dict[str, Sequence[str]]) -> DataFrame:
+    """(bank, n_labelled, n_missing): distinct names, and how many of them each bank lacks; one pass over the names."""
+    spark = names.sparkSession
+    rows = spark.createDataFrame([(b, n) for b, values in banks.items() for n in values], "bank STRING, token_text STRING")
+    held = rows.groupBy("token_text").agg(F.collect_set("bank").alias("_banks"))
+    met = names.select("token_text").distinct().join(held, "token_text", "left")
+    lacks = lambda b: F.count_if(~F.coalesce(F.array_contains("_banks", b), F.lit(False)))
+    wide = met.agg(F.count("*").alias("n_labelled"), *(lacks(b).alias(f"_{b}") for b in banks))
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(b).alias("bank"), "n_labelled", F.col(f"_{b}").alias("n_missing")) for b in banks])))
+
+
 def bank_candidates(tokens: DataFrame, bank: DataFrame) -> DataFrame:
     """Title-cased tokens whose text is in a bank `(value)`; the planner picks the join by size."""
     titled = tokens.filter(tx.istitle(F.col("token_text")))

@@ -237,6 +237,23 @@ def h16_surface(spark, sf):
     return by.select("source", cell(p).alias("i"), cell(r).alias("j"), F.round(mt.fbeta_of_rates(p, r), 6).alias("fbeta"))
 
 
+@query(
+    "h16_grid",
+    with_parts(
+        """SELECT source, i, j, round(tp,4) AS tp, round(tp*(1/p-1),4) AS fp, round(n_gold-tp,4) AS fn, round(26*tp/(26*tp+25*(n_gold-tp)+tp*(1/p-1)),6) AS fbeta FROM (
+             SELECT source, n_gold, i, j, 0.5::DOUBLE+i*(0.5::DOUBLE/99) AS p, (0.5::DOUBLE+j*(0.5::DOUBLE/99))*n_gold AS tp FROM (
+               SELECT source, n_gold, i::INT AS i, unnest(range(100))::INT AS j FROM (SELECT source, n_gold, unnest(range(100)) AS i FROM (
+                 SELECT source, count(*) AS n_gold FROM gold WHERE label<>'O' GROUP BY 1))))""",
+        "gold",
+    ),
+)
+def h16_grid(spark, sf):
+    """The whole surface (100 x 100 over [0.5, 1]) with the counts each source's gold labels need for it."""
+    totals = fr.gold(spark, sf).filter("label <> 'O'").groupBy("source").agg(F.count("*").alias("n_gold"))
+    grid = mt.fbeta_grid(totals, by=("source",))
+    return grid.select("source", "i", "j", *(F.round(c, 4).alias(c) for c in ("tp", "fp", "fn")), F.round("fbeta", 6).alias("fbeta"))
+
+
 @query(
     "h17_fbeta_without_bio",
     with_parts(

@@ -204,11 +204,7 @@ def l18_documents_without_pii(spark, sf):
     ),
 )
 def l19_title_candidates(spark, sf):
-    docs = tk.tokenize(fr.documents(spark, sf)).select("document", "toks")
-    found = pr.title_candidates(tk.token_rows(docs))
-    n_tokens = docs.agg(F.sum(F.size("toks")).alias("n")).scalar()
-    by_text = found.groupBy("token_text").agg(F.count("*").alias("k"))
-    out = by_text.agg(F.sum("k").alias("n"), F.count("*").alias("n_distinct")).withColumn("n_tokens", n_tokens)
+    out = pr.title_share(tk.token_rows(tk.tokenize(fr.documents(spark, sf)).select("document", "toks")))
     return out.withColumn("share", F.round(F.col("n") / F.col("n_tokens"), 6))
 
 
@@ -232,13 +228,8 @@ def l20_bank_candidates(spark, sf):
     ),
 )
 def l20_bank_coverage(spark, sf):
-    names = fr.synthetic_tokens(spark, sf).filter(F.col("label").contains("NAME_STUDENT")).select("token_text").distinct()
-    bank = spark.createDataFrame(
-        [("first", n) for n in fr.FIRST_NAMES] + [("last", n) for n in fr.LAST_NAMES], "bank STRING, token_text STRING"
-    )
-    hits = names.join(bank, "token_text").groupBy("bank").agg(F.count("*").alias("hit"))
-    n = names.agg(F.count("*").alias("n")).scalar()
-    return hits.select("bank", n.alias("n_labelled"), (n - F.col("hit")).alias("n_missing"))
+    names = fr.synthetic_tokens(spark, sf).filter(F.col("label").contains("NAME_STUDENT"))
+    return pr.bank_coverage(names, {"first": fr.FIRST_NAMES, "last": fr.LAST_NAMES})
 
 
 @query(

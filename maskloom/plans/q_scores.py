@@ -54,6 +54,11 @@ _PIECE_SCORES = (
 ).replace("(token-510)//382+1", "floor((token-510)/382.0)::BIGINT+1")
 
 
+def _plain_tokens(spark, sf):
+    """Tokens with their spans, without labels, which merging does not need."""
+    return tk.token_spans(tk.token_rows(tk.tokenize(fr.documents(spark, sf)).select("document", "toks")))
+
+
 @query(
     "c2_merge_windows",
     with_parts(
@@ -63,7 +68,7 @@ _PIECE_SCORES = (
     ),
 )
 def c2_merge_windows(spark, sf):
-    tokens = tk.token_spans(fr.gold(spark, sf))
+    tokens = _plain_tokens(spark, sf)
     merged = sc.merge_windows(fr.piece_scores(spark, sf), tokens)
     return _sums(merged)
 
@@ -85,7 +90,7 @@ def _sums(merged):
     ),
 )
 def c3_pool_mean(spark, sf):
-    tokens = tk.token_spans(fr.gold(spark, sf))
+    tokens = _plain_tokens(spark, sf)
     return _sums(sc.merge_windows(fr.piece_scores(spark, sf), tokens, pooling="mean"))
 
 
