@@ -117,16 +117,22 @@ def csv_records(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFram
     return whole.select("file", "record", F.transform(raw, field).alias("fields"))
 
 
-def read_runs_csv(spark: SparkSession, path: str, columns: Sequence[str], needed: str = "cm") -> DataFrame:
-    """The named columns, as strings, of all CSV files below `path` that have the column `needed`, and their `run` file.
+def read_runs_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, needed: str = "cm") -> DataFrame:
+    """The named columns (if not given: all that occur), as strings, of all CSV files below `path` that have the column `needed`, and their `run` file.
 
     Headers are rows like any other: the first record of a file tells where its columns stand, and its other
     records meet that by file. A column that a file lacks is null there; empty fields are null, and `""` is
-    an empty text. Nothing is gathered on the driver, however many files or headers there are.
+    an empty text. Files and headers stay in tables; only where no columns are named, the distinct column
+    names come to the driver, since a DataFrame needs them.
     """
     records = csv_records(spark, path)
     headers = records.filter("record = 0").filter(F.array_contains("fields", needed)).select("file", F.col("fields").alias("header"))
     rows = records.filter("record > 0").join(headers, "file")
+    if columns is None:
+        named_once = headers.select(F.explode("header").alias("c")).filter("c IS NOT NULL").distinct().orderBy("c")
+        columns = [r.c for r in named_once.collect()]
+        if not columns:
+            raise ValueError(f"no CSV below {path} has a column {needed}")
 
     def named(c: str) -> Column:
         return F.when(F.array_contains("header", c), F.get("fields", (F.array_position("header", c) - 1).cast("int"))).alias(c)
