@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskloom.llm.shared import written
+from maskloom.llm.shared import removed, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     Nodes without a link do not occur.
     """
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    labels = last = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         around = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -27,6 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         # the label's own label: labels are nodes, so this jumps over what earlier rounds found
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("_own"))
         jumped = written(near.join(own, "label").select("node", "_old", F.least("label", "_own").alias("label")))
-        labels = jumped.select("node", "label")
+        removed(last)
+        labels, last = jumped.select("node", "label"), jumped
         if not jumped.filter("_old <> label").limit(1).count():
+            removed(both)
             return labels

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from maskloom.llm.blocks import BLOCK, Block, blocks, joined_hashes, mixed, words
 from maskloom.llm.components import components
-from maskloom.llm.shared import written
+from maskloom.llm.shared import removed, written
 
 #: By how much the first fragment's part of the order exceeds what a text may have of its own under the
 #: threshold: a text of unshared n-grams then shows more than that. And the fragments that overlaps are counted in.
@@ -209,6 +209,8 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
         .filter(F.size("part") > 0)
     )
 
+    removed(s, shared)
+
     centre = written(lists.groupBy("gram").agg(F.min(F.struct("_alone", "cls", "size")).alias("_c")))
     near = (
         lists.join(centre, "gram")
@@ -223,7 +225,8 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
     named = lists.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = written(named)
     main = named.join(centre.select("gram", F.col("_c.cls").alias("cls")), ["gram", "cls"], "left_semi").select("gram", F.col("label").alias("_main"))
-    apart = written(named.join(written(main), "gram").filter("label <> _main"))
+    main = written(main)
+    apart = written(named.join(main, "gram").filter("label <> _main"))
     x = apart.select("gram", *(F.col(c).alias(f"x_{c}") for c in ("cls", "size", "at", "label")))
     y = named.select("gram", *(F.col(c).alias(f"y_{c}") for c in ("cls", "size", "at", "label")))
     room = F.least(F.col("x_size") - F.col("x_at"), F.col("y_size") - F.col("y_at"))
@@ -238,8 +241,10 @@ def links(texts: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame
         .distinct()
         .join(near, ["a", "b"], "left_anti")
     )
-    second = overlaps(written(rest), fragments, percent)
-    return components(first.unionByName(second))
+    rest = written(rest)
+    found = components(first.unionByName(overlaps(rest, fragments, percent)))
+    removed(lists, fragments, centre, near, first, named, main, apart, rest)
+    return found
 
 
 def _labelled(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -275,8 +280,11 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "tex
     Of rows that repeat id and text one stays. All texts without words stay.
     """
     rows, label = _labelled(docs, n, percent, text, doc_id)
-    kept = label.filter("size > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "tn")).alias("s"))
-    kept = kept.select(F.col("s.id").alias("_id"), F.col("s.th").alias("_th"), F.col("s.tn").alias("_tn"))
+    each = label.filter("size > 0").groupBy("label", "id", "th", "tn").agg(F.count("*").alias("n"))
+    kept = each.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "tn", "n")).alias("s"))
+    kept = kept.select(*(F.col(f"s.{c}").alias(f"_{c}") for c in ("id", "th", "tn", "n")))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")) & (F.col("tn") == F.col("_tn"))
-    first = rows.join(kept, same).dropDuplicates(["_id", "_th", "_tn"]).select("_row.*")
+    # one plan at every size: texts meet the rows that stay once, and only repeated rows are compared further
+    met = rows.join(kept.hint("merge"), same)
+    first = met.filter("_n > 1").dropDuplicates(["_id", "_th", "_tn"]).unionByName(met.filter("_n = 1")).select("_row.*")
     return first.unionByName(docs.filter(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")))
