@@ -22,7 +22,7 @@ from maskloom.llm.line_spread import without_boilerplate
 from maskloom.llm.mixing import mixed_rows
 from maskloom.llm.packing import pack
 from maskloom.llm.queries import BYTE_BPE, PIECES
-from maskloom.llm.shared import written
+from maskloom.llm.shared import removed, written
 
 #: Word n-grams and percentage of the near-duplicate stage.
 SHINGLE = 5
@@ -70,6 +70,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table `documents`; what packing returns."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            removed(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
