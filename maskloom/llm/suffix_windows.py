@@ -32,6 +32,9 @@ from maskloom.llm.shared import written
 KEY = 128
 RUN = 64
 FINE = 8
+#: Bits of the distances from an anchor to its last and first window, and the longest windows they allow.
+_FAR = 16
+MOST = KEY + (1 << _FAR) - 1
 _BITS = 20
 _PLACE = np.uint64((1 << _BITS) - 1)
 
@@ -99,7 +102,7 @@ def anchors(texts: DataFrame, size: int) -> DataFrame:
                 doc, place, h, near, far = anchors_of(block, size)
                 row = pa.array(doc + block.first)
                 yield pa.RecordBatch.from_arrays(
-                    [_column(h), batch.column("th").take(row), batch.column("tn").take(row), _column(place << 20 | far << 10 | near)],
+                    [_column(h), batch.column("th").take(row), batch.column("tn").take(row), _column(place << 2 * _FAR | far << _FAR | near)],
                     ["key", "th", "tn", "at"],
                 )
 
@@ -110,7 +113,7 @@ def _runs(text: bytes, at: np.ndarray, size: int) -> Iterator[tuple[int, int, in
     """(start of core, least and largest distance of a window from it, core, core with its surroundings)."""
     core = size - RUN + 1
     for a in np.sort(at).tolist():
-        place, far, near = a >> 20, a >> 10 & 1023, a & 1023
+        place, far, near = a >> 2 * _FAR, a >> _FAR & ((1 << _FAR) - 1), a & ((1 << _FAR) - 1)
         for i in range(near // RUN, far // RUN + 1):
             start = place - RUN * i
             low, high = max(near - RUN * i, 0), min(far - RUN * i, RUN - 1)
@@ -208,10 +211,10 @@ def repeated_windows(docs: DataFrame, size: int = 400, text: str = "text") -> tu
     """Texts (th, tn, text, copies, ats) with a repeated anchor, and (th, tn, spans): their repeated windows.
 
     A span holds the first and the last start of neighbouring windows that also start anywhere else in the
-    collection. Null text is empty; texts below `size` bytes have no window.
+    collection. Null text is empty; texts below `size` bytes have no window. `size` goes from `KEY + RUN` to `MOST`.
     """
-    if size < KEY + RUN:
-        raise ValueError(f"windows need at least {KEY + RUN} bytes")
+    if not KEY + RUN <= size <= MOST:
+        raise ValueError(f"windows have {KEY + RUN} to {MOST} bytes")
     base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).filter(F.octet_length("text") >= size)
     base = base.select(*text_keys(F.col("text")), "text")
     every = written(anchors(base, size))

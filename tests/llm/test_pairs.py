@@ -109,6 +109,17 @@ def test_repeated_windows(spark, size):
     assert {r.doc_id: tuple(r._r) for r in found} == repeats(texts, size)
 
 
+@pytest.mark.parametrize("size", [1200, 2000])
+def test_repeats_of_long_windows(spark, size):
+    rng = random.Random(size)
+    same = "".join(rng.choice("abcd ") for _ in range(3 * size))
+    texts = ["x" * 50 + same, same[: size + 7] + "tail", "head" + same[size - 9 :], "a" * (size - 1), same[: size - 1], "b" * (size + 3)]
+    found = {r.doc_id: tuple(r._r) for r in without_repeats(documents(spark, texts), size).collect()}
+    assert found == repeats(texts, size)
+    with pytest.raises(ValueError):
+        without_repeats(documents(spark, texts), 1 << 20)
+
+
 def test_repeats_in_a_long_text(spark):
     t = long_text(n=120_000)
     texts = [t, "x" + t[500_000:600_000] + "y", None]
