@@ -26,16 +26,18 @@ def plain():
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
-def test_pieces_give_the_ids_of_whole_texts(plain):
-    rng = random.Random(1)
+@pytest.mark.parametrize("added", [True, False])
+def test_pieces_give_the_ids_of_whole_texts(added):
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(1)
+    tokenizer.encode_special_tokens = not added  # the file as it is, or added tokens as ordinary text
     signs = [*"ab .'sé\n\t  　\x1c\x0b\r1,", "don't ", "<|endoftext|>", "​", "日", "🙂", "x.y "]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 50))) for _ in range(800)] + mixed_texts()
-    enc = Encoder(PATH)
+    enc = Encoder(PATH, added)
     for _ in range(2):  # learnt, then remembered
         for block in blocks(pa.array(texts), most=2000):
             ids, counts = enc.encode(block)
             for i, x in enumerate(np.split(ids, np.cumsum(counts)[:-1])):
-                assert x.tolist() == plain(texts[block.first + i])
+                assert x.tolist() == tokenizer.encode(texts[block.first + i] or "", add_special_tokens=False).ids
 
 
 def test_cache_stays_within_its_bound(plain, monkeypatch):
