@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
+from maskloom.sources.io import written
 
 NAME_B, NAME_I = "B-NAME_STUDENT", "I-NAME_STUDENT"
 
@@ -116,8 +117,11 @@ def id_shape(t: Column) -> Column:
 
 
 def length_histogram(rows: DataFrame, value: str, bins: int = 100) -> DataFrame:
-    """Equal bins between the smallest and the largest value; the maximum goes into the last bin."""
-    counted = rows.groupBy(value).agg(F.count("*").alias("k"))
+    """Equal bins between the smallest and the largest value; the maximum goes into the last bin.
+
+    The counts of the values are written, since both the ends and the bins read them.
+    """
+    counted = written(rows.groupBy(value).agg(F.count("*").alias("k")))
     ends = counted.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     at = F.least(F.floor((F.col(value) - lo) * bins / F.greatest(hi - lo, F.lit(1))), F.lit(bins - 1))
