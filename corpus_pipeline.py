@@ -29,8 +29,18 @@ SHINGLE = 5
 PERCENT = 80
 
 
+def aside(docs: DataFrame, name: str) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with a column that has the name of a stage's result under a free one, and where each column now is."""
+    free = name
+    while free in docs.columns:
+        free += "_"
+    return docs.withColumnRenamed(name, free), {c: free if c == name else c for c in docs.columns}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judged(docs, public_tokenizers.path(PIECES)).filter("_q.kept").select(docs.columns)
+    rows, at = aside(docs, "_q")
+    found = judged(rows, public_tokenizers.path(PIECES)).filter("_q.kept")
+    return found.select(*(F.col(f"`{k}`").alias(c) for c, k in at.items()))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +49,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = F.col("_lines.n_removed") > 0
     n_chars = F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
     columns = {"text": kept.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    found = without_boilerplate(docs).filter(~changed | kept.rlike(r"[^\x20\x09-\x0D]"))
-    return found.select(*(columns.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    rows, at = aside(docs, "_lines")
+    found = without_boilerplate(rows).filter(~changed | kept.rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*(columns.get(c, F.col(f"`{k}`").alias(c)) for c, k in at.items()))
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
