@@ -4,19 +4,24 @@ Both models count all texts of their side, share one vocabulary and one smoothin
 are scaled to the size of the target, so they differ only in what they counted. A document's score is the mean over its tokens of target loss minus background loss:
 the lower, the more it reads like the target.
 
-The vocabulary is every word of the input, and every bigram that occurs has a count of its own: words and bigrams
-are 64-bit hashes, their counts Spark tables that grow with the input. Workers hold the losses of the most frequent
-bigrams (`HOT` at most) and sum those in place; all others of a document meet the table by a join.
+The vocabulary is every word of the input, and every bigram that occurs has a count of its own; words and bigrams are
+hashes. Counts never become a table that texts have to meet key by key. Texts are cut into blocks. A block asks for
+each of its distinct words and bigrams once, by range of keys (a bucket); a bucket adds up what all blocks hold of its
+keys and answers each in the order of its question; a block and its answers give the scores of its documents.
+A frequent word or bigram is one entry in a block's question, however often it occurs, so no key makes a hot group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskloom.llm.blocks import Block, blocks, words
@@ -26,9 +31,15 @@ from maskloom.llm.shared import written
 START = np.uint64(0x53544152545F4F46)
 #: Weight of the unigram distribution, in tokens.
 PRIOR = 50.0
-#: Bigrams whose losses every worker holds, at most; it decides where a loss is looked up, not what it is.
-HOT = 1 << 19
+#: Bytes of text in a block (a longer text is a block of its own), and bytes of text per bucket of keys.
+BLOCK_BYTES = 1 << 23
+BUCKET_BYTES = 1 << 24
+#: Target ids that are broadcast, at most (8 bytes each); more of them meet the documents by a merge join.
+MOST_MARKS = 1 << 20
 _TURN = 21
+#: The last two bits of a key say what it counts: a word, what stands before a word, or a bigram.
+_KIND = np.uint64(3)
+_WORD, _BEFORE, _PAIR = (np.uint64(k) for k in range(3))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,14 +70,10 @@ def bigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def keys_of(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a bigram, the same as `key_of` gives."""
+    """One 64-bit key of a bigram."""
     return (before << np.uint64(_TURN)) ^ (before >> np.uint64(64 - _TURN)) ^ word
 
 
-def key_of(before: str, word: str) -> Column:
-    return F.shiftleft(before, _TURN).bitwiseXOR(F.shiftrightunsigned(before, 64 - _TURN)).bitwiseXOR(F.col(word))
-
-
 def side_counts(docs: DataFrame) -> DataFrame:
     """(before, word, n, target) from (text, side): occurrences of each bigram in all texts, and in those of side 1."""
 
@@ -106,83 +113,147 @@ def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     return -np.log2(p)
 
 
-def bits(count: Column, word: Column, before: Column, tokens: float, ids: int, prior: float = PRIOR) -> Column:
-    """Loss of a bigram by its count, those of its word and of what stands before, and the tokens of its side."""
+@dataclass
+class Held:
+    """What a block holds: its distinct keys, ascending, the place of each token's word, word before and bigram among them, and its documents."""
+
+    keys: np.ndarray
+    places: list[np.ndarray]
+    doc: np.ndarray
+    n_tokens: np.ndarray
+
+
+def held(block: Block) -> Held:
+    word, before, doc, n = bigrams(block)
+    parts = [pd.factorize((h & ~_KIND) | kind) for h, kind in ((word, _WORD), (before, _BEFORE), (keys_of(before, word), _PAIR))]
+    keys = np.concatenate([seen for _, seen in parts])
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    first = np.cumsum([0, *(len(seen) for _, seen in parts)])
+    return Held(keys[order], [place[code + f] for (code, _), f in zip(parts, first)], doc, n)
+
+
+def frame(columns: np.ndarray) -> bytes:
+    """64-bit columns of one length as a Zstandard frame, equal bytes of the numbers side by side."""
+    k, n = columns.shape
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(columns).view(np.uint8).reshape(k, n, 8).transpose(0, 2, 1).tobytes())
+
+
+def unframed(data: bytes, k: int) -> np.ndarray:
+    """The `k` columns that `frame` was given, as unsigned numbers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(k, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[..., 0]
+
+
+def text_blocks(sided: DataFrame, most: int) -> DataFrame:
+    """(block, n_bytes, doc_ids, sides, ends, texts) from (doc_id, text, side): blocks of texts, as Zstandard frames."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for b in blocks(batch.column("text"), most):
+                some = batch.slice(b.first, len(b))
+                ends = pa.array(b.ends, pa.int64()).to_pylist()
+                row = [block, len(b.data), some.column("doc_id").to_pylist(), some.column("side").to_pylist(), ends]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, [*row, zstandard.ZstdCompressor(level=3).compress(b.data.tobytes())]))], schema)
+                block += 1
+
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("block", pa.int64()), ("n_bytes", pa.int64()), ("doc_ids", longs), ("sides", longs), ("ends", longs), ("texts", pa.binary())])
+    ddl = "block long, n_bytes long, doc_ids array<long>, sides array<long>, ends array<long>, texts binary"
+    return sided.select("doc_id", "text", F.col("side").cast("long")).mapInArrow(cut, ddl)
+
+
+def opened(texts: bytes, ends: list[int]) -> Block:
+    stops = np.array(ends, np.int64)
+    return Block(0, np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), np.uint8), np.concatenate([np.zeros(1, np.int64), stops[:-1]]), stops)
+
+
+def questions(table: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, question): a block's distinct keys of each bucket, with what the block itself holds of them in all and in target texts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = np.array([-(-(i << 32) // buckets) << 32 for i in range(buckets)], np.uint64)
+        for batch in batches:
+            for i, block in enumerate(batch.column("block").to_pylist()):
+                h = held(opened(batch.column("texts")[i].as_py(), batch.column("ends")[i].as_py()))
+                target = np.array(batch.column("sides")[i].as_py(), np.int64)[h.doc] == 1
+                n = np.zeros((2, len(h.keys)), np.uint64)
+                for place in h.places:
+                    n[0] += np.bincount(place, minlength=len(h.keys)).astype(np.uint64)
+                    n[1] += np.bincount(place[target], minlength=len(h.keys)).astype(np.uint64)
+                until = np.append(np.searchsorted(h.keys, lows), len(h.keys))
+                some = np.flatnonzero(np.diff(until))
+                asked = []
+                for j in some:
+                    k = slice(until[j], until[j + 1])
+                    asked.append(frame(np.stack([np.diff(h.keys[k], prepend=np.uint64(0)), n[0, k], n[1, k]])))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(asked, pa.binary())], ["bucket", "block", "question"])
+
+    return table.select("block", "sides", "ends", "texts").mapInArrow(ask, "bucket int, block long, question binary")
+
+
+def answers(asked: DataFrame) -> DataFrame:
+    """(block, bucket, answer, ids, tokens, target): counts over all blocks, in the order of each question.
+
+    `ids`, `tokens` and `target` stand on one row of a bucket: its distinct words, their occurrences in all and in target texts.
+    """
+
+    def count(group: pa.Table) -> pa.Table:
+        parts = [unframed(x.as_py(), 3) for x in group.column("question")]
+        code, seen = pd.factorize(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
+        n = np.zeros((2, len(seen)), np.uint64)
+        for row, own in enumerate((1, 2)):
+            np.add.at(n[row], code, np.concatenate([p[own] for p in parts]))
+        cuts = np.cumsum([p.shape[1] for p in parts])[:-1]
+        found = [frame(n[:, c]) for c in np.split(code, cuts)]
+        word = (seen & _KIND) == _WORD
+        totals = [int(word.sum()), *(int(x[word].sum()) for x in n)]
+        once = [pa.array([t, *[0] * (len(parts) - 1)], pa.int64()) for t in totals]
+        return pa.Table.from_arrays([group.column("block"), group.column("bucket"), pa.array(found, pa.binary()), *once], ["block", "bucket", "answer", "ids", "tokens", "target"])
+
+    return asked.groupBy("bucket").applyInArrow(count, "block long, bucket int, answer binary, ids long, tokens long, target long")
+
+
+def bits(count: np.ndarray, word: np.ndarray, before: np.ndarray, tokens: float, ids: int, prior: float = PRIOR) -> np.ndarray:
+    """Loss of bigrams by their counts, those of their word and of what stands before, and the tokens of their side."""
     one = (word + 1.0) / (tokens + ids)
-    return F.log2(before + prior) - F.log2(count + prior * one)
+    return np.log2(before + prior) - np.log2(count + prior * one)
 
 
-def score(docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
+def score(
+    docs: DataFrame, target_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK_BYTES, bucket: int = BUCKET_BYTES, marks: int = MOST_MARKS
+) -> DataFrame:
     """(doc_id, n_tokens, target_bits, background_bits, difference) of every row of `docs`.
 
     `target_ids` (doc_id) names the target documents; the background is all documents. A text without
     words has 0 tokens and null scores. Null ids are never target; repeated ids count as often as they
-    occur. Without target documents both models are uniform. `hot` bounds the bigrams that workers hold.
+    occur. Without target documents both models are uniform. `block` and `bucket` are bytes of text per block and
+    per range of keys, `marks` the most target ids to broadcast; none of them changes a score.
     """
-    spark: SparkSession = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = target_ids.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("side", F.lit(1))
-    # one plan at every size: a broadcast of few marks would only hide that texts and marks meet by id
-    sided = slim.join(marks.hint("merge"), "doc_id", "left").select("text", F.coalesce("side", F.lit(0)).alias("side"))
-    pairs = written(side_counts(sided))
-    by_word = written(pairs.groupBy("word").agg(F.sum("n").alias("word_n"), F.sum("target").alias("word_target")))
-    by_before = written(pairs.groupBy("before").agg(F.sum("n").alias("before_n"), F.sum("target").alias("before_target")))
-    ids = vocabulary(by_word)
-    total = by_word.agg(F.coalesce(F.sum("word_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("word_target"), F.lit(0)).alias("target")).first()
-    tokens, scale = float(total.target), total.target / max(1, total.n)
-
-    def model(some: DataFrame) -> DataFrame:
-        """(key, target_bits, background_bits) of some bigrams."""
-        target = bits(F.col("target"), F.col("word_target"), F.col("before_target"), tokens, ids)
-        background = bits(F.col("n") * scale, F.col("word_n") * scale, F.col("before_n") * scale, tokens, ids)
-        met = some.join(by_word, "word").join(by_before, "before")
-        return met.select(key_of("before", "word").alias("key"), target.alias("target_bits"), background.alias("background_bits"))
-
-    # the least count of a bigram that workers hold
-    least, room = 1, hot
-    for n, count in sorted(map(tuple, pairs.groupBy("n").count().collect()), reverse=True):
-        room -= count
-        if room < 0:
-            least = n + 1
-            break
-    top = model(pairs.filter(F.col("n") >= least)).toArrow()
-    order = np.argsort(held := top["key"].to_numpy().view(np.uint64))
-    held = spark.sparkContext.broadcast((held[order], np.stack([top[c].to_numpy()[order] for c in ("target_bits", "background_bits")])))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, loss = held.value
-        for batch in batches:
-            for b in blocks(batch.column("text")):
-                word, before, doc, n = bigrams(b)
-                code, seen = pd.factorize(keys_of(before, word))
-                at = np.searchsorted(known, seen)
-                hit = np.zeros(len(seen), dtype=bool)
-                inside = at < len(known)
-                hit[inside] = known[at[inside]] == seen[inside]
-                here = hit[code] if len(code) else np.zeros(0, dtype=bool)
-                place = at[code[here]]
-                sums = [np.bincount(doc[here], weights=x[place], minlength=len(b)).astype(float) for x in loss]
-                until = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc[~here], minlength=len(b)))])
-                rest = pa.LargeListArray.from_arrays(pa.array(until), pa.array(seen[code[~here]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row").slice(b.first, len(b)),
-                        batch.column("doc_id").slice(b.first, len(b)),
-                        pa.array(n, pa.int64()),
-                        *(pa.array(x, pa.float64()) for x in sums),
-                        rest.cast(pa.list_(pa.int64())),
-                    ],
-                    ["row", "doc_id", "n_tokens", "target_sum", "background_sum", "keys"],
-                )
-
-    rows = slim.withColumn("row", F.monotonically_increasing_id())
-    found = written(rows.mapInArrow(apply, "row long, doc_id long, n_tokens long, target_sum double, background_sum double, keys array<long>"))
-    rest = (
-        found.select("row", F.explode("keys").alias("key"))
-        .join(model(pairs.filter(F.col("n") < least)), "key")
-        .groupBy("row")
-        .agg(F.sum("target_bits").alias("target_rest"), F.sum("background_bits").alias("background_rest"))
-    )
-    mean = lambda s: (F.col(f"{s}_sum") + F.coalesce(f"{s}_rest", F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
-    scored = found.drop("keys").join(rest, "row", "left").select("doc_id", "n_tokens", mean("target").alias("target_bits"), mean("background").alias("background_bits"))
-    return scored.withColumn("difference", F.col("target_bits") - F.col("background_bits"))
+    named = written(target_ids.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("side", F.lit(1)))
+    few = named.count() <= marks
+    sided = slim.join(named.hint("broadcast" if few else "merge"), "doc_id", "left").withColumn("side", F.coalesce("side", F.lit(0)))
+    table = written(text_blocks(sided, block))
+    size = table.agg(F.sum("n_bytes")).first()[0] or 0
+    found = written(answers(questions(table, max(1, -(-size // bucket)))))
+    total = found.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ids", "tokens", "target"))).first()
+    ids, tokens, scale = total.ids + 1, float(total.target), total.target / max(1, total.tokens)
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        h = held(opened(left.column("texts")[0].as_py(), left.column("ends")[0].as_py()))
+        parts = [unframed(x.as_py(), 2) for x in right.sort_by("bucket").column("answer")]
+        n = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.uint64)
+        some = h.n_tokens > 0
+        means = []
+        for counts, by in ((n[1], 1.0), (n[0], scale)):
+            word, before, pair = ((counts * by)[place] for place in h.places)
+            sums = np.bincount(h.doc, weights=bits(pair, word, before, tokens, ids), minlength=len(some))
+            means.append(pa.array(sums / np.maximum(h.n_tokens, 1), pa.float64(), mask=~some))
+        return pa.Table.from_arrays([left.column("doc_ids")[0].values, pa.array(h.n_tokens, pa.int64()), *means], ["doc_id", "n_tokens", "target_bits", "background_bits"])
+
+    texts, replies = table.select("block", "doc_ids", "ends", "texts").groupBy("block"), found.select("block", "bucket", "answer").groupBy("block")
+    each = texts.cogroup(replies).applyInArrow(scored, "doc_id long, n_tokens long, target_bits double, background_bits double")
+    return each.withColumn("difference", F.col("target_bits") - F.col("background_bits"))

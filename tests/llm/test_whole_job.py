@@ -41,14 +41,14 @@ def bigram_scores(texts, target):
     return {d: (len(x), *(np.mean([bits[s][p] for p in x]) if x else None for s in (1, 0))) for d, x in pairs.items()}
 
 
-@pytest.mark.parametrize("hot", [0, 40, 1 << 19])
-def test_cross_entropy_keeps_every_word_and_bigram(spark, hot):
+@pytest.mark.parametrize("sizes", [{}, {"block": 1000, "bucket": 3000}, {"block": 20000, "bucket": 500, "marks": 0}])
+def test_cross_entropy_keeps_every_word_and_bigram(spark, sizes):
     # 2,500 words that all end alike: a vocabulary of 2,048 ids puts rare ones of both kinds in one class
     rare = [f"{'ab'[i % 2]}{i}xyz" for i in range(2500)]
     texts = mixed_texts() + ["common words here " * 30 + " ".join(rare[i::50]) for i in range(50)]
     target = {i for i in range(len(texts)) if i % 3 == 1}
     docs = documents(spark, texts)
-    found = score(docs, docs.filter("doc_id % 3 = 1").select("doc_id"), hot=hot).collect()
+    found = score(docs, docs.filter("doc_id % 3 = 1").select("doc_id"), **sizes).collect()
     want = bigram_scores(dict(enumerate(texts)), target)
     assert len(found) == len(texts)
     for r in found:
