@@ -2,8 +2,12 @@
 
 Both halves of a vector are quantised by their own centroids, so K + K centroids make K * K cells. A query
 walks cells by falling sum of its two half products, with a heap over the two sorted lists, until the
-cells hold the asked share of all entries; the entries found are ranked on original vectors in double
-precision. Equal vectors are one entry with their least ids, of which more can never be among the best.
+cells hold a share of all entries; the entries found are ranked on original vectors in double precision.
+The share is the least that finds enough of the sample's own neighbours. Equal vectors are one entry with their
+least ids, of which more can never be among the best.
+
+Queries travel to the shards of the index that they probe, each with one bit per cell of the shard. An entry
+travels once, and once more for each further `CHUNK` queries that probe its shard.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from maskloom.llm.shared import written
 SAMPLE = 20_000
 LEAST_CENTROIDS = 40
 MOST_CENTROIDS = 256
-#: Share of all entries that a query's cells hold. Random vectors, which no index can order well, need this much
-#: for a recall of 0.95; embeddings with clusters need far less.
-SHARE = 0.6
+#: Recall that the share of entries to look at is fitted for, and the queries it is fitted on, at most.
+RECALL = 0.95
+FIT_QUERIES = 256
 #: Entries and queries that one task compares.
 SHARD = 8192
-CHUNK = 1024
+CHUNK = 8192
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -113,6 +117,27 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, want: int) -> list[in
     return found
 
 
+def fitted_share(x: np.ndarray, books: list[np.ndarray], k: int, recall: float = RECALL) -> float:
+    """The least share of the rows of `x` that a walk has to hold to find `recall` of their k nearest, on evenly spread queries.
+
+    More rows than the sample bring neighbours nearer, so that the share errs to the safe side for larger tables.
+    """
+    if len(x) < 2:
+        return 1.0
+    half = x.shape[1] // 2
+    cells, cell, counts = np.unique(nearest(x[:, :half], books[0]) * len(books[1]) + nearest(x[:, half:], books[1]), return_inverse=True, return_counts=True)
+    i, j = np.divmod(cells, len(books[1]))
+    needed = []
+    for q in np.linspace(0, len(x) - 1, min(FIT_QUERIES, len(x))).astype(int):
+        order = np.argsort(-((books[0] @ x[q, :half])[i] + (books[1] @ x[q, half:])[j]), kind="stable")
+        until = np.empty(len(cells), np.int64)
+        until[order] = np.cumsum(counts[order])
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        needed.append(until[cell[best(scores, np.arange(len(x)), min(k, len(x) - 1))]])
+    return float(np.quantile(np.concatenate(needed), recall, method="higher")) / len(x)
+
+
 def best(scores: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest scores, ties to the smaller of `least`; -inf takes no part."""
     at = np.flatnonzero(scores > -np.inf)
@@ -121,11 +146,11 @@ def best(scores: np.ndarray, least: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((least[at], -scores[at]))][:k]
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each usable row whose id `every` divides.
 
     Candidates are all usable rows but those with the query's own id. Rows that repeat id and vector count
-    once. Cells are walked until they hold `share` of the entries, and k others at least. Fewer candidates give fewer rows; no usable row gives none. Other columns are not read.
+    once. Cells are walked until they hold `share` of the entries (unset: fitted on the sample), and k others at least. Fewer candidates give fewer rows; no usable row gives none. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, vec_id, embedding))
@@ -152,69 +177,72 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHAR
     first = np.cumsum(counts) - counts  # cells in order, cut into shards of SHARD entries; a large cell spans several
     queries = rows.filter(F.col("vec_id") % every == 0).distinct()
     asked = written(queries.groupBy("v").agg(F.min("vec_id").alias("asked")))
-    chunks = max(1, -(-asked.count() // CHUNK))
+    share = fitted_share(x, books, k) if share is None else share
     want = min(n, max(k + 1, int(np.ceil(share * n))))  # cells that hold too few others would lose neighbours
 
+    def cells_of(shard: int) -> slice:
+        """The cells of which a shard holds entries."""
+        low = np.searchsorted(first + counts, shard * SHARD, side="right")
+        return slice(int(low), int(np.searchsorted(first, (shard + 1) * SHARD)))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, h = batch.column("cell").to_numpy(), batch.column("h").to_numpy()
             shard = (first[cell] + h % np.maximum(counts[cell], 1)) // SHARD
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), *(batch.column(c) for c in ("chunk", "cell", "v", "ids"))], ["shard", "chunk", "cell", "v", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(c) for c in ("cell", "v", "ids"))], ["shard", "cell", "v", "ids"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shards, cells, row = [], [], []
             m = _matrix(batch.column("v"))
             for r in range(batch.num_rows):
                 found = np.array(walk(books[0] @ m[r, :half], books[1] @ m[r, half:], counts, want), np.int64)
-                low, high = first[found] // SHARD, (first[found] + counts[found] - 1) // SHARD
-                span = high - low + 1
-                shard = np.repeat(low, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                cell = np.repeat(found, span)
-                order = np.argsort(shard, kind="stable")
-                names, starts = np.unique(shard[order], return_index=True)
-                shards += names.tolist()
-                cells += np.split(cell[order], starts[1:])
-                row += [r] * len(names)
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), batch.column("chunk").take(at), batch.column("asked").take(at), batch.column("v").take(at), pa.array(cells, pa.list_(pa.int64()))],
-                ["shard", "chunk", "asked", "v", "cells"],
-            )
+                mark = np.zeros(len(counts), dtype=bool)
+                mark[found] = True
+                ends = np.zeros(-(-n // SHARD) + 1, np.int64)  # how many of the found cells start and end in each shard
+                np.add.at(ends, first[found] // SHARD, 1)
+                np.add.at(ends, (first[found] + counts[found] - 1) // SHARD + 1, -1)
+                shards = np.flatnonzero(np.cumsum(ends))
+                bits = [np.packbits(mark[cells_of(s)]).tobytes() for s in shards]
+                at = pa.array(np.full(len(shards), r))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards, pa.int64()), batch.column("asked").take(at), batch.column("v").take(at), pa.array(bits, pa.binary())], ["shard", "asked", "v", "cells"]
+                )
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"asked": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
-            e, cell, ids = _matrix(left["v"]), left["cell"].to_numpy(), left["ids"].to_pylist()
+            held = cells_of(left["shard"][0].as_py())
+            e, which, ids = _matrix(left["v"]), left["cell"].to_numpy() - held.start, left["ids"].to_pylist()
             least = np.array([i[0] for i in ids])
-            local = np.unique(cell)
-            which = np.searchsorted(local, cell)
-            q, cells, asked = _matrix(right["v"]), right["cells"].to_pylist(), right["asked"].to_pylist()
+            size = np.sqrt((e * e).sum(axis=1).max())
+            q, asked = _matrix(right["v"]), right["asked"].to_pylist()
             for low in range(0, len(q), 128):
                 some = q[low : low + 128]
-                probed = np.zeros((len(some), len(local)), dtype=bool)
-                for i in range(len(some)):
-                    probed[i, np.searchsorted(local, np.intersect1d(local, cells[low + i]))] = True
-                near = np.flatnonzero(probed.any(axis=0)[which])
-                scores = np.where(probed[:, which[near]], some @ e[near].T, -np.inf)
+                bits = np.frombuffer(b"".join(right["cells"].slice(low, 128).to_pylist()), np.uint8).reshape(len(some), -1)
+                probed = np.unpackbits(bits, axis=1)[:, which].astype(bool)
+                near = np.flatnonzero(probed.any(axis=0))
+                scores = np.where(probed[:, near], some @ e[near].T, -np.inf)
                 for i in range(len(some)):
-                    items = [(-scores[i, j], v) for j in best(scores[i], least[near], k + 1) for v in ids[near[j]]]
+                    at = np.flatnonzero(scores[i] > -np.inf)
+                    if len(at) > k + 1:  # a product of matrices may differ in its last bits, so near ties stay in
+                        edge = np.partition(scores[i, at], len(at) - k - 1)[len(at) - k - 1]
+                        at = at[scores[i, at] >= edge - 1e-12 * size * np.sqrt((some[i] ** 2).sum())]
+                    exact = (e[near[at]] * some[i]).sum(axis=1)
+                    items = [(-exact[j], v) for j in best(exact, least[near[at]], k + 1) for v in ids[near[at[j]]]]
                     for s, v in heapq.nsmallest(k + 1, items):
                         out["asked"].append(asked[low + i])
                         out["vec_id"].append(v)
                         out["score"].append(-s)
         return pa.table([pa.array(out["asked"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], list(out))
 
-    copies = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    left = index.select("cell", "v", "ids", F.shiftrightunsigned(F.xxhash64("v", F.lit(1)), 1).alias("h"), copies).mapInArrow(
-        place, "shard long, chunk int, cell long, v array<double>, ids array<long>"
-    )
-    chunk = F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int").alias("chunk")
-    right = asked.select("asked", "v", chunk).repartition("asked").mapInArrow(
-        probe, "shard long, chunk int, asked long, v array<double>, cells array<long>"
+    placed = index.select("cell", "v", "ids", F.shiftrightunsigned(F.xxhash64("v", F.lit(1)), 1).alias("h")).mapInArrow(
+        place, "shard long, cell long, v array<double>, ids array<long>"
     )
+    probes = written(asked.select("asked", "v").repartition("asked").mapInArrow(probe, "shard long, asked long, v array<double>, cells binary"))
+    chunks = written(probes.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
+    copies = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    left = placed.join(chunks, "shard").select("shard", copies.alias("chunk"), "cell", "v", "ids")
+    right = probes.join(chunks, "shard").select("shard", F.expr("cast(pmod(xxhash64(asked), chunks) AS int)").alias("chunk"), "asked", "v", "cells")
     found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInArrow(rerank, "asked long, vec_id long, score double")
     order = [F.desc("score"), F.col("vec_id")]
     top = found.withColumn("_r", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).filter(F.col("_r") <= k + 1).drop("_r")
