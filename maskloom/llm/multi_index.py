@@ -32,6 +32,8 @@ FIT_QUERIES = 256
 #: Entries and queries that one task compares.
 SHARD = 8192
 CHUNK = 8192
+#: Queries that one task walks cells for.
+WALKS = 256
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -238,7 +240,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, share: float | None
     placed = index.select("cell", "v", "ids", F.shiftrightunsigned(F.xxhash64("v", F.lit(1)), 1).alias("h")).mapInArrow(
         place, "shard long, cell long, v array<double>, ids array<long>"
     )
-    probes = written(asked.select("asked", "v").repartition("asked").mapInArrow(probe, "shard long, asked long, v array<double>, cells binary"))
+    tasks = max(1, -(-asked.count() // WALKS))  # a number of its own, since small rows with long walks would be put together again
+    probes = written(asked.select("asked", "v").repartition(tasks, "asked").mapInArrow(probe, "shard long, asked long, v array<double>, cells binary"))
     chunks = written(probes.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     copies = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     left = placed.join(chunks, "shard").select("shard", copies.alias("chunk"), "cell", "v", "ids")
