@@ -8,6 +8,7 @@ from maskloom.functions import text as tx
 from maskloom.functions.hashing import hash_int
 from maskloom.functions.labels import LABELS
 from maskloom.operators import scores as sc
+from maskloom.operators import tagger as tg
 from maskloom.operators import tokens as tk
 from maskloom.operators import windows as wn
 from maskloom.plans import detect
@@ -260,6 +261,25 @@ def c14_model_hook(spark, sf):
     return sc.decode(sc.with_top_two(best), 0.9).groupBy("label").agg(F.count("*").alias("n"))
 
 
+#: Documents that the tagger learns from.
+LEARNT = 1000
+
+
+@query("c14_fitted_model")
+def c14_fitted_model(spark, sf):
+    docs = fr.documents(spark, sf)
+    some = fr.label_tokens(tk.tokenize(tk.colocate(tg.sample_documents(docs, LEARNT))))
+    weights = tg.fit(wn.labelled_windows(some, 512, 128))
+    windows = wn.window_tokens(tk.tokenize(docs).select("document", "toks"), 512, 128)
+    best = sc.best_over_windows(tg.cross_scored(windows, weights)).withColumn("token_text", F.lit(""))
+    found = sc.decode(sc.with_top_two(best), 0.5).select("document", "token", "label", F.lit(1).alias("p"), F.lit(0).alias("g"))
+    gold = fr.gold(spark, sf).filter("label <> 'O'").select("document", "token", "label", F.lit(0).alias("p"), F.lit(1).alias("g"))
+    pairs = found.unionByName(gold).groupBy("document", "token", "label").agg(F.max("p").alias("p"), F.max("g").alias("g"))
+    return pairs.groupBy("label").agg(
+        F.count_if(F.expr("p = 1 AND g = 1")).alias("tp"), F.count_if(F.expr("p = 1 AND g = 0")).alias("fp"), F.count_if(F.expr("p = 0 AND g = 1")).alias("fn")
+    )
+
+
 @query(
     "c15_lost_mass",
     with_parts(

@@ -8,8 +8,8 @@ import pytest
 from maskloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: These fit models while they are built; test_models.py and the queries' own runs cover them.
-FITTED = {"g5_second_stage_model", "g6_url_model"}
+#: These fit models while they are built; test_models.py, test_tagger.py and the queries' own runs cover them.
+FITTED = {"c14_fitted_model", "g5_second_stage_model", "g6_url_model"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
