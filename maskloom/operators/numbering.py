@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskloom.sources.io import scratch_dir
+from maskloom.sources.io import scratch_dir, written
 
 
 def dense_row_id(rows: DataFrame) -> DataFrame:
@@ -14,9 +14,10 @@ def dense_row_id(rows: DataFrame) -> DataFrame:
     Documents with their row counts are range-partitioned into as many ranges as the session shuffles
     into, and written with their range, so a recomputed task finds the same ranges. The sizes of earlier
     ranges and of earlier documents of the range give each document its first id; rows are numbered
-    inside their document.
+    inside their document. The rows are written too: ranges, their sizes and the numbering all read them.
     """
     spark = rows.sparkSession
+    rows = written(rows)
     path = scratch_dir(spark)
     sizes = rows.groupBy("document").agg(F.count("*").alias("_n")).repartitionByRange("document")
     sizes.withColumn("_range", F.spark_partition_id()).write.parquet(path)
