@@ -86,9 +86,8 @@ def h8_accuracy_sweep(spark, sf):
     rows = fr.wide_scores(spark, sf).filter(F.col("gold_label").isin("O", "B-NAME_STUDENT"))
     cuts = [i / 100 for i in range(0, 100, 5)]
     positive = F.col("gold_label") == "B-NAME_STUDENT"
-    out = mt.sweep_counts(rows.select("gold_label", "B-NAME_STUDENT"), "B-NAME_STUDENT", positive, cuts)
-    n = rows.agg(F.count("*").alias("n")).scalar()
-    return out.select("threshold", F.round((n - F.col("fp") - F.col("fn")) / n, 6).alias("accuracy"))
+    out = mt.sweep_counts(rows.select("gold_label", "B-NAME_STUDENT"), "B-NAME_STUDENT", positive, cuts, total="n")
+    return out.select("threshold", F.round((F.col("n") - F.col("fp") - F.col("fn")) / F.col("n"), 6).alias("accuracy"))
 
 
 _ARG = "CASE " + " ".join(f"WHEN p{i}=greatest({','.join(f'p{j}' for j in range(12))}) THEN {lit(n)}" for i, n in enumerate(LABELS)) + " END"

@@ -125,7 +125,8 @@ def a7_write_folds(spark, sf):
 )
 def a8_append_scored(spark, sf):
     path = io.scratch_dir(spark) + "/scored"
-    pairs = mt.score_pairs(fr.predictions(spark, sf), mt.gold_rows(fr.gold(spark, sf)))
+    preds, gold = fr.scored_rows(spark, sf)
+    pairs = io.written(mt.score_pairs(preds, mt.gold_rows(gold)))
     for run in ("first", "second"):
         io.append_scored(pairs, path, run)
     return spark.read.parquet(path).groupBy("run_id", "cm").agg(F.count("*").alias("n"))
