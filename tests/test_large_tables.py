@@ -92,3 +92,8 @@ def test_partitions_follow_the_size_of_texts(spark, monkeypatch):
     monkeypatch.setattr(tk, "PARTITION_TEXT", 200)
     assert tk.colocate(docs).rdd.getNumPartitions() == 20
     assert tk.colocate(docs.limit(0)).count() == 0
+
+
+def test_windows_without_tokens_have_no_scores(spark):
+    windows = spark.createDataFrame([("d", 0, 0, None), ("e", 0, 0, ["a"])], "document string, window int, first int, tokens array<string>")
+    assert [r.document for r in sc.score_windows(windows, lambda t: [[1.0] for _ in t], ("p",)).collect()] == ["e"]
