@@ -7,7 +7,7 @@ every overlapping pair is reported once: in the bucket where the overlap begins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,25 @@ def overlap_join(
     return pairs.unionByName(alone, allowMissingColumns=True)
 
 
+def touched(
+    left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], flag: str = "hit"
+) -> DataFrame:
+    """The left rows, each once, with whether any right span of its document overlaps it.
+
+    One sort per document instead of a join: a span is met if, of the right spans that begin before its end,
+    the one that reaches farthest passes its begin. Rows without a document meet nothing.
+    """
+    (ls, le), (rs, re_) = left_span, right_span
+    a = left.withColumns({"_at": (F.col(le) - 1).cast("long"), "_left": F.lit(1), "_reach": F.lit(None).cast("long")})
+    b = right.filter("document IS NOT NULL").select(
+        "document", F.col(rs).cast("long").alias("_at"), F.lit(0).alias("_left"), F.col(re_).cast("long").alias("_reach")
+    )
+    w = Window.partitionBy("document").orderBy("_at", "_left").rowsBetween(Window.unboundedPreceding, 0)
+    swept = a.unionByName(b, allowMissingColumns=True).withColumn("_reach", F.max("_reach").over(w))
+    met = F.coalesce(F.col("_reach") > F.col(ls), F.lit(False))
+    return swept.filter("_left = 1").withColumn(flag, met).drop("_at", "_left", "_reach")
+
+
 def _buckets(start: Column, end: Column, width: int) -> Column:
     first = F.floor(start / width)
     last = F.greatest(F.floor((end - 1) / width), first)

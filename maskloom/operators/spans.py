@@ -52,9 +52,13 @@ def _placed(sized: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def literal_pattern(value: Column, word: Column | bool = False) -> Column:
-    """Regular expression that finds `value` as it stands, at word borders when `word`."""
+    """Regular expression that finds `value` as it stands, at word borders when `word`.
+
+    The literal comes first and the border before it is looked for from behind, so that the search skips
+    ahead by the literal instead of asking for a border at every character.
+    """
     quoted = F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    bounded = F.concat(F.lit("(?U)\\b"), quoted, F.lit("\\b"))
+    bounded = F.concat(F.lit("(?U)"), quoted, F.lit("\\b(?<=\\b"), quoted, F.lit(")"))
     flag = F.lit(word) if isinstance(word, bool) else word
     return F.when(flag, bounded).otherwise(quoted)
 

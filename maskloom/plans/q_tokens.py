@@ -9,7 +9,7 @@ from maskloom.operators import pieces as pc
 from maskloom.operators import spans as sp
 from maskloom.operators import tokens as tk
 from maskloom.operators import windows as wn
-from maskloom.operators.overlap import overlap_join
+from maskloom.operators.overlap import overlap_join, touched
 from maskloom.plans import frames as fr
 from maskloom.plans.registry import query
 from maskloom.plans.sqlparts import lit, tokens_of, with_parts
@@ -245,13 +245,9 @@ def b9_name_pieces(spark, sf):
     names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
     hits = sp.regex_spans(
         names.withColumn("pat", sp.literal_pattern(F.col("name"), True)), F.col("pat"), by=("name",)
-    ).select("document", "span_start", "span_end").distinct()
+    ).select("document", "span_start", "span_end")
     pieces = tk.subtokens(_gold_spans(spark, sf)).select("document", "token", "piece", "piece_start", "piece_end")
-    named = (
-        overlap_join(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"), how="padded")
-        .groupBy("document", "token", "piece", "piece_start")
-        .agg(F.max(F.col("span_start").isNotNull()).alias("hit"))
-    )
+    named = touched(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"))
     return named.groupBy("document").agg(
         F.count("*").alias("n_pieces"),
         F.count_if("hit").alias("n_named"),
@@ -313,13 +309,9 @@ def b9_vocabulary_names(spark, sf):
     is_name = F.filter("toks", lambda t: t["label"].contains("NAME_STUDENT"))
     names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
     pattern = sp.literal_pattern(F.col("name"), True)
-    hits = sp.regex_spans(names.withColumn("pat", pattern), F.col("pat"), by=("name",)).select("document", "span_start", "span_end").distinct()
+    hits = sp.regex_spans(names.withColumn("pat", pattern), F.col("pat"), by=("name",)).select("document", "span_start", "span_end")
     pieces = vocabulary_pieces(spark, sf).select("document", "token", "piece", "piece_start", "piece_end")
-    named = (
-        overlap_join(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"), how="padded")
-        .groupBy("document", "token", "piece", "piece_start")
-        .agg(F.max(F.col("span_start").isNotNull()).alias("hit"))
-    )
+    named = touched(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"))
     return named.groupBy("document").agg(
         F.count("*").alias("n_pieces"),
         F.count_if("hit").alias("n_named"),

@@ -21,6 +21,38 @@ def plan(df):
     return out.getvalue()
 
 
+def test_touched_is_brute_force(spark):
+    rng = random.Random(5)
+    spans = lambda n: [(rng.choice(["a", "b", "c", None]), s, s + rng.randint(1, 12)) for s in (rng.randint(0, 300) for _ in range(n))]
+    left, right = spans(200), spans(25) + [("a", 0, 90), ("a", 5, 6)]
+    a = spark.createDataFrame(left, "document string, start int, end int").repartition(3, "document")
+    b = spark.createDataFrame(right, "document string, s int, e int")
+    found = touched(a, b, ("start", "end"), ("s", "e"))
+    want = [(d, s, e, any(d is not None and d == x and s < z and y < e for x, y, z in right)) for d, s, e in left]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert "Join" not in plan(found)
+
+
+def test_names_are_found_at_word_borders_by_their_literal(spark):
+    cases = [
+        ("Ana, Ana-Ana-Ana xAna Anax Ana", "Ana", True),
+        ("Ana-Ana-Ana Ana-Ana", "Ana-Ana", True),
+        ("Léa Léaé éLéa ́Léa Léá _Léa", "Léa", True),
+        ("a.b a+b a.b\\E", "a.b", True),
+        ("x\\Ey \\E", "\\E", False),
+        ("²Ana² Ana²", "²Ana", True),
+        ("", "Ana", True),
+    ]
+    docs = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)], "document string, text string, value string, word boolean")
+    quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = F.when(F.col("word"), F.concat(F.lit("(?U)\\b"), quoted, F.lit("\\b"))).otherwise(quoted)
+    found = [sorted(map(tuple, sp.regex_spans(docs.withColumn("p", p), F.col("p")).collect())) for p in (plain, sp.literal_pattern(F.col("value"), F.col("word")))]
+    assert found[0] == found[1]
+    assert len([r for r in found[1] if r[0] == "0"]) == 5
+    # the search starts with the literal, which lets it skip ahead
+    assert docs.select(sp.literal_pattern(F.col("value"), True).alias("p")).first().p.startswith("(?U)\\QAna")
+
+
 def test_repeated_names_do_not_shuffle_tokens(spark):
     docs = spark.createDataFrame([(str(i), "Ana met Bo. Ana left") for i in range(40)], "document string, text string")
     kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
