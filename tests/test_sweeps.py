@@ -33,6 +33,23 @@ def test_touched_is_brute_force(spark):
     assert "Join" not in plan(found)
 
 
+def test_aligned_labels_need_no_join(spark):
+    tokens = spark.createDataFrame(
+        [("d", 0, 3, "B-EMAIL"), ("d", 4, 6, "B-NO_SUCH"), ("d", 7, 8, None), ("e", 0, 2, "B-ID_NUM"), (None, 0, 5, "B-EMAIL")],
+        "document string, start int, end int, label string",
+    )
+    pieces = spark.createDataFrame(
+        [("d", 0, 2, 0), ("d", 2, 4, 1), ("d", 3, 5, 1), ("d", 4, 5, 0), ("d", 6, 8, 1), ("d", 9, 10, 0), ("e", 1, 2, 0), ("f", 0, 1, 0), (None, 0, 1, 0)],
+        "document string, piece_start int, piece_end int, lead int",
+    )
+    found = wn.align_labels(pieces, tokens)
+    o, email = LABELS.index("O"), LABELS.index("B-EMAIL")
+    want = [("d", 0, email), ("d", 2, o), ("d", 3, None), ("d", 4, None), ("d", 6, o), ("d", 9, o), ("e", 1, LABELS.index("B-ID_NUM")), ("f", 0, o), (None, 0, o)]
+    got = [(r.document, r.piece_start, r.label_id) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert "Join" not in plan(found)
+
+
 def test_names_are_found_at_word_borders_by_their_literal(spark):
     cases = [
         ("Ana, Ana-Ana-Ana xAna Anax Ana", "Ana", True),
