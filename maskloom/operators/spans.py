@@ -131,27 +131,27 @@ def label_values(
     return bio_from_types(covered.withColumn("type", kind[F.col("key")])).drop("key", "type")
 
 
-def bio_spans(tokens: DataFrame) -> DataFrame:
+def bio_spans(tokens: DataFrame, labels: tuple[str, ...] = ("label",)) -> DataFrame:
     """(document, type, start_token, end_token, text): a B opens, any I continues.
 
     A leading I outside a span is ignored; an I of another type still continues the span.
-    `tokens` must hold all tokens, `O` included.
+    `tokens` must hold all tokens, `O` included. With several label columns the spans of all come from
+    one sort, and `by` names the column that a span is from.
     """
     w = Window.partitionBy("document").orderBy("token")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.col("label").startswith("B-")
-    marked = tokens.select(
-        "document",
-        "token",
-        "token_text",
-        "ws",
-        "label",
-        F.count_if(opens).over(run).alias("_span"),
-        F.max(F.when(opens | (F.col("label") == "O"), F.struct("token", opens.alias("b")))).over(run)["b"].alias("_open"),
-    )
+    states = []
+    for c in labels:
+        opens = F.col(c).startswith("B-")
+        last = F.max(F.when(opens | (F.col(c) == "O"), F.struct("token", opens.alias("b")))).over(run)["b"]
+        states.append(F.struct(F.lit(c).alias("by"), F.col(c).alias("label"), F.count_if(opens).over(run).alias("_span"), last.alias("_open")))
+    found = tokens.select("document", "token", "token_text", "ws", F.array(*states).alias("_s"))
+    inside = F.exists("_s", lambda s: (s["label"] != "O") & s["_open"])
+    marked = found.filter(inside).select("document", "token", "token_text", "ws", F.inline("_s"))
+    keys = ["by"] if len(states) > 1 else []
     return (
         marked.filter((F.col("label") != "O") & F.col("_open"))
-        .groupBy("document", "_span")
+        .groupBy("document", *keys, "_span")
         .agg(
             strip_bio(F.min_by("label", "token")).alias("type"),
             F.min("token").alias("start_token"),
@@ -160,6 +160,7 @@ def bio_spans(tokens: DataFrame) -> DataFrame:
         )
         .select(
             "document",
+            *keys,
             "type",
             "start_token",
             "end_token",

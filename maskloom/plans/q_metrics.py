@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maskloom.functions.hashing import hash_int
 from maskloom.functions.labels import ENTITY_LABELS, LABELS
 from maskloom.operators import metrics as mt
+from maskloom.operators import scores as sc
 from maskloom.operators import spans as sp
 from maskloom.plans import frames as fr
 from maskloom.plans.q_scores import _UMODEL, url_model_mean
@@ -146,7 +147,11 @@ def h11_label_profile(spark, sf):
     ),
 )
 def h12_entity_scores(spark, sf):
-    out = mt.span_scores(sp.bio_spans(labelled(spark, sf)), sp.bio_spans(fr.gold(spark, sf)))
+    rows = fr.gold(spark, sf).select("document", "token", "token_text", "ws", "label")
+    both = sc.as_columns(rows, rows.columns, [F.coalesce(fr.noisy_label(F.col("label")), F.lit("O")).alias("predicted")])
+    # spans are few: written, so that the two sides come from one pass over the tokens
+    spans = io.written(sp.bio_spans(both, ("predicted", "label")).select("document", "by", "type", "start_token", "end_token"))
+    out = mt.span_scores(spans.filter("by = 'predicted'"), spans.filter("by = 'label'"))
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 

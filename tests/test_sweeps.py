@@ -70,6 +70,20 @@ def test_names_are_found_at_word_borders_by_their_literal(spark):
     assert docs.select(sp.literal_pattern(F.col("value"), True).alias("p")).first().p.startswith("(?U)\\QAna")
 
 
+def test_spans_of_two_labels_come_from_one_sort(spark):
+    rng = random.Random(7)
+    kinds = ["O", "O", "B-EMAIL", "I-EMAIL", "B-ID_NUM", "I-ID_NUM"]
+    rows = spark.createDataFrame(
+        [(d, k, f"t{k}", k % 3 > 0, rng.choice(kinds), rng.choice(kinds)) for d in "abc" for k in range(80)],
+        "document string, token int, token_text string, ws boolean, label string, predicted string",
+    )
+    both = sp.bio_spans(rows, ("label", "predicted"))
+    assert plan(both).count("Window [") == plan(sp.bio_spans(rows)).count("Window [") == 1
+    for c in ("label", "predicted"):
+        alone = sp.bio_spans(rows.select("document", "token", "token_text", "ws", F.col(c).alias("label")))
+        assert sorted(map(tuple, both.filter(F.col("by") == c).drop("by").collect())) == sorted(map(tuple, alone.collect())) != []
+
+
 def test_repeated_names_do_not_shuffle_tokens(spark):
     docs = spark.createDataFrame([(str(i), "Ana met Bo. Ana left") for i in range(40)], "document string, text string")
     kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
