@@ -84,6 +84,27 @@ def test_spans_of_two_labels_come_from_one_sort(spark):
         assert sorted(map(tuple, both.filter(F.col("by") == c).drop("by").collect())) == sorted(map(tuple, alone.collect())) != []
 
 
+def test_argmax_ties_and_tests_once(spark):
+    zero = dict.fromkeys(LABELS, 0.0)
+    cases = [
+        ("Ana", zero | {"O": 0.5, "B-NAME_STUDENT": 0.3, "I-NAME_STUDENT": 0.3}, "B-NAME_STUDENT"),
+        ("Ana", zero | {"O": 0.95, "B-ID_NUM": 0.95}, "B-ID_NUM"),
+        ("Ana", zero | {"O": 0.99, "B-ID_NUM": 0.01}, "O"),
+        ("http://a", zero | {"O": 0.5, "B-URL_PERSONAL": 0.2, "B-EMAIL": 0.3}, "B-URL_PERSONAL"),
+        ("Ana", zero | {"O": 0.95, "B-ID_NUM": None, "I-ID_NUM": 0.96}, "O"),
+        ("Ana", dict.fromkeys(LABELS), "B-EMAIL"),
+    ]
+    rows = spark.createDataFrame([(i, t, *[s[c] for c in LABELS]) for i, (t, s, _) in enumerate(cases)], "i int, token_text string, " + ", ".join(f"`{c}` double" for c in LABELS))
+    got = {r.i: r.label for r in ru.decode_argmax(rows).collect()}
+    # a null score makes the sum null, so neither the floor nor the entity rule is judged by it
+    want = [w for _, _, w in cases]
+    want[4] = "I-ID_NUM"
+    assert [got[i] for i in range(len(cases))] == want
+    zeroed = ru.zero_impossible_labels(rows)
+    assert zeroed.columns == [c for c in rows.columns if c not in LABELS or c == "O"] + [c for c in LABELS if c != "O"]
+    assert plan(zeroed).count("http|www|://") == 1
+
+
 def test_repeated_names_do_not_shuffle_tokens(spark):
     docs = spark.createDataFrame([(str(i), "Ana met Bo. Ana left") for i in range(40)], "document string, text string")
     kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
