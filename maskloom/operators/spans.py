@@ -63,31 +63,36 @@ def literal_pattern(value: Column, word: Column | bool = False) -> Column:
     return F.when(flag, bounded).otherwise(quoted)
 
 
-def span_cover(tokens: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+#: The order in which `span_cover` leaves the tokens of a document.
+COVERED = ("_at", "_o")
+
+
+def span_cover(tokens: DataFrame, spans: DataFrame, keys: list[str], ordered: bool = False) -> DataFrame:
     """Mark every token whose first character lies in a span, per span key.
 
     Adds `key`, the last of `keys` (in list order) that covers the token, or null. One sort
     per document: a running maximum of the span ends per key tells whether the key is
-    still open at the token.
+    still open at the token. Columns are sorted as plain ones, so those that nobody reads are left out. With
+    `ordered` the columns `COVERED` stay, by which a later window finds its rows in order.
     """
     cols = [c for c in tokens.columns if c != "document"]
-    t = tokens.select("document", F.col("start").alias("_at"), F.lit(1).alias("_o"), F.struct(*cols).alias("_t"),
+    none = [F.lit(None).cast(tokens.schema[c].dataType).alias(c) for c in cols]
+    t = tokens.select("document", F.col("start").alias("_at"), F.lit(1).alias("_o"), *cols,
                       F.lit(None).cast("string").alias("_key"), F.lit(None).cast("int").alias("_end"))
-    s = spans.select("document", F.col("span_start").alias("_at"), F.lit(0).alias("_o"),
-                     F.lit(None).cast(t.schema["_t"].dataType).alias("_t"),
+    s = spans.select("document", F.col("span_start").alias("_at"), F.lit(0).alias("_o"), *none,
                      F.col("key").alias("_key"), F.col("span_end").alias("_end"))
-    w = Window.partitionBy("document").orderBy("_at", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("document").orderBy(*COVERED).rowsBetween(Window.unboundedPreceding, 0)
     union = t.unionByName(s)
     opened = union.select(
-        "document", "_at", "_t", *[F.max(F.when(F.col("_key") == k, F.col("_end"))).over(w).alias(f"_e{i}") for i, k in enumerate(keys)]
-    ).filter("_t IS NOT NULL")
+        "document", *COVERED, *cols, *[F.max(F.when(F.col("_key") == k, F.col("_end"))).over(w).alias(f"_e{i}") for i, k in enumerate(keys)]
+    ).filter("_o = 1")
     last = F.coalesce(*[F.when(F.col(f"_e{i}") > F.col("_at"), F.lit(keys[i])) for i in reversed(range(len(keys)))])
-    return opened.withColumn("key", last).select("document", "_t.*", "key")
+    return opened.select("document", *(COVERED if ordered else ()), *cols, last.alias("key"))
 
 
-def bio_from_types(tokens: DataFrame, kind: str = "type") -> DataFrame:
+def bio_from_types(tokens: DataFrame, kind: str = "type", order: tuple[str, ...] = ("token",)) -> DataFrame:
     """`label` from a nullable type: B after nothing or another type, I otherwise."""
-    w = Window.partitionBy("document").orderBy("token")
+    w = Window.partitionBy("document").orderBy(*order)
     before = F.lag(kind).over(w)
     label = (
         F.when(F.col(kind).isNull(), F.lit("O"))
@@ -126,9 +131,9 @@ def label_values(
     last = F.size("gaps") - 1
     zipped = F.transform("gaps", lambda g, i: F.struct(g.alias("gap"), F.when(i < last, size).alias("hit")))
     hits = _placed(found.select("document", "key", "value", zipped.alias("_z")), ("document", "key", "value"))
-    covered = span_cover(tokens, hits, keys)
+    covered = span_cover(tokens, hits, keys, ordered=True)
     kind = F.create_map(*[F.lit(x) for pair in key_types.items() for x in pair])
-    return bio_from_types(covered.withColumn("type", kind[F.col("key")])).drop("key", "type")
+    return bio_from_types(covered.withColumn("type", kind[F.col("key")]), order=COVERED).drop("key", "type", *COVERED)
 
 
 def bio_spans(tokens: DataFrame, labels: tuple[str, ...] = ("label",)) -> DataFrame:

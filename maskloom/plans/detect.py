@@ -26,7 +26,7 @@ def rule_scores(docs: DataFrame, max_length: int = 512, stride: int = 128) -> tu
     """Window scores of the rule scorer and the token table; `docs` co-located by document."""
     tokens = tk.token_spans(tk.token_rows(tk.tokenize(docs).select("document", "toks")))
     hits = sp.spans_of_all(docs, RULES)
-    labelled = sp.bio_from_types(sp.span_cover(tokens, hits, list(RULES)), "key").drop("key")
+    labelled = sp.bio_from_types(sp.span_cover(tokens, hits, list(RULES), ordered=True), "key", sp.COVERED).drop("key", *sp.COVERED)
     windows = wn.assign_windows(labelled, max_length, stride)
     spans = windows.select(
         "document", "window", F.col("start").alias("piece_start"), F.col("end").alias("piece_end"), "label"

@@ -1,8 +1,11 @@
 """What the sorts by token hold, and how often the tokens are made."""
 
+from pyspark.sql import functions as F
 
 from maskloom.functions.labels import LABELS
 from maskloom.operators import features as ft
+from maskloom.operators import spans as sp
+from maskloom.operators import tokens as tk
 
 
 def executed(df) -> str:
@@ -31,3 +34,21 @@ def test_score_rows_are_sorted_with_their_scores_once(spark):
     got = {(r.document, r.token): r for r in rows.collect()}
     assert {k: list(r[4:16]) for k, r in got.items()} == {(d, t): score(t) for d in "ab" for t in range(3)}
     assert got["b", 1].score_features == [*score(1), *score(0), *[0.0] * 12, *score(2), *[0.0] * 12]
+
+
+def test_covered_tokens_are_sorted_once_and_narrow(spark):
+    docs = spark.createDataFrame([("a", "ab cd Ana Ana Roy x"), ("b", "no one"), ("c", None)], "document string, text string")
+    docs = docs.withColumn("name", F.lit("Ana")).withColumn("full", F.lit("Ana Roy"))
+    keys = {"name": "NAME_STUDENT", "full": "USERNAME"}
+    dealt = tk.colocate(docs)
+    rows = sp.label_values(tk.token_spans(tk.match_rows(dealt.select("document", "text"))), dealt, keys)
+    # offsets, spans and cover sort once each; the labels take the order of the cover
+    assert executed(rows).count("Sort [document") == 3
+    assert rows.columns == ["document", "n_tokens", "token", "token_text", "ws", "start", "end", "label"]
+    # columns of the tokens that nobody reads are not sorted
+    cover = [max(sorted_columns(r)) for r in (rows.select("token_text", "label"), rows)]
+    assert cover[1] - cover[0] >= 4
+    got = {(r.document, r.token): (r.token_text, r.start, r.end, r.label) for r in rows.collect()}
+    assert got["a", 2] == ("Ana", 6, 9, "B-NAME_STUDENT")
+    assert [got["a", t][3] for t in range(6)] == ["O", "O", "B-NAME_STUDENT", "B-USERNAME", "I-USERNAME", "O"]
+    assert sorted(k for k in got if k[0] != "a") == [("b", 0), ("b", 1)]
