@@ -1,11 +1,16 @@
 """What the sorts by token hold, and how often the tokens are made."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from maskloom.functions.labels import LABELS
 from maskloom.operators import features as ft
+from maskloom.operators import profile as pr
 from maskloom.operators import spans as sp
 from maskloom.operators import tokens as tk
+from maskloom.plans import catalog  # noqa: F401  (registers the queries)
+from maskloom.plans import q_profile as qp
+from maskloom.plans.registry import QUERIES
 
 
 def executed(df) -> str:
@@ -52,3 +57,23 @@ def test_covered_tokens_are_sorted_once_and_narrow(spark):
     assert got["a", 2] == ("Ana", 6, 9, "B-NAME_STUDENT")
     assert [got["a", t][3] for t in range(6)] == ["O", "O", "B-NAME_STUDENT", "B-USERNAME", "I-USERNAME", "O"]
     assert sorted(k for k in got if k[0] != "a") == [("b", 0), ("b", 1)]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("sf"))
+    texts = [f"Dear {w} <<URL>> a@b.org see www.x{k}.com/p/q.html 12345{k}" + " word" * k for k, w in enumerate(["Ana", "Ivo", "", "Olga"] * 10)]
+    rows = [(k, t, "en", "web") for k, t in enumerate([*texts, None, "", texts[3]])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_path_terms_take_one_pass(spark, sf):
+    out = QUERIES["l10_path_terms"](spark, sf)
+    assert executed(out).count("regexp_extract_all(") == 1
+    urls, t = qp.personal_urls(spark, sf), F.col("token_text")
+    terms = urls.select(F.lit("path").alias("part"), F.explode(pr.path_terms(t)).alias("term"))
+    ends = urls.filter(~t.endswith(".com/")).select(F.lit("ending").alias("part"), pr.file_ending(t).alias("term"))
+    plain = terms.unionByName(ends).groupBy("part", "term").agg(F.count("*").alias("n"))
+    assert out.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect())) != []
