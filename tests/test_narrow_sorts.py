@@ -9,6 +9,7 @@ from maskloom.operators import profile as pr
 from maskloom.operators import spans as sp
 from maskloom.operators import tokens as tk
 from maskloom.plans import catalog  # noqa: F401  (registers the queries)
+from maskloom.plans import frames as fr
 from maskloom.plans import q_profile as qp
 from maskloom.plans.registry import QUERIES
 
@@ -77,3 +78,16 @@ def test_path_terms_take_one_pass(spark, sf):
     plain = terms.unionByName(ends).groupBy("part", "term").agg(F.count("*").alias("n"))
     assert out.schema.simpleString() == plain.schema.simpleString()
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect())) != []
+
+
+@pytest.mark.parametrize("name", ["l11_url_differences", "l12_email_differences"])
+def test_both_sides_come_from_one_pass(spark, sf, name):
+    out = QUERIES[name](spark, sf)
+    assert "regexp_extract_all(" not in executed(out)  # the texts are written by then
+    rows, t = fr.synthetic_tokens(spark, sf), F.col("token_text")
+    if name.startswith("l11"):
+        sides = rows.filter("label = 'B-URL_PERSONAL'"), rows.filter(qp.tx.is_url_token(t))
+    else:
+        sides = rows.filter(t.contains("@") & t.contains(".")), rows.filter(F.col("label").contains("EMAIL"))
+    plain = pr.in_both(*sides, "token_text")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect())) != []
