@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from maskloom.functions import text as tx
 from maskloom.operators import scores as sc
 from maskloom.operators import tokens as tk
+from maskloom.operators import windows as wn
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,13 @@ def test_lost_mass_draws_once_per_token(spark):
     # two digests of scores (raw score, draw), and those of the rule labels, in the plan; a draw per label would be twelve
     plan = c15_lost_mass(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("mass") == 1
+
+
+def test_window_scores_meet_without_a_shuffle(spark):
+    docs = tk.colocate(spark.createDataFrame([("a", "one two three four five six"), ("a", "one two"), ("b", None), (None, "x")], "document string, text string"))
+    windows = wn.window_tokens(tk.tokenize(docs).select("document", "toks"), 5, 1)
+    scored = sc.score_windows(windows, [lambda t: [[0.0, len(t), 9.0]] * len(t), lambda t: np.array([[1.0, len(t)]] * len(t))], ["p", "q"], F.when(F.col("document") == "a", 0).otherwise(1))
+    best = sc.best_over_windows(scored, ["p", "q"])
+    assert exchanges(best) == 1  # the documents
+    got = {(r.document, r.token): (r.p, r.q) for r in best.collect()}
+    assert got == {**{("a", t): (0.0, 3.0) for t in range(5)}, ("a", 5): (0.0, 2.0), (None, 0): (1.0, 1.0)}
