@@ -9,28 +9,27 @@ KEY = ["document", "token"]
 
 
 def patch_labels(tokens: DataFrame, patches: DataFrame) -> DataFrame:
-    """Apply `(document, nr, match_kind, pattern, only_label, new_label)`; the last match wins.
+    """Apply `(document, nr, match_kind, pattern, only_label, new_label)`; the last match wins, for all rows of a token.
 
-    `equal` patches join by token text, `contains` patches by document with a text test;
-    only tokens of patched documents pass through either join.
+    The patches of a document meet its tokens in a window, as one row, and every token tests those of its document.
+    Rows that are dealt by document stay where they are: no token is shuffled. Both windows share one sort.
     """
-    cols = ["document", "token", "token_text", "label"]
-    rows = tokens.select(*cols)
-    allowed = F.col("only_label").isNull() | (F.col("only_label") == F.col("label"))
-    equal = patches.filter("match_kind = 'equal'").withColumnRenamed("pattern", "token_text")
-    part = patches.filter("match_kind = 'contains'")
-    hits = (
-        rows.join(equal, ["document", "token_text"])
-        .filter(allowed)
-        .select(*KEY, "nr", "new_label")
-        .unionByName(
-            rows.join(part, "document")
-            .filter(F.col("token_text").contains(F.col("pattern")) & allowed)
-            .select(*KEY, "nr", "new_label")
-        )
-    )
-    last = hits.groupBy(*KEY).agg(F.max_by("new_label", "nr").alias("_new"))
-    return tokens.join(last, KEY, "left").withColumn("label", F.coalesce("_new", "label")).drop("_new")
+    patch = F.struct("nr", "match_kind", "pattern", "only_label", "new_label")
+    wanted = patches.filter("document IS NOT NULL AND nr IS NOT NULL").groupBy("document").agg(F.collect_list(patch).alias("_patches"))
+    whole = Window.partitionBy("document").orderBy("token").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = tokens.withColumn("_row", F.lit(True)).unionByName(wanted, allowMissingColumns=True)
+    met = rows.withColumn("_patches", F.first("_patches", True).over(whole)).filter("_row")
+    text = F.col("token_text")
+
+    def hit(p: Column) -> Column:
+        fits = F.when(p["match_kind"] == "equal", text == p["pattern"]).when(p["match_kind"] == "contains", text.contains(p["pattern"]))
+        return fits & (p["only_label"].isNull() | (p["only_label"] == F.col("label")))
+
+    found = F.transform(F.filter("_patches", hit), lambda p: F.struct(p["nr"].alias("nr"), p["new_label"].alias("new")))
+    own = F.when(F.col("_patches").isNotNull() & F.col("token").isNotNull(), F.array_max(found))
+    last = F.max("_own").over(Window.partitionBy(*KEY))["new"]
+    patched = met.withColumn("_own", own).withColumn("label", F.coalesce(last, F.col("label")))
+    return patched.select(*tokens.columns)
 
 
 def merge_tokens(tokens: DataFrame, heads: DataFrame) -> DataFrame:

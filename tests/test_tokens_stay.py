@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from maskloom.functions import text as tx
+from maskloom.operators import patches as pa
 from maskloom.operators import scores as sc
 from maskloom.operators import tokens as tk
 from maskloom.operators import windows as wn
@@ -71,3 +72,40 @@ def test_window_scores_meet_without_a_shuffle(spark):
     assert exchanges(best) == 1  # the documents
     got = {(r.document, r.token): (r.p, r.q) for r in best.collect()}
     assert got == {**{("a", t): (0.0, 3.0) for t in range(5)}, ("a", 5): (0.0, 2.0), (None, 0): (1.0, 1.0)}
+
+
+GOLD = [("a", 0, "Ana", "B-NAME_STUDENT"), ("a", 1, "real", "O"), ("a", 1, "real", "O"), ("a", 1, "sea", "B-USERNAME"), ("b", 0, "real", "O"), (None, 0, "real", "O"), ("a", None, "real", "O")]
+PATCHES = [
+    ("a", 1, "equal", "Ana", None, "O"), ("a", 2, "contains", "ea", "O", "B-USERNAME"), ("a", 3, "equal", "real", "B-NAME_STUDENT", "I-EMAIL"),
+    ("a", 0, "contains", "n", None, "I-EMAIL"), (None, 9, "equal", "real", None, "X"), ("c", 1, "equal", "Ana", None, "O"), ("b", 1, "other", "real", None, "X"),
+]
+
+
+def patched(spark):
+    gold = tk.colocate(spark.createDataFrame(GOLD, "document string, token int, token_text string, label string"))
+    patches = tk.colocate(spark.createDataFrame(PATCHES, "document string, nr int, match_kind string, pattern string, only_label string, new_label string"))
+    return gold, pa.patch_labels(gold, patches)
+
+
+def test_patched_tokens_are_not_shuffled(spark):
+    gold, rows = patched(spark)
+    assert rows.columns == gold.columns
+    assert exchanges(rows) == 2 and executed(rows).count("Sort [document") == 1
+    new = {("a", 0): "O", ("a", 1): "B-USERNAME"}
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(*r[:3], new.get(r[:2], r[3])) for r in GOLD], key=str)
+
+
+def test_label_differences_are_found_without_a_shuffle(spark):
+    gold, rows = patched(spark)
+    found = pa.label_diff(gold, rows)
+    assert exchanges(found) == 3  # the gold rows are dealt for either version, the patches once
+    # every old row of a token meets every new one, as in a join
+    want = [("a", 0, "Ana", "B-NAME_STUDENT", "O")] + [("a", 1, "real", "O", "B-USERNAME")] * 6
+    assert found.columns == ["document", "token", "token_text", "old_label", "new_label"]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_patches_come_from_one_pass(spark):
+    from maskloom.plans.q_spans import patch_table
+
+    assert executed(patch_table(spark, SF)).count("regexp_extract_all") == 1
