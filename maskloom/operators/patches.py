@@ -54,10 +54,17 @@ def merge_tokens(tokens: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def label_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Tokens whose label changed between two versions."""
-    a = old.select(*KEY, "token_text", F.col("label").alias("old_label"))
-    b = new.select(*KEY, F.col("label").alias("new_label"))
-    return a.join(b, KEY).filter("old_label <> new_label")
+    """Tokens whose label changed between two versions.
+
+    Both versions meet in a window, which takes rows where they are if both are dealt by document. Tokens with one label leave first.
+    """
+    a = old.select(*KEY, "token_text", F.col("label").alias("old_label"), F.lit(None).cast("string").alias("new_label"), F.lit(True).alias("_old"))
+    b = new.select(*KEY, F.lit(None).cast("string").alias("token_text"), F.lit(None).cast("string").alias("old_label"), F.col("label").alias("new_label"), F.lit(False).alias("_old"))
+    same, label = Window.partitionBy(*KEY), F.coalesce("old_label", "new_label")
+    met = a.unionByName(b).dropna(subset=KEY).withColumns({"_least": F.min(label).over(same), "_most": F.max(label).over(same)})
+    changed = met.filter("_least <> _most").withColumn("_new", F.collect_list("new_label").over(same))
+    pairs = changed.filter("_old").select(*KEY, "token_text", "old_label", F.explode("_new").alias("new_label"))
+    return pairs.filter("old_label <> new_label")
 
 
 def keep_labels(label: Column, kept) -> Column:
