@@ -1,5 +1,7 @@
 """Token rows stay where their documents were dealt, and per-token work is done once."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from maskloom.operators import patches as pa
 from maskloom.operators import scores as sc
 from maskloom.operators import tokens as tk
 from maskloom.operators import windows as wn
+from maskloom.plans import frames as fr
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,3 +112,24 @@ def test_patches_come_from_one_pass(spark):
     from maskloom.plans.q_spans import patch_table
 
     assert executed(patch_table(spark, SF)).count("regexp_extract_all") == 1
+
+
+def test_snippets_of_names_shuffle_documents_only(spark):
+    from maskloom.plans.q_spans import f8_name_snippets
+
+    plan = executed(f8_name_snippets(spark, SF))
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(dealt) == 2 and all(re.fullmatch(r"document#\d+, \d+", d) for d in dealt)
+    assert plan.count("regexp_extract_all") == 2 and "transform(zip_with" not in plan
+
+
+def test_names_of_documents_are_those_of_their_labels(spark):
+    rows = [("a", "Wolf Wolf, Bald Hand Wolf\nHand"), ("a", "Wolf Bald"), ("b", None), ("c", ""), (None, "Wolf")]
+    words = [f"Wa{a}{b}" for a in "bdfgklmnpr" for b in "aeiou"]
+    docs = spark.createDataFrame([*rows, ("d", " ".join(words * 2)), ("e", ".".join(words) + " x@y.org 123456")], "document string, text string")
+    got = [(r.document, r.text, r.name) for r in fr.document_names(docs).collect()]
+    labelled = fr.label_tokens(tk.tokenize(docs)).collect()
+    want = [(r.document, r.text, n) for r in labelled for n in {t.text for t in r.toks or [] if "NAME_STUDENT" in t.label}]
+    assert want and sorted(got, key=str) == sorted(want, key=str)
+    plan = fr.document_names(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
