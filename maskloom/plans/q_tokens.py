@@ -282,12 +282,13 @@ def b10_subtoken_labels(spark, sf):
 PIECE_VOCABULARY = "word_bpe_49k.json"
 
 
-def vocabulary_pieces(spark, sf):
-    """Tokens of `documents` with gold labels, cut into pieces of the vocabulary."""
+def vocabulary_pieces(spark, sf, labels: bool = True):
+    """Tokens of `documents`, with gold labels if wanted, cut into pieces of the vocabulary."""
     import public_tokenizers
 
     trie = pc.flat_trie(pc.byte_level_vocabulary(public_tokenizers.path(PIECE_VOCABULARY)), "</w>")
-    return pc.with_pieces(_gold_spans(spark, sf).select("document", "token", "token_text", "start", "label"), trie)
+    spans = _gold_spans(spark, sf) if labels else tk.token_spans(tk.match_rows(fr.documents(spark, sf).select("document", "text")))
+    return pc.with_pieces(spans.select("document", "token", "token_text", "start", *["label"] * labels), trie)
 
 
 @query("b6_vocabulary_pieces")
@@ -305,12 +306,10 @@ def b6_vocabulary_pieces(spark, sf):
 @query("b9_vocabulary_names")
 def b9_vocabulary_names(spark, sf):
     """Pieces that overlap an occurrence of one of the document's names, inside longer tokens too."""
-    docs = fr.gold_documents(spark, sf)
-    is_name = F.filter("toks", lambda t: t["label"].contains("NAME_STUDENT"))
-    names = docs.withColumn("name", F.explode_outer(F.array_distinct(F.transform(is_name, lambda t: t["text"])))).filter("name IS NOT NULL")
+    names = fr.document_names(fr.documents(spark, sf))
     pattern = sp.literal_pattern(F.col("name"), True)
     hits = sp.regex_spans(names.withColumn("pat", pattern), F.col("pat"), by=("name",)).select("document", "span_start", "span_end")
-    pieces = vocabulary_pieces(spark, sf).select("document", "token", "piece", "piece_start", "piece_end")
+    pieces = vocabulary_pieces(spark, sf, labels=False).select("document", "token", "piece", "piece_start", "piece_end")
     named = touched(pieces, hits, ("piece_start", "piece_end"), ("span_start", "span_end"))
     return named.groupBy("document").agg(
         F.count("*").alias("n_pieces"),
