@@ -133,3 +133,53 @@ def test_names_of_documents_are_those_of_their_labels(spark):
     assert want and sorted(got, key=str) == sorted(want, key=str)
     plan = fr.document_names(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_windows_of_tokens_without_arrays_of_starts(spark):
+    rows = spark.createDataFrame([(n, t) for n in (0, 1, 5, 10, 23, 40) for t in range(n)], "n_tokens int, token int")
+    found = wn.assign_windows(rows, 8, 2)
+    assert "sequence(0, greatest" not in found._jdf.queryExecution().optimizedPlan().toString()
+    held = {(n, t): [w for w, first in enumerate(range(0, max(n - 2, 1), 4)) if first <= t < first + 6] for n in (1, 5, 10, 23, 40) for t in range(n)}
+    assert sorted((r.n_tokens, r.token, r.window, r.pos) for r in found.collect()) == sorted((n, t, w, t - 4 * w) for (n, t), ws in held.items() for w in ws)
+
+
+def test_merged_tokens_are_plain_matches(spark):
+    from maskloom.plans.q_scores import _plain_tokens
+
+    plan = _plain_tokens(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(regexp_extract_all" not in plan  # no array of structs is built first
+
+
+def test_neighbours_are_cut_where_few_rows_are_left(spark):
+    docs = spark.createDataFrame([("a", "Ana met  Bo , 12\nx"), ("b", ""), ("c", None)], "document string, text string")
+    whole = fr.labelled_rows(docs, 3)
+    late = fr.cut_neighbours(fr.labelled_rows(docs, 3, cut=False))
+    assert late.columns == whole.columns
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, whole.collect()))
+    from maskloom.plans.q_spans import training_rows
+
+    plan = training_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Window [") :]
+    assert below.count("EndsWith(next_1") == 0 and "ws#" not in re.search(r"Project \[(.*?)\]", below).group(1)
+
+
+def test_pieces_of_names_need_no_labels(spark):
+    from maskloom.plans.q_tokens import vocabulary_pieces
+
+    plain, labelled = (vocabulary_pieces(spark, SF, labels) for labels in (False, True))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "STREET_ADDRESS" in plan(labelled) and "STREET_ADDRESS" not in plan(plain)
+    assert [c for c in labelled.columns if c != "label"] == plain.columns
+    assert plain.exceptAll(labelled.drop("label")).count() == 0 == labelled.drop("label").exceptAll(plain).count()
+
+
+def test_steps_are_gathered_for_tokens_with_votes_only(spark):
+    from maskloom.operators import masks as ms
+
+    rows = spark.createDataFrame([("a", 0, "Ana", "O", []), ("a", 1, "Ana", "B-NAME_STUDENT", [("B-NAME_STUDENT", 1)]), ("a", 2, "x", "O", [("I-NAME_STUDENT", 3)])], f"document string, token int, token_text string, gold_label string, votes {ms.VOTES}")
+    found = ms.scores_by_step(ms.correct_masks(tk.colocate(rows), 2, keep_steps=True), (0.1, 0.2))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(" not in plan
+    got = {(r.threshold, r.step): (r.tp, r.fp, r.fn) for r in found.collect()}
+    assert got[0.1, "name_casing"] == (1, 0, 0) and got[0.2, "name_casing"] == (0, 0, 1)
+    assert got[0.1, "repeated_names"] == (1, 1, 0)
