@@ -183,3 +183,15 @@ def test_steps_are_gathered_for_tokens_with_votes_only(spark):
     got = {(r.threshold, r.step): (r.tp, r.fp, r.fn) for r in found.collect()}
     assert got[0.1, "name_casing"] == (1, 0, 0) and got[0.2, "name_casing"] == (0, 0, 1)
     assert got[0.1, "repeated_names"] == (1, 1, 0)
+
+
+def test_sampled_documents_leave_the_other_texts_where_they_are(spark):
+    from maskloom.operators import tagger as tg
+
+    rows = [(str(i % 40), f"text {i}") for i in range(60)] + [(None, "none")]
+    docs = spark.createDataFrame(rows, "document string, text string").repartition(4)
+    order = [r.document for r in docs.orderBy(F.xxhash64("document"), "document").collect()]
+    for n in (0, 1, 7, 30, 61, 100):
+        assert [r.document for r in tg.sample_documents(docs, n).orderBy(F.xxhash64("document"), "document").collect()] == order[:n]
+    below = tg.sample_documents(docs, 7)._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[1]
+    assert re.search(r"Project \[document#\d+ AS _key#\d+\]", below)  # the keys alone are sorted
